@@ -81,5 +81,8 @@ def pivot_wide(
         cells = [F.max(F.when(F.col("field") == f, typed(F.col("value"), kinds[f]))).cast(SPARK_TYPES[kinds[f]]).alias(wide_name(f)) for f in block]
         return own.groupBy("entity_id").agg(*cells)
 
-    wide = reduce(lambda a, b: a.join(b, "entity_id", "full_outer"), map(pivoted, blocks))
-    return wide, kinds
+    if len(blocks) == 1:
+        return pivoted(blocks[0]), kinds
+    # Left joins keep the partitioning of the left side; a full outer join would lose it.
+    ids = latest.select("entity_id").repartition(n, "entity_id").distinct()
+    return reduce(lambda a, b: a.join(b, "entity_id", "left"), map(pivoted, blocks), ids), kinds

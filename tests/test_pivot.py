@@ -55,7 +55,7 @@ def test_blocks_join_without_another_shuffle(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
-    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("SortMergeJoin") == 2
+    assert plan.count("Exchange hashpartitioning") == 4 and plan.count("SortMergeJoin") == 3  # of the ids and three blocks
 
 
 def test_empty(spark):
