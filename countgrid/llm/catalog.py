@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["queries_topn"]
+_MODULES = ["queries_topn", "queries_leakage"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
