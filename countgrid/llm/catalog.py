@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["queries_topn", "queries_leakage", "queries_quality", "queries_neighbours"]
+_MODULES = ["queries_topn", "queries_leakage", "queries_quality", "queries_neighbours", "queries_clusters"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
