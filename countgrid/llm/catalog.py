@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["queries_topn", "queries_leakage", "queries_quality", "queries_neighbours", "queries_clusters"]
+_MODULES = ["queries_topn", "queries_leakage", "queries_quality", "queries_neighbours", "queries_clusters", "queries_packing"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
