@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["pivot_queries"]
+_MODULES = ["pivot_queries", "reject_queries"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
