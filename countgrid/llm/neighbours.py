@@ -129,7 +129,7 @@ def _blocks(frames: Iterator[pa.RecordBatch], dims: int, block: int) -> Iterator
             at = low
             while high - at >= block or (closed and at < high):
                 part = table.slice(at, min(block, high - at)).combine_chunks()
-                vectors = standardised(part["genes"].chunk(0), part["counts"].chunk(0), dims)
+                vectors = standardised(part["genes"].chunk(0), part["counts"].chunk(0), dims, np.float64)
                 yield int(curve[at]), part["cell_id"].to_numpy(), vectors
                 at += part.num_rows
         rest.append(table.slice(at) if not last else None)
@@ -150,12 +150,11 @@ def _best(now: tuple, beside: list[tuple], k: int) -> pa.RecordBatch:
     _, ids, own = now
     others = np.concatenate([b[1] for b in beside])
     matrix = np.concatenate([b[2] for b in beside])
-    score = own @ matrix.T
+    score = own.astype(np.float32) @ matrix.astype(np.float32).T
     score[ids[:, None] == others[None, :]] = -np.inf
     m = min(k + 3, score.shape[1])  # a few more than k, as single precision may swap near ties
     pick = np.argpartition(-score, m - 1, axis=1)[:, :m]
-    exact = np.einsum("nd,nmd->nm", own.astype(np.float64), matrix[pick].astype(np.float64))
-    exact = np.round(exact, 7)
+    exact = np.round(np.stack([matrix[p] @ row for p, row in zip(pick, own)]), 9)
     found_ids = others[pick]
     exact[np.take_along_axis(score, pick, axis=1) == -np.inf] = -np.inf
     order = np.lexsort((found_ids, -exact), axis=1)[:, :k]

@@ -49,7 +49,7 @@ e AS (SELECT cell_id, gene_id, c FROM latest WHERE r = 1 AND c > 0 AND NOT isnan
 s AS (SELECT cell_id, sum(c) AS s1, sum(c * c) AS s2 FROM e GROUP BY cell_id),
 p AS (SELECT a.cell_id AS a, b.cell_id AS b, sum(a.c * b.c) AS xy FROM e a JOIN e b ON a.gene_id = b.gene_id AND a.cell_id <> b.cell_id GROUP BY a.cell_id, b.cell_id),
 r AS (
-  SELECT p.a, p.b, round((1500 * xy - sa.s1 * sb.s1) / sqrt((1500 * sa.s2 - sa.s1 * sa.s1) * (1500 * sb.s2 - sb.s1 * sb.s1)), 7) AS sim
+  SELECT p.a, p.b, round((1500 * xy - sa.s1 * sb.s1) / sqrt((1500 * sa.s2 - sa.s1 * sa.s1) * (1500 * sb.s2 - sb.s1 * sb.s1)), 9) AS sim
   FROM p JOIN s sa ON sa.cell_id = p.a JOIN s sb ON sb.cell_id = p.b),
 k AS (SELECT a, b, sim, ROW_NUMBER() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM r)
 SELECT x.a AS cell_id0, x.b AS cell_id1 FROM k x JOIN k y ON x.a = y.b AND x.b = y.a

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from countgrid.session import Scratch
 
@@ -24,7 +25,7 @@ MOST_HOT = 10_000
 _LOW = -(2**63)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _ordered_bits(values: pd.Series) -> pd.Series:
     """Signed 64-bit integers in the order of the doubles; -0.0 equals 0.0, NaN is null."""
     x = values.to_numpy(np.float64) + 0.0

@@ -16,21 +16,26 @@ def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def standardised(genes: pa.Array, counts: pa.Array, dims: int) -> np.ndarray:
+def _sums(at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """Weighted counts as floats, for empty input too."""
+    return np.bincount(at, weights, n).astype(np.float64) if n else np.zeros(0)
+
+
+def standardised(genes: pa.Array, counts: pa.Array, dims: int, dtype: type = np.float32) -> np.ndarray:
     """Dense rows of mean 0 and length 1; a row of equal values is all zeros (no correlation)."""
     columns, bounds = flat_lists(genes)
     values, _ = flat_lists(counts)
     n = len(bounds) - 1
     rows = np.repeat(np.arange(n), np.diff(bounds))
-    dense = np.zeros((n, dims), np.float32)
+    dense = np.zeros((n, dims), dtype)
     dense[rows, columns] = values
     values = values.astype(np.float64)
-    total = np.bincount(rows, values, n)
-    squares = np.bincount(rows, values * values, n)
+    total = _sums(rows, values, n)
+    squares = _sums(rows, values * values, n)
     spread = squares - total * total / dims
     scale = np.where(spread > 1e-12 * np.maximum(squares, 1e-300), 1.0 / np.sqrt(np.maximum(spread, 1e-300)), 0.0)
-    dense -= (total / dims)[:, None].astype(np.float32)
-    dense *= scale[:, None].astype(np.float32)
+    dense -= (total / dims)[:, None].astype(dtype)
+    dense *= scale[:, None].astype(dtype)
     return dense
 
 
@@ -41,11 +46,11 @@ def hashed(genes: pa.Array, counts: pa.Array, dims: int, buckets: int, seed: int
     n = len(bounds) - 1
     rows = np.repeat(np.arange(n), np.diff(bounds))
     spot, sign = hash_features(columns.astype(np.uint64), buckets, seed)
-    flat = np.bincount(rows * buckets + spot, values * sign, n * buckets) if n else np.zeros(0)
+    flat = _sums(rows * buckets + spot, values * sign, n * buckets)
     out = flat.reshape(n, buckets)
     all_spot, all_sign = hash_features(np.arange(dims, dtype=np.uint64), buckets, seed)
-    ones = np.bincount(all_spot, all_sign, buckets)
-    out -= np.bincount(rows, values, n)[:, None] / dims * ones
+    ones = _sums(all_spot, all_sign, buckets)
+    out -= _sums(rows, values, n)[:, None] / dims * ones
     length = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return np.divide(out, length, out=np.zeros_like(out), where=length > 1e-9).astype(np.float32)
 
