@@ -2,8 +2,8 @@
 
 Lines of one file are parsed in blocks on a columnar path (Arrow kernels over the
 whole block). A block on which that path fails is halved, again and again, until
-the bad lines stand alone; only those are read by the strict parser, which names
-the reason. Good lines beside bad ones stay on the columnar path.
+the bad lines stand in blocks of a few; only those are read by the strict parser,
+which names the reasons. Good lines beside bad ones stay on the columnar path.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from countgrid.functions.values import DATE_PATTERN, DECIMAL_PATTERN, FALSE_WORDS, INTEGER_PATTERN, MISSING, TRUE_WORDS, field_key
 
 BLOCK_LINES = 2048
+#: A failing block of at most so many lines goes to the strict parser, which then costs less than halving on.
+LEAF_LINES = 32
 _MARK = "\x1f"
 
 PARSED = (
@@ -213,18 +215,19 @@ class _Out:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.rows) if self.rows else [[]] * len(schema), schema)], schema=schema)
 
 
-def _solve(lines: pa.Array, low: int, high: int, info: tuple, good, bad) -> None:
+def _solve(lines: pa.Array, low: int, high: int, info: tuple, good, strict) -> None:
     kind, separators, n_fields, types = info
     part = lines.slice(low, high - low)
     try:
         good(low, *parse_block(part, kind, separators, n_fields, types))
     except Failed:
-        if high - low == 1:
-            bad(low, *diagnose(part[0].as_py(), kind, separators, n_fields, types))
+        if high - low <= LEAF_LINES:
+            for k, line in enumerate(part.to_pylist()):
+                strict(low + k, *diagnose(line, kind, separators, n_fields, types))
             return
         middle = (low + high) // 2
-        _solve(lines, low, middle, info, good, bad)
-        _solve(lines, middle, high, info, good, bad)
+        _solve(lines, low, middle, info, good, strict)
+        _solve(lines, middle, high, info, good, strict)
 
 
 def _parse_run(table: pa.Table) -> pa.RecordBatch:
@@ -253,13 +256,13 @@ def _parse_run(table: pa.Table) -> pa.RecordBatch:
             for k, texts in enumerate(zip(*[c.to_pylist() for c in columns[1:]]) if len(columns) > 1 else [()] * len(first)):
                 keep(low + k, first[k], list(texts), None)
 
-    def bad(at: int, reason: str | None, fields: list[str]) -> None:
-        if reason is None:  # sound after all, such as a line that holds the mark of the columnar path
+    def strict(at: int, reason: str | None, fields: list[str]) -> None:
+        if reason is None:  # a good line beside bad ones, or one that holds the mark of the columnar path
             keep(at, fields[0], None if is_matrix else fields[1:], [float(x) for x in fields[1:]] if is_matrix else None)
         else:
             out.rows.append((ids[at], head["file_id"], numbers[at], *fixed, reason, None, None, None, None, None))
 
-    _solve(lines, 0, len(lines), (head["file_kind"], head["separator_chars"], head["n_fields"], types), good, bad)
+    _solve(lines, 0, len(lines), (head["file_kind"], head["separator_chars"], head["n_fields"], types), good, strict)
     return out.batch()
 
 
