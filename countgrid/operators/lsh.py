@@ -98,8 +98,8 @@ def lsh_pairs_all(sigs: DataFrame, bits: int, k: int = 100, threshold: float = 0
     def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
         sides = []
         for t in (left, right):
-            words = t["sig"].chunk(0).flatten().to_numpy().astype(">i8").view(np.uint8).reshape(t.num_rows, -1)
-            sides.append((t["id"].to_numpy(), np.unpackbits(words, axis=1)[:, :bits].astype(np.float32) * 2 - 1))
+            flags = bit_rows(t["sig"].chunk(0), bits) if t.num_rows else np.zeros((0, bits), np.uint8)
+            sides.append((t["id"].to_numpy(), flags.astype(np.float32) * 2 - 1))
         (idx, x), (idy, y) = sides
         # the product of +-1 rows is L - 2 * mismatches, exact in single precision
         score = table[((bits - x @ y.T) / 2).round().astype(np.int64)]
@@ -113,12 +113,28 @@ def lsh_pairs_all(sigs: DataFrame, bits: int, k: int = 100, threshold: float = 0
     return top_k(block_pairs(sigs, ["sig"], kernel, PAIRS), k)
 
 
+def bit_rows(column: pa.Array, bits: int) -> np.ndarray:
+    """One row of 0 and 1 per signature."""
+    words = column.flatten().to_numpy().astype(">i8").view(np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, -(-bits // 8)), np.uint8)
+    return np.unpackbits(words, axis=1)[:, :bits]
+
+
 def slices(sigs: DataFrame, bits: int, length: int) -> DataFrame:
     """``id, slice, value``: the signature cut into whole slices of ``length`` bits (at most 63)."""
-    bit = lambda i: F.shiftrightunsigned(F.element_at("sig", F.lit(i // 64 + 1)), 63 - i % 64).bitwiseAND(F.lit(1).cast("bigint"))
-    value = lambda s: sum((F.shiftleft(bit(s * length + j), length - 1 - j) for j in range(length)), F.lit(0).cast("bigint"))
-    every = F.array(*[F.struct(F.lit(s).alias("slice"), value(s).alias("value")) for s in range(bits // length)])
-    return sigs.select("id", F.explode(every).alias("s")).select("id", "s.slice", "s.value")
+    if not 1 <= length <= min(63, bits):
+        raise ValueError("a slice has 1 to 63 bits and no more than the signature")
+    number = bits // length
+    powers = (1 << np.arange(length - 1, -1, -1)).astype(np.int64)
+
+    def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            flags = bit_rows(frame.column(1), bits)[:, : number * length].astype(np.int64)
+            value = flags.reshape(-1, number, length) @ powers
+            ids = np.repeat(frame.column(0).to_numpy(), number)
+            place = np.tile(np.arange(number, dtype=np.int32), frame.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(value.ravel())], ["id", "slice", "value"])
+
+    return sigs.select("id", "sig").mapInArrow(cut, "id bigint, slice int, value bigint")
 
 
 def _verified(candidates: DataFrame, sigs: DataFrame, bits: int) -> DataFrame:
@@ -183,8 +199,7 @@ def lsh_pairs_permuted(sigs: DataFrame, bits: int, permutations: int = 16, searc
 
     def keys(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            words = frame.column(1).flatten().to_numpy().astype(">i8").view(np.uint8).reshape(frame.num_rows, -1)
-            flags = np.unpackbits(words, axis=1)[:, :bits].astype(np.int64)
+            flags = bit_rows(frame.column(1), bits).astype(np.int64)
             for p, order in enumerate(orders):
                 key = np.zeros(frame.num_rows, np.int64)
                 for b in order:
@@ -237,15 +252,22 @@ def signature_size_histogram(sigs: DataFrame) -> DataFrame:
 
 
 def bit_counts(sigs: DataFrame, bits: int) -> DataFrame:
-    """How often each bit is set and not set."""
-    one = lambda i: F.sum(F.shiftrightunsigned(F.element_at("sig", F.lit(i // 64 + 1)), 63 - i % 64).bitwiseAND(F.lit(1).cast("bigint"))).alias(str(i))
-    sums = sigs.agg(F.count(F.lit(1)).alias("n"), F.array(*[one(i) for i in range(bits)]).alias("ones"))
-    return sums.select("n", F.posexplode("ones").alias("bit", "set")).select("bit", "set", (F.col("n") - F.col("set")).alias("unset"))
+    """How often each bit is set and not set, from one partial sum per task."""
+
+    def partial(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ones, n = np.zeros(bits, np.int64), 0
+        for frame in frames:
+            ones += bit_rows(frame.column(0), bits).sum(axis=0, dtype=np.int64)
+            n += frame.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(bits, dtype=np.int32)), pa.array(ones), pa.array(n - ones)], ["bit", "set", "unset"])
+
+    parts = sigs.select("sig").mapInArrow(partial, "bit int, set bigint, unset bigint")
+    return parts.groupBy("bit").agg(F.sum("set").alias("set"), F.sum("unset").alias("unset"))
 
 
 def compare_pair_sets(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows whose number of partners or lowest similarity differs between two pair sets."""
-    side = lambda df, k: df.groupBy("id0").agg(F.count(F.lit(1)).alias(f"count{k}"), F.min("similarity").alias(f"lowest{k}"))
+    side = lambda df, k: df.groupBy("id0").agg(F.count(F.lit(1)).alias(f"count{k}"), (F.min("similarity") + 0.0).alias(f"lowest{k}"))
     both = side(a, 0).join(side(b, 1), "id0", "full_outer").na.fill(0, ["count0", "count1"]).na.fill(1.0, ["lowest0", "lowest1"])
     return both.filter("count0 != count1 OR lowest0 != lowest1")
 

@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["pivot_queries", "reject_queries"]
+_MODULES = ["matrix_queries", "pivot_queries", "reject_queries"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -17,4 +17,4 @@ for _name in _MODULES:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["p5_found"](spark, sf_dir)
+    return QUERIES["topk_similar_cells"](spark, sf_dir)
