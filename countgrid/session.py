@@ -47,6 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_DIR
 
 
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """Results may read scratch tables lazily, so these stay until the driver program ends."""
+    for spark, root in _ROOTS:
+        try:
+            _delete(spark, root)
+        except Exception:  # the session may have ended before
+            return
+
+
 class Scratch:
     """Tables written to the shared folder within one operator call.
 
@@ -60,25 +78,21 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/countgrid-{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
+        _ROOTS.append((spark, self.root))
 
     def keep(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
         df.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(back)] = path
         back._countgrid_path = path
         return back
 
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_countgrid_path", None)
-        if path is None:
-            return
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        df._countgrid_path = None
+        if path is not None:
+            _delete(self.spark, path)
+            df._countgrid_path = None
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
