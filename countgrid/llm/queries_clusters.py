@@ -27,4 +27,18 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
-SQL: dict[str, str] = {}
+# Groups are cliques with nothing between them, so a group is what any one member is similar to.
+SQL = {
+    "p1_found": """
+WITH latest AS (
+  SELECT cell_id, gene_id, CAST(expr_count AS DOUBLE) AS c,
+         ROW_NUMBER() OVER (PARTITION BY cell_id, gene_id ORDER BY loaded_at DESC) AS r
+  FROM expression_counts),
+e AS (SELECT cell_id, gene_id, c FROM latest WHERE r = 1 AND c > 0 AND NOT isnan(c)),
+s AS (SELECT cell_id, sum(c) AS s1, sum(c * c) AS s2 FROM e GROUP BY cell_id),
+p AS (SELECT a.cell_id AS a, b.cell_id AS b, sum(a.c * b.c) AS xy FROM e a JOIN e b ON a.gene_id = b.gene_id AND a.cell_id <> b.cell_id GROUP BY a.cell_id, b.cell_id),
+r AS (
+  SELECT p.a, p.b, (1500 * xy - sa.s1 * sb.s1) / sqrt((1500 * sa.s2 - sa.s1 * sa.s1) * (1500 * sb.s2 - sb.s1 * sb.s1)) AS sim
+  FROM p JOIN s sa ON sa.cell_id = p.a JOIN s sb ON sb.cell_id = p.b)
+SELECT a AS cell_id, least(a, min(b)) AS group_cell_id FROM r WHERE sim >= 0.39 GROUP BY a HAVING count(*) >= 4""",
+}
