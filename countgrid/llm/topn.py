@@ -103,16 +103,19 @@ def top_n_per_group(
     # An open interval: the codes that agree with _low above the lowest _span bits.
     state = sizes.filter("_rows > _need").select(*keys, "_need", F.lit(0).alias("_level"), _span_bits("_min", "_max").cast("int").alias("_span"), F.col("_min").alias("_low"), F.lit(0).cast("bigint").alias("_score_code"))
     cuts = [small]
-    live = salted(rows.select(*keys, "_hi", "_lo"), False)
+    live, decided = salted(rows.select(*keys, "_hi", "_lo"), False), None
     while not state.isEmpty():
         step = F.expr(f"greatest(_span - {bits}, 0)")
         inside = live.join(salted(state, True), [*keys, "_salt"]).filter("_level = 0 OR _hi = _score_code")
         inside = inside.withColumn("_code", F.expr("CASE WHEN _level = 0 THEN _hi ELSE _lo END"))
         inside = inside.filter("_span >= 64 OR shiftrightunsigned(_code ^ _low, _span) = 0")
         # Only rows of open intervals stay alive; the rest is decided.
-        live = scratch.keep(inside.select(*keys, "_hi", "_lo", "_salt", "_code", F.call_function("shiftright", "_code", step).alias("_bucket")))
-        counts = live.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_count"), *[f(c).alias(f"_{n}{c}") for c in ("_code", "_lo") for n, f in (("min", F.min), ("max", F.max))])
-        live = live.drop("_code", "_bucket")
+        inside = scratch.keep(inside.select(*keys, "_hi", "_lo", "_salt", "_code", F.call_function("shiftright", "_code", step).alias("_bucket")))
+        if decided is not None:
+            scratch.drop(decided)
+        decided = inside
+        counts = inside.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_count"), *[f(c).alias(f"_{n}{c}") for c in ("_code", "_lo") for n, f in (("min", F.min), ("max", F.max))])
+        live = inside.drop("_code", "_bucket")
         order = Window.partitionBy(*keys).orderBy(F.desc("_bucket"))  # at most 2**bits rows a group
         counts = counts.withColumn("_above", F.sum("_count").over(order) - F.col("_count"))
         crossing = scratch.keep(counts.join(state, keys).filter("_above < _need AND _above + _count >= _need"))
