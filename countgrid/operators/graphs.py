@@ -182,6 +182,13 @@ def signature_graph(sigs: DataFrame, bits: int, min_rows: int = 100) -> tuple[Da
     return vertices, pairs
 
 
+def signature_categories(sigs: DataFrame, vertices: DataFrame, groups: DataFrame) -> DataFrame:
+    """``id, value, fraction``: the share of each value among the rows of a signature vertex."""
+    own = sigs.join(vertices.select("sig", F.col("id").alias("vertex"), "n"), "sig").join(groups, "id", "left")
+    counts = own.groupBy("vertex", "n", F.coalesce("value", F.lit("")).alias("value")).agg(F.count(F.lit(1)).alias("m"))
+    return counts.select(F.col("vertex").alias("id"), "value", (F.col("m") / F.col("n")).alias("fraction"))
+
+
 def signature_distance_edges(vertices: DataFrame) -> DataFrame:
     """The same edges found by comparing vertices directly; for checks of small graphs."""
     a, b = (vertices.select(F.col("id").alias(n), F.col("sig").alias(f"sig{k}")) for k, n in enumerate(("src", "dst")))

@@ -93,7 +93,9 @@ def most_mismatches(threshold: float, bits: int) -> int:
 def lsh_pairs_all(sigs: DataFrame, bits: int, k: int = 100, threshold: float = 0.2, inclusive: bool = False) -> DataFrame:
     """All pairs by signature, the k best per row above the threshold (or at it, if ``inclusive``)."""
     table = np.cos(np.arange(bits + 1) * math.pi / bits)
-    limit = np.nextafter(threshold, -2) if inclusive else threshold
+    passing = np.nonzero(table >= threshold if inclusive else table > threshold)[0]
+    # the product of +-1 rows is L - 2 * mismatches, exact in single precision
+    limit = bits - 2 * passing.max() - 1 if len(passing) else bits
 
     def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
         sides = []
@@ -101,14 +103,14 @@ def lsh_pairs_all(sigs: DataFrame, bits: int, k: int = 100, threshold: float = 0
             flags = bit_rows(t["sig"].chunk(0), bits) if t.num_rows else np.zeros((0, bits), np.uint8)
             sides.append((t["id"].to_numpy(), flags.astype(np.float32) * 2 - 1))
         (idx, x), (idy, y) = sides
-        # the product of +-1 rows is L - 2 * mismatches, exact in single precision
-        score = table[((bits - x @ y.T) / 2).round().astype(np.int64)]
+        product = x @ y.T
         if same:
-            np.fill_diagonal(score, -2)
-        parts = best_of_block(idx, idy, score, k, limit)
+            np.fill_diagonal(product, -bits - 2)
+        parts = best_of_block(idx, idy, product, k, limit)
         if not same:
-            parts = tuple(p + q for p, q in zip(parts, best_of_block(idy, idx, score.T, k, limit)))
-        return pairs_table(parts)
+            parts = tuple(p + q for p, q in zip(parts, best_of_block(idy, idx, product.T, k, limit)))
+        found = [table[((bits - v) / 2).round().astype(np.int64)] for v in parts[2]]
+        return pairs_table((parts[0], parts[1], found))
 
     return top_k(block_pairs(sigs, ["sig"], kernel, PAIRS), k)
 

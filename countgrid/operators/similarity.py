@@ -86,15 +86,17 @@ def _dense(table: pa.Table, width: dict[int, int]) -> np.ndarray:
 
 def best_of_block(ids0: np.ndarray, ids1: np.ndarray, score: np.ndarray, k: int, threshold: float) -> tuple[list, list, list]:
     """Up to k best columns above the threshold for each row of a score matrix, ties by id."""
-    out: tuple[list, list, list] = ([], [], [])
     good = score > threshold
-    for i in np.nonzero(good.any(axis=1))[0]:
-        at = np.nonzero(good[i])[0]
-        order = np.lexsort((ids1[at], -score[i, at]))[:k]
-        out[0].append(np.full(len(order), ids0[i]))
-        out[1].append(ids1[at[order]])
-        out[2].append(score[i, at[order]])
-    return out
+    columns = score.shape[1]
+    if columns > k and good.any():
+        good &= score >= np.partition(score, columns - k, axis=1)[:, columns - k, None]
+    row, column = np.nonzero(good)
+    value = score[row, column]
+    order = np.lexsort((ids1[column], -value, row))
+    row, column, value = row[order], column[order], value[order]
+    counts = np.bincount(row, minlength=len(ids0))
+    keep = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) < k
+    return [ids0[row[keep]]], [ids1[column[keep]]], [value[keep]]
 
 
 PAIRS = "id0 bigint, id1 bigint, similarity double"

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from countgrid import sinks
 from countgrid.functions.values import DECIMAL_PATTERN, full_match
 from countgrid.operators import graphs, lsh, matrix, meta, sets, similarity
 from countgrid.schema import NORMALISATIONS, SCHEMAS
@@ -396,6 +397,17 @@ class MatrixStore:
     def create_cell_set_using_numeric_meta_data(self, name: str, field: str, lower: float | None = None, upper: float | None = None) -> None:
         self._put_set("cell_set", name, sets.cells_by_number(self.table("cell_meta"), field, lower, upper))
 
+    def create_cell_set_using_numeric_meta_data_greater_than(self, name: str, field: str, lower: float) -> None:
+        """The bound is included."""
+        self.create_cell_set_using_numeric_meta_data(name, field, lower, None)
+
+    def create_cell_set_using_numeric_meta_data_less_than(self, name: str, field: str, upper: float) -> None:
+        """The bound is included."""
+        self.create_cell_set_using_numeric_meta_data(name, field, None, upper)
+
+    def create_cell_set_using_numeric_meta_data_between(self, name: str, field: str, lower: float, upper: float) -> None:
+        self.create_cell_set_using_numeric_meta_data(name, field, lower, upper)
+
     def create_cell_set_union(self, name: str, inputs: list[str]) -> None:
         self._put_set("cell_set", name, sets.union([self.cell_set(i, True) for i in inputs]))
 
@@ -514,6 +526,34 @@ class MatrixStore:
     def get_similar_pairs_names(self) -> list[str]:
         return self._names("similar_pairs")
 
+    def get_similar_gene_pairs_names(self) -> list[str]:
+        return self._names("similar_gene_pairs")
+
+    def get_lsh_names(self) -> list[str]:
+        return self._names("signatures")
+
+    def gene_sets_of_similar_pairs(self, name: str) -> list[str]:
+        """All gene sets with the members that the pairs were made from, by content hash."""
+        wanted = self._params("similar_pairs", name)["gene_hash"]
+        known = {r["name"]: r["params"].get("hash") for r in self.table("catalog").filter("kind = 'gene_set'").collect()}
+        known[ALL_GENES] = sets.content_hash(self.gene_set(ALL_GENES), "gene_id")
+        return sorted(n for n, h in known.items() if h == wanted)
+
+    def write_similar_pairs(self, name: str, path: str) -> None:
+        """CSV with both names, the stored similarity and the exact one over all genes."""
+        n = self.gene_count()
+        pairs = similarity.pair_similarity(self.table("counts"), self.similar_pairs(name).select("id0", "id1", "similarity"), n)
+        sinks.write_csv(sinks.similar_pairs_table(pairs, self.table("cells")), path)
+
+    def analyze_lsh(self, name: str) -> DataFrame:
+        """Errors of all pairs by stored signatures, beside those that theory expects."""
+        params = self._params("signatures", name)
+        bits = int(params["lsh_count"])
+        sigs = self.table("signatures").filter(F.col("name") == name).select("id", "sig")
+        genes = self.gene_set(params["gene_set"])
+        every = lsh.lsh_pairs_all(sigs, bits, sigs.count(), -1.0, True).filter("id0 < id1").select("id0", "id1", "similarity")
+        return lsh.error_bins(similarity.pair_similarity(matrix.restrict(self.table("counts"), genes), every, genes.count()), bits)
+
     def remove_similar_pairs(self, name: str) -> None:
         self._drop("similar_pairs", name, "similar_pairs")
 
@@ -583,6 +623,30 @@ class MatrixStore:
     def get_cell_graph_names(self) -> list[str]:
         return self._names("cell_graph")
 
+    def compare_cell_graphs(self, name0: str, name1: str) -> tuple[DataFrame, DataFrame]:
+        """Counts of common vertices and edges, and the changes of similarity."""
+        (v0, e0), (v1, e1) = self.graph("cell_graph", name0), self.graph("cell_graph", name1)
+        return graphs.compare_graphs(v0, e0, v1, e1), graphs.similarity_changes(e0, e1)
+
+    def colored_cell_graph(self, name: str, field: str, numeric: bool = False) -> DataFrame:
+        """The vertices with a colour by category or, if ``numeric``, on a scale."""
+        vertices = self.graph("cell_graph", name)[0].select("id")
+        values = self.table("cell_meta").filter(F.col("name") == field).select(F.col("cell_id").cast("bigint").alias("id"), "value")
+        if numeric:
+            return graphs.scale_colors(vertices, values.select("id", F.col("value").try_cast("double").alias("value")).filter("value IS NOT NULL"))
+        return graphs.category_colors(vertices, values)
+
+    def write_graph(self, kind: str, name: str, path: str) -> None:
+        """Graphviz text of a stored graph."""
+        sinks.write_dot(*self.graph(kind, name), path)
+
+    def get_cluster_graph_vertices(self, name: str) -> list[int]:
+        rows = self.graph("cluster_graph", name)[0].select("cluster_id").distinct().collect()  # one row per cluster
+        return sorted(r["cluster_id"] for r in rows if r["cluster_id"] is not None)
+
+    def get_cluster_cells_report(self, name: str, cluster_id: int, fields: list[str]) -> DataFrame:
+        return meta.pivot_fields(self.table("cell_meta"), self.get_cluster_cells(name, cluster_id), fields)
+
     def get_cluster_cells(self, name: str, cluster_id: int) -> DataFrame:
         return self.graph("cluster_graph", name)[0].filter(F.col("cluster_id") == cluster_id).select(F.col("id").alias("cell_id")).orderBy("cell_id")
 

@@ -62,7 +62,18 @@ def test_similar_pairs_and_information(toy1):
     assert abs(store.similar_pairs("lsh").first()["similarity"] - 0.5) < 0.12
     assert store.get_similar_pairs_names() == ["exact", "lsh"]
     assert store.compare_similar_pairs("exact", "lsh").count() == 2
+    store.write_similar_pairs("exact", str(toy1[1] / "pairs"))
+    assert sorted(map(tuple, store.spark.read.option("header", True).csv(str(toy1[1] / "pairs")).select("Cell0", "Cell1").collect())) == [("Cell1", "Cell2"), ("Cell2", "Cell1")]
+    assert store.gene_sets_of_similar_pairs("exact") == ["AllGenes"]
+    store.compute_lsh_signatures("sig", lsh_count=256)
+    assert store.get_lsh_names() == ["sig"] and store.analyze_lsh("sig").count() == 0  # three pairs, each alone in its bin
+    assert [df.count() for df in store.analyze_lsh_signatures("sig")] == [3, 1, 256]
     store.create_cell_graph("graph", "exact", threshold=0.4)
+    assert {r["color"] for r in store.colored_cell_graph("graph", "Organ").collect()} == {"#1f78b4", "#33a02c"}
+    store.write_graph("cell_graph", "graph", str(toy1[1] / "dot"))
+    text = "\n".join(r[0] for r in store.spark.read.text(str(toy1[1] / "dot")).collect())
+    assert text.startswith("graph G {") and '  1 -- 2 [weight="0.500000"];' in text and text.endswith("}")
+    assert store.compare_cell_graphs("graph", "graph")[0].first()["equal_edges"] == 1
     vertices, edges = store.graph("cell_graph", "graph")
     assert sorted(r["id"] for r in vertices.collect()) == [1, 2] and edges.count() == 1
     store.create_cluster_graph("graph", "clusters", min_cluster_size=1, max_iterations=5)
