@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from countgrid.session import spread
+
 
 def latest_counts(rows: DataFrame, cell: str = "cell_id", gene: str = "gene_id", count: str = "expr_count", order: str = "loaded_at") -> DataFrame:
     """``cell_id, gene_id, count`` of the latest row per pair; only counts above zero.
@@ -21,7 +23,7 @@ def latest_counts(rows: DataFrame, cell: str = "cell_id", gene: str = "gene_id",
 
 def packed_rows(counts: DataFrame) -> DataFrame:
     """``cell_id, genes ARRAY<INT>, counts ARRAY<FLOAT>``: at most as long as there are genes."""
-    pairs = counts.groupBy("cell_id").agg(F.collect_list(F.struct("gene_id", F.col("count").cast("float").alias("count"))).alias("p"))
+    pairs = spread(counts, "cell_id").groupBy("cell_id").agg(F.collect_list(F.struct("gene_id", F.col("count").cast("float").alias("count"))).alias("p"))
     return pairs.select("cell_id", F.col("p.gene_id").alias("genes"), F.col("p.count").alias("counts"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countgrid.functions.values import DATE_PATTERN, DECIMAL_PATTERN, FALSE_WORDS, INTEGER_PATTERN, MISSING, TRUE_WORDS, field_key
+from countgrid.session import spread
 
 BLOCK_LINES = 2048
 #: A failing block of at most so many lines goes to the strict parser, which then costs less than halving on.
@@ -321,7 +322,7 @@ def parse_lines(lines: DataFrame, files: DataFrame, types: dict[str, str]) -> Da
     joined = body.join(file_layouts(lines, files, types), "file_id", "left")
     # A large file spreads over its blocks of lines.
     block = F.floor(F.coalesce("line_no", F.lit(0)) / BLOCK_LINES)
-    placed = joined.repartition("file_id", block).sortWithinPartitions("file_id", "line_no")
+    placed = spread(joined.withColumn("block", block), "file_id", "block").sortWithinPartitions("file_id", "line_no")
     return placed.select("line_id", "file_id", "line_no", "file_kind", "separator_chars", "n_fields", "field_names", "field_types", "raw_line").mapInArrow(_parse, PARSED)
 
 

@@ -7,8 +7,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from countgrid.session import spread
+
 #: Rows of a block; a task compares two blocks as one matrix product.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
+#: Tasks over which the pairs of blocks are spread, at most.
+MOST_TASKS = 20_000
 
 
 def pearson(n: Column | int, sx: str, sy: str, sxx: str, syy: str, sxy: str) -> Column:
@@ -44,7 +48,7 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
 
 def packed(values: DataFrame, row: str, feature: str, value: str) -> DataFrame:
     """``id, features, values`` with the features of a row in one pair of arrays."""
-    pairs = values.groupBy(F.col(row).alias("id")).agg(F.collect_list(F.struct(F.col(feature).cast("int").alias("f"), F.col(value).cast("double").alias("v"))).alias("p"))
+    pairs = spread(values.withColumn("id", F.col(row)), "id").groupBy("id").agg(F.collect_list(F.struct(F.col(feature).cast("int").alias("f"), F.col(value).cast("double").alias("v"))).alias("p"))
     return pairs.select(F.col("id").cast("bigint").alias("id"), F.col("p.f").alias("features"), F.col("p.v").alias("values"))
 
 
@@ -71,7 +75,8 @@ def block_pairs(rows: DataFrame, columns: list[str], kernel, schema: str, block_
         right = left if a == b else group.take(pa.array(order[block[order] == b])).combine_chunks()
         return kernel(left, right, a == b)
 
-    return placed.groupBy("a", "b").applyInArrow(run, schema)
+    tasks = min(blocks * (blocks + 1) // 2, MOST_TASKS)
+    return placed.repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(run, schema)
 
 
 def _dense(table: pa.Table, width: dict[int, int]) -> np.ndarray:

@@ -95,5 +95,14 @@ class Scratch:
             df._countgrid_path = None
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitioned by the keys over as many tasks as the session's shuffles have.
+
+    Adaptive execution merges small partitions by their bytes, which leaves few tasks to
+    stages whose cost is computing; a number given by hand is kept.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
