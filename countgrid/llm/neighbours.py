@@ -22,6 +22,8 @@ from countgrid.llm.vectors import standardised
 CURVES = 16
 #: Rows on either side of a row that its curve window covers at least.
 WINDOW = 256
+#: Rows that one task compares, all curves together.
+TASK_ROWS = 100_000
 #: Dimensions and bits per dimension of a curve: 10 * 6 bits make one key.
 CURVE_DIMS = 10
 CURVE_BITS = 6
@@ -30,9 +32,8 @@ SAMPLE_ROWS = 4_000
 DIRECTIONS = 200
 
 
-def fit_curves(rows: DataFrame, dims: int, curves: int, seed: int) -> dict:
-    """Projections and shifts, fitted to a bounded sample of rows."""
-    n = rows.count()
+def fit_curves(rows: DataFrame, n: int, dims: int, curves: int, seed: int) -> dict:
+    """Projections and shifts, fitted to a bounded sample of the ``n`` rows."""
     share = min(1.0, SAMPLE_ROWS * 1.2 / max(n, 1))
     sample = rows.sample(False, share, seed).limit(SAMPLE_ROWS).toArrow() if share < 1 else rows.limit(SAMPLE_ROWS).toArrow()
     rng = np.random.default_rng(seed)
@@ -74,7 +75,9 @@ def nearest_rows(rows: DataFrame, dims: int, k: int, *, curves: int = CURVES, wi
     spark = rows.sparkSession
     rows = rows.filter("cell_id IS NOT NULL AND genes IS NOT NULL AND counts IS NOT NULL").select(F.col("cell_id").cast("bigint").alias("cell_id"), "genes", "counts")
     # A few fixed-size matrices: their size doesn't depend on the number of rows.
-    fitted = spark.sparkContext.broadcast(fit_curves(rows, dims, curves, seed))
+    n = rows.count()
+    fitted = spark.sparkContext.broadcast(fit_curves(rows, n, dims, curves, seed))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * curves // TASK_ROWS))
 
     def keys(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -92,7 +95,7 @@ def nearest_rows(rows: DataFrame, dims: int, k: int, *, curves: int = CURVES, wi
         yield from _windows(frames, dims, k, window)
 
     placed = rows.mapInArrow(keys, "curve int, key bigint, cell_id bigint, genes array<int>, counts array<float>")
-    placed = placed.repartitionByRange("curve", "key").sortWithinPartitions("curve", "key")
+    placed = placed.repartitionByRange(tasks, "curve", "key").sortWithinPartitions("curve", "key")
     best = placed.mapInArrow(scan, "cell_id bigint, found array<struct<s:double,o:bigint>>")
     # curves * k candidates per row; -id makes the greatest struct the first in order.
     merged = best.groupBy("cell_id").agg(F.flatten(F.collect_list("found")).alias("found"))
