@@ -162,13 +162,13 @@ def average_expression_l2(spark, d):
 
 
 def topk_similar_cells(spark, d, k=10):
-    return similarity.exact_pairs(counts_of(spark, d), gene_count(spark, d), k, 0.2).select("id0", "id1", r6("similarity"), "rank")
+    return similarity.exact_pairs(counts_of(spark, d), gene_count(spark, d), k, 0.2).select(F.col("id0").cast("int").alias("id0"), F.col("id1").cast("int").alias("id1"), r6("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def similar_gene_pairs(spark, d, k=10):
     values = matrix.normalised(counts_of(spark, d), "L2")
     n = cells_of(spark, d).count()
-    return similarity.exact_pairs(values, n, k, 0.2, "gene_id", "cell_id", "value").select("id0", "id1", r6("similarity"), "rank")
+    return similarity.exact_pairs(values, n, k, 0.2, "gene_id", "cell_id", "value").select(F.col("id0").cast("int").alias("id0"), F.col("id1").cast("int").alias("id1"), r6("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def _signatures(spark, d, bits=LSH_BITS):
@@ -251,7 +251,7 @@ def compare_pair_sets(spark, d):
 
 def gene_graph_edges(spark, d):
     pairs = similarity.exact_pairs(matrix.normalised(counts_of(spark, d), "L2"), cells_of(spark, d).count(), 20, 0.3, "gene_id", "cell_id", "value")
-    return graphs.knn_graph(pairs, genes_of(spark, d).select(F.col("gene_id").alias("id")), 0.5, 20)[1].select("src", "dst", r6("similarity"))
+    return graphs.knn_graph(pairs, genes_of(spark, d).select(F.col("gene_id").alias("id")), 0.5, 20)[1].select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), r6("similarity"))
 
 
 def _cell_graph(spark, d):
