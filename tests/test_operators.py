@@ -66,6 +66,37 @@ def test_signatures_estimate_the_similarity(spark, data):
     assert len(text) == bits and set(text) <= {"x", "_"}
 
 
+def test_sliced_searches_keep_buckets_of_every_size(spark):
+    """Copies (1,300 rows, above any bucket limit), near copies of them that share most slices, and rows apart."""
+    rng = np.random.default_rng(5)
+    base, bits, k = rng.random(64) < 0.5, 64, 4
+    flags = [base] * 1300 + [base ^ (np.arange(64) == b) for b in range(40)] + [rng.random(64) < 0.5 for _ in range(60)]
+    order = rng.permutation(len(flags))
+    flags = np.array(flags)[order]
+    words = np.packbits(flags, axis=1).view(">u8").astype(np.uint64).view(np.int64)
+    sigs = spark.createDataFrame([(i, [int(w[0])]) for i, w in enumerate(words)], "id bigint, sig array<bigint>").cache()
+    m = (flags[:, None, :] != flags[None, :, :]).sum(axis=2)
+    share = (flags.reshape(-1, 1, 4, 16) == flags.reshape(1, -1, 4, 16)).all(axis=3).any(axis=2)
+    near = np.where(share & (np.cos(np.pi * m / bits) > 0.5), m, 99)
+    np.fill_diagonal(near, 99)
+    best = np.argsort(near, axis=1, kind="stable")[:, :k]
+    want = {(i, r + 1, int(j)) for i in range(len(near)) for r, j in enumerate(best[i]) if near[i, j] < 99}
+    for overflow in (0, 10, 1000):  # by joins only, most buckets in blocks, as the queries do
+        found = lsh.lsh_pairs_sliced(sigs, bits, 16, overflow, k, 0.5).collect()
+        assert {(r["id0"], r["rank"], r["id1"]) for r in found} == want and len(found) == len(want)
+        assert all(abs(r["similarity"] - math.cos(math.pi * m[r["id0"], r["id1"]] / bits)) < 1e-12 for r in found)
+    multi = {(r["id0"], r["id1"]) for r in lsh.lsh_pairs_multi_slice(sigs, bits, [16], 30, k, 0.5).collect()}
+    want = set()
+    for i in range(len(flags)):
+        seen = []
+        for part in range(4):
+            same = (flags.reshape(-1, 4, 16)[:, part] == flags[i].reshape(4, 16)[part]).all(axis=1)
+            seen += [int(j) for j in np.nonzero(same)[0] if j != i and j not in seen]
+        good = [(m[i, j], j) for j in seen[:30] if m[i, j] < lsh.most_mismatches(0.5, bits)]
+        want |= {(i, j) for _, j in sorted(good)[:k]}
+    assert multi == want
+
+
 def test_signatures_do_not_depend_on_the_partitioning(data):
     _, df = data
     a = {r["id"]: r["sig"] for r in lsh.signatures(df, N, 128).collect()}
