@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countgrid.llm.hilbert import hilbert_key
 from countgrid.llm.vectors import standardised
+from countgrid.session import Scratch
 
 CURVES = 16
 #: Rows on either side of a row that its curve window covers at least.
@@ -63,6 +64,9 @@ def curve_keys(vectors: np.ndarray, fitted: dict, curve: int) -> np.ndarray:
 def nearest_rows(rows: DataFrame, dims: int, k: int, *, curves: int = CURVES, window: int = WINDOW, seed: int = 11) -> DataFrame:
     """``cell_id, other_id, similarity, rank`` of the ``k`` most similar rows found for every row.
 
+    Rows of equal lists are indexed once, by their smallest id; their ``k`` + 1 smallest ids
+    then stand for the group in the result, so that its size doesn't matter.
+
     ``rows`` has ``cell_id`` (integer, unique), ``genes`` and ``counts``. The order is
     similarity descending, then id ascending. Rows whose values are all equal have
     no correlation: they are nobody's neighbour and have none. Rows with a null id
@@ -74,6 +78,8 @@ def nearest_rows(rows: DataFrame, dims: int, k: int, *, curves: int = CURVES, wi
     """
     spark = rows.sparkSession
     rows = rows.filter("cell_id IS NOT NULL AND genes IS NOT NULL AND counts IS NOT NULL").select(F.col("cell_id").cast("bigint").alias("cell_id"), "genes", "counts")
+    scratch = Scratch(spark, "nearest")
+    rows, ids = _distinct_rows(rows, k + 1, scratch)
     # A few fixed-size matrices: their size doesn't depend on the number of rows.
     n = rows.count()
     fitted = spark.sparkContext.broadcast(fit_curves(rows, n, dims, curves, seed))
@@ -95,15 +101,46 @@ def nearest_rows(rows: DataFrame, dims: int, k: int, *, curves: int = CURVES, wi
         yield from _windows(frames, dims, k, window)
 
     placed = rows.mapInArrow(keys, "curve int, key bigint, cell_id bigint, genes array<int>, counts array<float>")
-    placed = placed.repartitionByRange(tasks, "curve", "key").sortWithinPartitions("curve", "key")
+    placed = placed.repartitionByRange(tasks, "curve", "key").sortWithinPartitions("curve", "key", "cell_id")
     best = placed.mapInArrow(scan, "cell_id bigint, found array<struct<s:double,o:bigint>>")
     # curves * k candidates per row; -id makes the greatest struct the first in order.
     merged = best.groupBy("cell_id").agg(F.flatten(F.collect_list("found")).alias("found"))
     merged = merged.select("cell_id", F.slice(F.sort_array(F.array_distinct("found"), asc=False), 1, k).alias("found"))
-    out = merged.select("cell_id", F.posexplode("found").alias("rank", "f"))
+    out = _with_copies(scratch.keep(merged), ids, k)
     return out.select("cell_id", (-F.col("f.o")).alias("other_id"), F.col("f.s").alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
 
+def _distinct_rows(rows: DataFrame, most: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """One row per distinct content, by its smallest id; and ``cell_id, first, ids`` of every row: that id and the group's ``most`` smallest.
+
+    Groups are found by a 128-bit hash of the entries in the order of the features.
+    """
+    entries = F.array_sort(F.filter(F.arrays_zip("genes", "counts"), lambda e: e["counts"] != 0))
+    keyed = scratch.keep(rows.select("cell_id", F.xxhash64(entries).alias("h"), F.xxhash64(F.lit(1), entries).alias("g")))
+    few = keyed.withColumn("r", F.row_number().over(Window.partitionBy("h", "g").orderBy("cell_id"))).filter(F.col("r") <= most)
+    groups = scratch.keep(few.groupBy("h", "g").agg(F.min("cell_id").alias("first"), F.sort_array(F.collect_list("cell_id")).alias("ids")))
+    ids = scratch.keep(keyed.join(groups, ["h", "g"]).select("cell_id", "first", "ids"))
+    return rows.join(groups.select(F.col("first").alias("cell_id")), "cell_id", "left_semi"), ids
+
+
+def _with_copies(merged: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``cell_id, rank, f`` of every row from the ``k`` best groups (``cell_id, found``) of its group.
+
+    A group that k others precede by (similarity, smallest id) has no row among the k best.
+    """
+    groups = ids.filter("cell_id = first").select("first", "ids")
+    other = merged.select("cell_id", F.explode("found").alias("f")).select("cell_id", F.col("f.s").alias("s"), (-F.col("f.o")).alias("first"))
+    rows = other.join(groups, "first").select("cell_id", "s", F.explode(F.slice("ids", 1, k)).alias("o"))
+    best = rows.groupBy(F.col("cell_id").alias("first")).agg(F.collect_list(F.struct("s", (-F.col("o")).alias("o"))).alias("found"))
+    # Rows without a correlation aren't in ``merged``.
+    best = merged.select(F.col("cell_id").alias("first")).join(best, "first", "left")
+    kind = "array<struct<s:double,o:bigint>>"
+    own = F.transform("ids", lambda i: F.struct(F.lit(1.0).alias("s"), (-i).alias("o")))
+    every = F.concat(own.cast(kind), F.coalesce(F.col("found"), F.array().cast(kind)))
+    every = F.filter(every, lambda f: f["o"] != -F.col("cell_id"))
+    return ids.join(best, "first").select("cell_id", F.posexplode(F.slice(F.sort_array(every, asc=False), 1, k)).alias("rank", "f"))
+
+
 def _windows(frames: Iterator[pa.RecordBatch], dims: int, k: int, block: int) -> Iterator[pa.RecordBatch]:
     """Compares each block of a sorted stream with itself and the blocks beside it; keeps three blocks in memory."""
     before: tuple | None = None

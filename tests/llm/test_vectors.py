@@ -68,6 +68,23 @@ def test_neighbours_against_brute_force(spark):
         assert [own[k + 1] for k in range(len(own))] == sorted(own.values(), key=lambda p: (-p[1], p[0]))
 
 
+def test_copies_in_any_number_give_the_smallest_ids(spark):
+    """900 copies in shuffled places, more than a row's window of three blocks; a close row that has them as neighbours."""
+    x = matrix()
+    close = x[0].copy()
+    close[np.nonzero(close)[0][0]] += 1
+    x = np.concatenate([x, np.repeat(x[:1], 900, axis=0), close[None]])[np.random.default_rng(4).permutation(len(x) + 901)]
+    s = pearson(x).round(9)
+    np.fill_diagonal(s, -3)
+    found = {}
+    for r in nearest_rows(frame(spark, x), DIMS, 5).collect():
+        found.setdefault(r["cell_id"], {})[r["rank"]] = r["other_id"]
+    copies = np.nonzero((s == 1).sum(axis=1) > 800)[0]
+    assert len(copies) == 902
+    for i in [*copies, int(s[:, copies[0]].argsort()[-903])]:
+        assert [found[i][r + 1] for r in range(5)] == list(np.lexsort((np.arange(len(s)), -s[i]))[:5])
+
+
 def test_small_windows_still_agree_with_the_exact_similarity(spark):
     x = matrix()
     s = pearson(x)
