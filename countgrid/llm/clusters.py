@@ -1,17 +1,16 @@
-"""Clusters of mutually similar rows by distributed k-means over hashed features.
-
-Rows become unit vectors of signed, hashed, count-weighted features whose inner
-products estimate the Pearson correlations of the rows. k-means starts from
-parallel oversampled seeding (k-means||: rounds that draw many rows at once with
-a chance in proportion to their cost) and runs as map-side partial sums per
-centre, so a round moves one small matrix per task and no row. Seeding continues
-over the rows no centre explains, which is how small clusters are found. Centres
-of one cluster are then merged, and every row is checked exactly against the
-exact mean of its cluster.
+"""Clusters of mutually similar rows by rounds of drawn rows.
+
+Each round draws rows at random. Drawn rows similar to one of them form a centre,
+the mean of their standardised vectors, whose inner product with a row is the row's
+mean similarity to them. A row whose mean similarity is high enough goes to its best
+centre; the others stay for the next round, which draws from them only. In the end
+every row is checked against the exact mean of its cluster, and rows that fail
+go through further rounds.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,151 +18,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countgrid.llm.vectors import hashed, standardised
+from countgrid.llm.vectors import standardised
 from countgrid.session import Scratch
 
-#: Hashed features per row.
-BUCKETS = 512
-#: Rows drawn as centres per seeding round, at most; with the rounds it bounds the centres broadcast
-#: (4,000 * 512 floats are 8 MB a round).
+#: Rows drawn per round, and values of the centres broadcast (24 MB), at most.
 SEEDS = 4_000
+CENTRE_VALUES = 6_000_000
 ROUNDS = 8
-ITERATIONS = 2
-
-
-def _centre_sums(rows: DataFrame, centres, dims: int, buckets: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sum and number of the row vectors nearest to each centre, as partial sums per task."""
-
-    def partial(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = centres.value
-        sums = np.zeros_like(c, dtype=np.float64)
-        counts = np.zeros(len(c), np.int64)
-        for _, vectors in _vectors(frames, dims, buckets):
-            score, best = nearest(vectors, c)
-            near = score >= reach
-            np.add.at(sums, best[near], vectors[near])
-            counts += np.bincount(best[near], minlength=len(c))
-        used = np.nonzero(counts)[0]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(used) + 1, dtype=np.int32) * buckets), pa.array(sums[used].ravel()))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used]), lists], ["centre", "n", "total"])
-
-    parts = rows.mapInArrow(partial, "centre bigint, n bigint, total array<double>")
-    element = F.posexplode("total").alias("d", "x")
-    summed = parts.select("centre", "n", element).groupBy("centre", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    table = summed.groupBy("centre").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v")).select("centre", "n", "v.x").toArrow()
-    sums, counts = np.zeros_like(centres.value, dtype=np.float64), np.zeros(len(centres.value), np.int64)
-    at = table["centre"].to_numpy()
-    if len(at):
-        counts[at] = table["n"].to_numpy()
-        sums[at] = np.concatenate([np.asarray(x) for x in table["x"].to_numpy(zero_copy_only=False)]).reshape(len(at), -1)
-    return sums, counts
-
-
-def _vectors(frames: Iterator[pa.RecordBatch], dims: int, buckets: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-    for frame in frames:
-        for at in range(0, frame.num_rows, 2048):
-            part = frame.slice(at, 2048)
-            yield part, hashed(part.column("genes"), part.column("counts"), dims, buckets)
-
-
-def nearest(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best cosine and its centre; -1 without centres."""
-    if not len(centres):
-        return np.full(len(vectors), -1.0, np.float32), np.zeros(len(vectors), np.int64)
-    score = vectors @ centres.T
-    best = score.argmax(axis=1)
-    return score[np.arange(len(best)), best], best
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, length, out=np.zeros_like(x), where=length > 1e-12).astype(np.float32)
 
 
-class KMeans:
-    """Seeding and refinement. ``reach`` is the cosine from which a centre explains a row."""
-
-    def __init__(self, rows: DataFrame, dims: int, reach: float, *, buckets: int = BUCKETS, seeds: int = SEEDS, rounds: int = ROUNDS, iterations: int = ITERATIONS, seed: int = 5):
-        self.rows, self.dims, self.reach, self.buckets = rows, dims, reach, buckets
-        self.seeds, self.rounds, self.iterations, self.seed = seeds, rounds, iterations, seed
-        self.scratch = Scratch(rows.sparkSession, "kmeans")
-
-    def _draw(self, rows: DataFrame, expected: float, number: int) -> np.ndarray:
-        """Draws rows with a chance in proportion to ``cost``; about ``expected``, at most twice as many."""
-        total = rows.agg(F.sum("cost")).first()[0] or 0.0
-        if total <= 0:
-            return np.zeros((0, self.buckets), np.float32)
+def _vectors(frames: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    step = max(16, min(2048, 4_000_000 // max(dims, 1)))
+    for frame in frames:
+        for at in range(0, frame.num_rows, step):
+            part = frame.slice(at, step)
+            yield part, standardised(part.column("genes"), part.column("counts"), dims)
+
+
+def led_means(vectors: np.ndarray, similarity: float) -> np.ndarray:
+    """The mean of each leader and its followers: a row not yet taken leads, and takes all others similar to itself."""
+    free = np.ones(len(vectors), bool)
+    means = []
+    for i in range(len(vectors)):
+        if free[i]:
+            own = free & (vectors @ vectors[i] >= similarity)
+            own[i] = True
+            means.append(vectors[own].mean(axis=0))
+            free &= ~own
+    return np.stack(means) if means else np.zeros((0, vectors.shape[1]), np.float32)
+
+
+class Rounds:
+    """Places rows at centres. ``similarity`` is the mean similarity to a centre's rows from which it takes a row."""
+
+    def __init__(self, dims: int, similarity: float, scratch: Scratch, *, seeds: int = SEEDS, rounds: int = ROUNDS, seed: int = 5):
+        self.dims, self.similarity, self.scratch, self.rounds, self.seed = dims, similarity, scratch, rounds, seed
+        self.seeds = max(1, min(seeds, CENTRE_VALUES // max(dims, 1)))
+        self.number = self.centres = 0
+
+    def _draw(self, left: DataFrame, n: int, expected: int) -> np.ndarray:
+        """Vectors of about ``expected`` of the ``n`` rows; at most that number where all are drawn, else twice as many."""
         # A hash of the id makes the draw the same when a lost task is run again.
-        chance = F.pmod(F.xxhash64("cell_id", F.lit(self.seed + number)), F.lit(1 << 30)) / float(1 << 30)
-        drawn = rows.filter(chance < F.col("cost") * (expected / total)).limit(int(2 * expected)).select("genes", "counts").toArrow().combine_chunks()
+        chance = F.pmod(F.xxhash64("cell_id", F.lit(self.seed + self.number)), F.lit(1 << 30)) / float(1 << 30)
+        drawn = left.filter(chance < expected / n).limit(2 * expected).select("genes", "counts").toArrow().combine_chunks()
         if drawn.num_rows == 0:
-            return np.zeros((0, self.buckets), np.float32)
-        return hashed(drawn["genes"].chunk(0), drawn["counts"].chunk(0), self.dims, self.buckets)
-
-    def _unexplained(self, rows: DataFrame, centres: np.ndarray) -> DataFrame:
-        """The rows that no centre explains, with their cost 1 - cosine."""
-        shared, dims, buckets, reach = self.rows.sparkSession.sparkContext.broadcast(centres), self.dims, self.buckets, self.reach
-
-        def cost(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, vectors in _vectors(frames, dims, buckets):
-                score, _ = nearest(vectors, shared.value)
-                left = np.nonzero((score < reach) & (np.abs(vectors).sum(axis=1) > 0))[0]
-                kept = part.take(pa.array(left))
-                yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in ("cell_id", "genes", "counts")], pa.array(1.0 - score[left].astype(np.float64))], ["cell_id", "genes", "counts", "cost"])
-
-        schema = "cell_id bigint, genes array<int>, counts array<float>, cost double"
-        return rows.select("cell_id", "genes", "counts").mapInArrow(cost, schema)
-
-    def fit(self) -> np.ndarray:
-        """Unit centres. A centre that is refined may explain further rows, so seeding and refinement take turns."""
-        centres = np.zeros((0, self.buckets), np.float32)
-        left = self.rows.withColumn("cost", F.lit(1.0))
-        for number in range(self.rounds):
+            return np.zeros((0, self.dims), np.float32)
+        return standardised(drawn["genes"].chunk(0), drawn["counts"].chunk(0), self.dims)
+
+    def place(self, rows: DataFrame) -> DataFrame | None:
+        """``cell_id, c, genes, counts`` of the rows with their centres; None without rows."""
+        left, parts = rows, []
+        for at in range(self.rounds):
             n = left.count()
             if not n:
                 break
-            # Oversampling: as many seeds a round as fit, but at first no more than needed to hit the large clusters.
-            expected = min(self.seeds, max(256, n // 4)) if number else min(self.seeds, max(256, n // 64))
-            drawn = self._draw(left, expected, number)
+            # At first no more than needed to hit the large clusters.
+            drawn = self._draw(left, n, min(n, self.seeds, max(256, n // 64) if at == 0 else n))
+            self.number += 1
             if not len(drawn):
                 continue
-            new = self._refine(left, drawn)
-            centres = np.concatenate([centres, new])
-            left = self.scratch.keep(self._unexplained(left, new))
-        return self._merged(centres)
-
-    def _refine(self, rows: DataFrame, centres: np.ndarray) -> np.ndarray:
-        """Lloyd's steps: centres move to the mean of the rows they explain; close ones merge first."""
-        context = self.rows.sparkSession.sparkContext
-        for _ in range(self.iterations):
-            centres = self._merged(centres)
-            sums, counts = _centre_sums(rows, context.broadcast(centres), self.dims, self.buckets, self.reach)
-            centres = _unit(np.where(counts[:, None] > 0, sums, centres))
-        return centres
-
-    def _merged(self, centres: np.ndarray) -> np.ndarray:
-        """One centre per group of centres that explain each other, by linking in blocks."""
-        parent = np.arange(len(centres))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for at in range(0, len(centres), 1024):
-            near = centres[at : at + 1024] @ centres.T >= self.reach
-            for i, j in zip(*np.nonzero(near)):
-                a, b = root(at + int(i)), root(int(j))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        roots = np.array([root(i) for i in range(len(centres))], np.int64)
-        if not len(roots):
-            return centres
-        keep, group = np.unique(roots, return_inverse=True)
-        sums = np.zeros((len(keep), centres.shape[1]))
-        np.add.at(sums, group, centres)
-        return _unit(sums)
+            done = self.scratch.keep(self._placed(left, led_means(drawn, self.similarity)))
+            parts.append(done.filter("c >= 0"))
+            left = done.filter("c < 0").drop("c")
+        return functools.reduce(DataFrame.unionByName, parts) if parts else None
+
+    def _placed(self, rows: DataFrame, means: np.ndarray) -> DataFrame:
+        shared, dims, similarity, first = rows.sparkSession.sparkContext.broadcast(means), self.dims, self.similarity, self.centres
+        self.centres += len(means)
+
+        def best(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, vectors in _vectors(frames, dims):
+                score = vectors @ shared.value.T
+                at = score.argmax(axis=1)
+                c = np.where(score[np.arange(len(at)), at] >= similarity, at + first, -1)
+                moving = pa.array(np.nonzero(np.abs(vectors).max(axis=1) > 0)[0])
+                kept = part.take(moving)
+                yield pa.RecordBatch.from_arrays([kept.column("cell_id"), pa.array(c).take(moving), kept.column("genes"), kept.column("counts")], ["cell_id", "c", "genes", "counts"])
+
+        return rows.select("cell_id", "genes", "counts").mapInArrow(best, "cell_id bigint, c bigint, genes array<int>, counts array<float>")
 
 
 def similarity_clusters(
@@ -173,7 +105,7 @@ def similarity_clusters(
     join_similarity: float = 0.39,
     min_size: int = 2,
     typical: int = 3,
-    **kmeans,
+    **rounds,
 ) -> tuple[DataFrame, DataFrame]:
     """Members and descriptions of the clusters of mutually similar rows.
 
@@ -195,21 +127,15 @@ def similarity_clusters(
     """
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "clusters")
     rows = rows.filter("cell_id IS NOT NULL AND genes IS NOT NULL AND counts IS NOT NULL").select(F.col("cell_id").cast("bigint").alias("cell_id"), "genes", "counts")
-    model = KMeans(rows, dims, kmeans.pop("reach", _hashed_reach(join_similarity)), **kmeans)
-    centres = spark.sparkContext.broadcast(model.fit())
-    buckets, reach = model.buckets, model.reach
-
-    def assign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, vectors in _vectors(frames, dims, buckets):
-            score, best = nearest(vectors, centres.value)
-            yield _exact(part, best, score >= reach, dims)
-
-    def _exact(part: pa.RecordBatch, best: np.ndarray, near: np.ndarray, dims: int) -> pa.RecordBatch:
-        kept = part.take(pa.array(np.nonzero(near)[0]))
-        return pa.RecordBatch.from_arrays([kept.column("cell_id"), pa.array(best[near]), kept.column("genes"), kept.column("counts")], ["cell_id", "c", "genes", "counts"])
-
-    placed = scratch.keep(rows.mapInArrow(assign, "cell_id bigint, c bigint, genes array<int>, counts array<float>"))
-    placed = _checked(placed, dims, join_similarity, scratch)
+    model = Rounds(dims, join_similarity, scratch, **rounds)
+    checked, pending = [], rows
+    while (placed := model.place(pending)) is not None:
+        good = _checked(placed, dims, join_similarity, scratch)
+        checked.append(good)
+        if good.count() in (0, placed.count()):
+            break
+        pending = scratch.keep(placed.select("cell_id", "genes", "counts").join(good.select("cell_id"), "cell_id", "left_anti"))
+    placed = functools.reduce(DataFrame.unionByName, checked) if checked else spark.createDataFrame([], "cell_id bigint, c bigint, score double")
     sizes = placed.groupBy("c").agg(F.count(F.lit(1)).alias("vertex_count"), F.min("cell_id").alias("cluster_id"), F.avg("score").alias("mean_similarity"))
     sizes = scratch.keep(sizes.filter(F.col("vertex_count") >= min_size))
     members = placed.select("cell_id", "c", "score").join(sizes.select("c", "cluster_id"), "c").select("cell_id", "cluster_id", F.col("score").alias("mean_similarity"))
@@ -219,16 +145,6 @@ def similarity_clusters(
     return members, clusters
 
 
-def _hashed_reach(similarity: float) -> float:
-    """Cosine with a centroid from which a row is taken as a candidate of a cluster.
-
-    The mean similarity to the members is the cosine with the centroid times the
-    centroid's length, which is at most 1, so a member's cosine is at least ``similarity``.
-    Half a standard error of hashing is left on top, as an outsider's cosine is well below.
-    """
-    return similarity + 0.5 / np.sqrt(BUCKETS)
-
-
 def _nearest_members(placed: DataFrame, typical: int) -> DataFrame:
     def best(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None

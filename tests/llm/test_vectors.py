@@ -107,6 +107,35 @@ def test_clusters(spark):
         assert abs(mean[np.isin(ids[own], r["typical_cells"])].min() - np.sort(mean)[-3]) < 1e-6
 
 
+def groups(sizes, inside, across, loners, dims=400, seed=6):
+    """Rows whose pairs have about these similarities within and across groups, as positive counts."""
+    rng = np.random.default_rng(seed)
+    common, own, noise = np.sqrt(across), np.sqrt(inside - across), np.sqrt(1 - inside)
+    # Orthogonal parts of mean 0 keep the similarities exact.
+    q = np.linalg.qr(np.column_stack([np.ones(dims), rng.standard_normal((dims, dims - 1))]))[0].T[1:]
+    rows, at = [], 1 + len(sizes)
+    for g, size in enumerate(sizes):
+        for _ in range(size):
+            rows.append(common * q[0] + own * q[1 + g] + noise * q[at])
+            at += 1
+    rows += [q[at + i] for i in range(loners)]
+    return np.array(rows) * 100 + 100
+
+
+def test_clusters_at_the_stated_bounds(spark):
+    """Pairs at 0.43 within a group and 0.35 across: neither a small group beside a large one nor the large one is lost."""
+    sizes = (150, 5, 60, 7)
+    x = groups(sizes, 0.43, 0.35, 20)
+    s = pearson(x)
+    label = np.repeat(np.arange(4), sizes)
+    same = label[:, None] == label[None, :]
+    n = len(label)
+    assert s[:n, :n][same].min() >= 0.42 and s[:n, :n][~same].max() <= 0.36 and np.abs(s[n:] - np.eye(len(x))[n:]).max() < 0.1
+    members, _ = similarity_clusters(frame(spark, x), 400, join_similarity=0.39, min_size=5)
+    first = np.concatenate([[0], np.cumsum(sizes)])[label]
+    assert {r["cell_id"]: r["cluster_id"] for r in members.collect()} == dict(enumerate(first.tolist()))
+
+
 def test_empty(spark):
     none = frame(spark, np.zeros((0, DIMS)))
     assert nearest_rows(none, DIMS, 5).count() == 0
