@@ -24,7 +24,6 @@ from countgrid.session import Scratch
 #: Rows drawn per round, and values of the centres broadcast (24 MB), at most.
 SEEDS = 4_000
 CENTRE_VALUES = 6_000_000
-ROUNDS = 8
 
 
 def _vectors(frames: Iterator[pa.RecordBatch], dims: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
@@ -39,20 +38,23 @@ def led_means(vectors: np.ndarray, similarity: float) -> np.ndarray:
     """The mean of each leader and its followers: a row not yet taken leads, and takes all others similar to itself."""
     free = np.ones(len(vectors), bool)
     means = []
-    for i in range(len(vectors)):
-        if free[i]:
-            own = free & (vectors @ vectors[i] >= similarity)
-            own[i] = True
-            means.append(vectors[own].mean(axis=0))
-            free &= ~own
+    for at in range(0, len(vectors), 512):
+        near = vectors[at : at + 512] @ vectors.T >= similarity
+        for i in np.nonzero(free[at : at + 512])[0]:
+            if free[at + i]:
+                own = free & near[i]
+                own[at + i] = True
+                means.append(vectors[own].mean(axis=0))
+                free &= ~own
     return np.stack(means) if means else np.zeros((0, vectors.shape[1]), np.float32)
 
 
 class Rounds:
     """Places rows at centres. ``similarity`` is the mean similarity to a centre's rows from which it takes a row."""
 
-    def __init__(self, dims: int, similarity: float, scratch: Scratch, *, seeds: int = SEEDS, rounds: int = ROUNDS, seed: int = 5):
-        self.dims, self.similarity, self.scratch, self.rounds, self.seed = dims, similarity, scratch, rounds, seed
+    def __init__(self, dims: int, similarity: float, scratch: Scratch, *, seeds: int = SEEDS, seed: int = 5):
+        # A drawn row must reach its own centre in single precision.
+        self.dims, self.similarity, self.scratch, self.seed = dims, min(similarity, 1 - 1e-5), scratch, seed
         self.seeds = max(1, min(seeds, CENTRE_VALUES // max(dims, 1)))
         self.number = self.centres = 0
 
@@ -66,14 +68,14 @@ class Rounds:
         return standardised(drawn["genes"].chunk(0), drawn["counts"].chunk(0), self.dims)
 
     def place(self, rows: DataFrame) -> DataFrame | None:
-        """``cell_id, c, genes, counts`` of the rows with their centres; None without rows."""
+        """``cell_id, c, genes, counts`` of the rows with their centres; None without rows.
+
+        Goes on until no row is left: a drawn row is placed at least where it leads and nothing follows.
+        """
         left, parts = rows, []
-        for at in range(self.rounds):
-            n = left.count()
-            if not n:
-                break
+        while n := left.count():
             # At first no more than needed to hit the large clusters.
-            drawn = self._draw(left, n, min(n, self.seeds, max(256, n // 64) if at == 0 else n))
+            drawn = self._draw(left, n, min(n, self.seeds, n if parts else max(256, n // 64)))
             self.number += 1
             if not len(drawn):
                 continue
@@ -105,7 +107,7 @@ def similarity_clusters(
     join_similarity: float = 0.39,
     min_size: int = 2,
     typical: int = 3,
-    **rounds,
+    **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Members and descriptions of the clusters of mutually similar rows.
 
@@ -127,7 +129,7 @@ def similarity_clusters(
     """
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "clusters")
     rows = rows.filter("cell_id IS NOT NULL AND genes IS NOT NULL AND counts IS NOT NULL").select(F.col("cell_id").cast("bigint").alias("cell_id"), "genes", "counts")
-    model = Rounds(dims, join_similarity, scratch, **rounds)
+    model = Rounds(dims, join_similarity, scratch, **options)
     checked, pending = [], rows
     while (placed := model.place(pending)) is not None:
         good = _checked(placed, dims, join_similarity, scratch)

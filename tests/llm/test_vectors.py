@@ -136,6 +136,15 @@ def test_clusters_at_the_stated_bounds(spark):
     assert {r["cell_id"]: r["cluster_id"] for r in members.collect()} == dict(enumerate(first.tolist()))
 
 
+def test_no_row_is_left_by_the_rounds(spark):
+    """More groups and loners than ten rounds draw rows."""
+    x = groups((5,) * 6, 0.8, 0.1, 120)
+    members, clusters = similarity_clusters(frame(spark, x), 400, join_similarity=0.39, min_size=1, seeds=12)
+    want = {i: i // 5 * 5 if i < 30 else i for i in range(150)}
+    assert {r["cell_id"]: r["cluster_id"] for r in members.collect()} == want
+    assert sorted(r["vertex_count"] for r in clusters.collect()) == [1] * 120 + [5] * 6
+
+
 def test_empty(spark):
     none = frame(spark, np.zeros((0, DIMS)))
     assert nearest_rows(none, DIMS, 5).count() == 0
