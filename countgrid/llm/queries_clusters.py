@@ -20,9 +20,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size and most typical cells of every group."""
+    """Size and most typical cells of every group, also of those below ``GROUP_CELLS`` and of single cells."""
     rows, dims = cell_rows(spark, sf_dir)
-    _, clusters = similarity_clusters(rows, dims, join_similarity=JOIN, min_size=GROUP_CELLS)
+    _, clusters = similarity_clusters(rows, dims, join_similarity=JOIN, min_size=1)
     return clusters
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from countgrid.llm import queries_clusters
 from countgrid.llm.clusters import similarity_clusters
 from countgrid.llm.hilbert import hilbert_key
 from countgrid.llm.neighbours import nearest_rows
@@ -145,6 +146,14 @@ def test_no_row_is_left_by_the_rounds(spark):
     assert sorted(r["vertex_count"] for r in clusters.collect()) == [1] * 120 + [5] * 6
 
 
+def test_p1_groups_describes_small_groups(spark, monkeypatch):
+    x = groups((5, 3, 2), 0.8, 0.1, 1)
+    monkeypatch.setattr(queries_clusters, "cell_rows", lambda spark, d: (frame(spark, x), 400))
+    got = {r["cluster_id"]: r["vertex_count"] for r in queries_clusters.p1_groups(spark, "").collect()}
+    assert got == {0: 5, 5: 3, 8: 2, 10: 1}
+    assert {r["cell_id"] for r in queries_clusters.p1_found(spark, "").collect()} == set(range(5))
+
+
 def test_empty(spark):
     none = frame(spark, np.zeros((0, DIMS)))
     assert nearest_rows(none, DIMS, 5).count() == 0
