@@ -213,6 +213,10 @@ def find_leaks(
     null, empty or short texts (under ``window`` words) give no rows; repeated
     document rows or items in several suites each count for their own ids; empty
     tables give an empty result; other columns are ignored.
+
+    The default finds hardly more than exact windows: of the eight shingles of 12 words one changed word
+    leaves at most 7 of 9 (0.78 at equal weights), and few such windows are within 2 bits. Partial
+    matches need a larger ``window``, a larger ``radius`` and a lower ``min_similarity``.
     """
     spark = docs.sparkSession
     passages = item_passages(items, item_id, item_text, window)
