@@ -8,10 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from countgrid.operators.lsh import mismatches
 from countgrid.operators.matrix import average_profiles
 from countgrid.operators.similarity import pair_similarity
-from countgrid.session import Scratch
+from countgrid.session import Scratch, shuffle_partitions
 
 
 def knn_graph(pairs: DataFrame, members: DataFrame, threshold: float = 0.5, k: int = 20, keep_isolated: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -46,9 +45,9 @@ def connectivity(edges: DataFrame) -> DataFrame:
 def label_propagation(vertices: DataFrame, edges: DataFrame, seed: int = 231, stable_iterations: int = 3, max_iterations: int = 100) -> DataFrame:
     """``id, cluster_id``: labels spread by the greatest sum of similarities among the neighbours.
 
-    In each iteration a random half of the vertices, chosen by a hash, takes its
-    best label (ties keep the present one, then the smaller one); updating only a
-    half keeps two-coloured parts from swapping for ever. It ends after
+    In each iteration a random half of the vertices, chosen by MD5 of ``id:seed:iteration``, takes
+    its best label (ties, to nine digits, keep the present one, then the smaller one); updating only
+    a half keeps two-coloured parts from swapping for ever. It ends after
     ``stable_iterations`` iterations without a change. Clusters are numbered by size,
     then by smallest member. Lineage is cut in shared storage each iteration.
     """
@@ -57,10 +56,10 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, seed: int = 231, st
     labels = scratch.keep(vertices.select("id", F.col("id").alias("label")))
     quiet = 0
     for number in range(max_iterations):
-        weights = links.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.sum("similarity").alias("w"))
+        weights = links.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.round(F.sum("similarity"), 9).alias("w"))
         now = labels.withColumnRenamed("label", "present")
         ranked = weights.join(now, "id").groupBy("id").agg(F.max(F.struct("w", (F.col("label") == F.col("present")).alias("stay"), (-F.col("label")).alias("neg"))).alias("best"))
-        turn = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(number)), F.lit(2)) == 0
+        turn = F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(seed)), F.lit(str(number)))), 1, 1) < "8"
         fresh = now.join(ranked, "id", "left").select("id", "present", F.when(turn & F.col("best").isNotNull(), -F.col("best.neg")).otherwise(F.col("present")).alias("label"))
         fresh = scratch.keep(fresh)
         changed = not fresh.filter("label != present").isEmpty()
@@ -76,8 +75,26 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, seed: int = 231, st
 def numbered(labels: DataFrame, label: str = "label") -> DataFrame:
     """Cluster numbers from 0 by size (largest first), then by smallest member."""
     sizes = labels.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    order = Window.orderBy(F.desc("n"), "first")  # one row per cluster
-    return labels.join(sizes.withColumn("cluster_id", (F.row_number().over(order) - 1).cast("bigint")).select(label, "cluster_id"), label).select("id", "cluster_id")
+    ranked = with_places(sizes, [F.desc("n"), F.asc("first")], "cluster_id", Scratch(labels.sparkSession, "numbers"))
+    return labels.join(ranked.select(label, "cluster_id"), label).select("id", "cluster_id")
+
+
+def with_places(rows: DataFrame, order: list, name: str, scratch: Scratch) -> DataFrame:
+    """Adds ``name``: 0, 1, ... in a total order of all rows, without gathering them in one task.
+
+    Rows are range-partitioned and sorted; each partition counts from the number of rows
+    before it, for which one number a partition goes through the driver.
+    """
+    parted = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    # within a partition the low 33 bits count the rows in order
+    parted = scratch.keep(parted.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    starts, at = [], 0
+    for part, size in sorted(parted.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):  # one row per task
+        starts.append((part, at))
+        at += size
+    offsets = rows.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return parted.join(F.broadcast(offsets), "_part").withColumn(name, place).drop("_at", "_part", "_start")
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -91,9 +108,11 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         # shortcut: the component of the component
         jump = lower.select(F.col("id").alias("component"), F.col("component").alias("further"))
         fresh = scratch.keep(lower.join(jump, "component", "left").select("id", "before", F.least("component", F.coalesce("further", "component")).alias("component")))
-        if fresh.filter("before != component").isEmpty():
-            return fresh.select("id", "component")
+        scratch.drop(state)
         state = fresh.select("id", "component")
+        if fresh.filter("before != component").isEmpty():
+            return state
+        state._countgrid_path = fresh._countgrid_path
 
 
 def cluster_edges(edges: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -189,12 +208,6 @@ def signature_categories(sigs: DataFrame, vertices: DataFrame, groups: DataFrame
     return counts.select(F.col("vertex").alias("id"), "value", (F.col("m") / F.col("n")).alias("fraction"))
 
 
-def signature_distance_edges(vertices: DataFrame) -> DataFrame:
-    """The same edges found by comparing vertices directly; for checks of small graphs."""
-    a, b = (vertices.select(F.col("id").alias(n), F.col("sig").alias(f"sig{k}")) for k, n in enumerate(("src", "dst")))
-    return a.join(b, F.col("src") < F.col("dst")).filter(mismatches() == 1).select("src", "dst")
-
-
 def compare_graphs(vertices0: DataFrame, edges0: DataFrame, vertices1: DataFrame, edges1: DataFrame) -> DataFrame:
     """Counts of vertices and edges in either, both, and with equal similarity."""
     count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
@@ -232,17 +245,22 @@ def category_colors(vertices: DataFrame, groups: DataFrame, other: str = "#00000
     return own.join(F.broadcast(top), "value", "left").select("id", "value", F.coalesce("color", F.lit(other)).alias("color"))
 
 
-def scale_colors(vertices: DataFrame, numbers: DataFrame) -> DataFrame:
-    """``id, value, color``: numbers on a scale from red over yellow to green between their extremes."""
-    span = numbers.agg(F.min("value").alias("low"), F.max("value").alias("high"))
+def scale_colors(vertices: DataFrame, numbers: DataFrame, low: float | None = None, high: float | None = None) -> DataFrame:
+    """``id, value, color``: numbers on a scale from red over yellow to green between two values, their extremes unless given."""
+    span = numbers.agg((F.min("value") if low is None else F.lit(low)).alias("low"), (F.max("value") if high is None else F.lit(high)).alias("high"))
     own = vertices.join(numbers, "id", "left").join(F.broadcast(span))
-    x = F.coalesce(F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
-    red, green = F.least(F.lit(1.0), 2 - 2 * x), F.least(F.lit(1.0), 2 * x)
-    byte = lambda c: F.round(c * 255).cast("int")
-    color = F.when(F.col("value").isNotNull(), F.format_string("#%02x%02x%02x", byte(red), byte(green), F.lit(0))).otherwise("#000000")
+    x = F.when(F.col("high") > F.col("low"), (F.col("value") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0)
+    part = lambda c: F.round(F.greatest(F.least(F.lit(1.0), c), F.lit(0.0)) * 255).cast("int")
+    color = F.when(F.col("value").isNotNull(), F.format_string("#%02x%02x%02x", part(2 - 2 * x), part(2 * x), F.lit(0))).otherwise("#000000")
     return own.select("id", "value", color.alias("color"))
 
 
+def given_colors(vertices: DataFrame, colors: DataFrame, other: str = "#000000") -> DataFrame:
+    """``id, value, color``: values that are colours themselves, as #rrggbb or a name; others are ``other``."""
+    own = vertices.join(colors, "id", "left").select("id", "value")
+    return own.withColumn("color", F.when(F.col("value").rlike(r"\A(#[0-9A-Fa-f]{6}|[A-Za-z]+)\z"), F.col("value")).otherwise(other))
+
+
 def greedy_group_colors(edges: DataFrame, groups: DataFrame) -> dict[str, int]:
     """The smallest colour not used by lower-numbered neighbouring groups; groups number as many as display categories."""
     a = groups.select(F.col("id").alias("src"), F.col("value").alias("g0"))

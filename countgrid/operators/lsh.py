@@ -7,18 +7,26 @@ as cos(pi m / L). Signatures are arrays of signed 64-bit words, first bit highes
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from countgrid.operators.similarity import BLOCK_ROWS, PAIRS, best_of_block, block_pairs, packed, pairs_table, top_k
-from countgrid.session import Scratch
+from countgrid.operators.similarity import PAIRS, TILE_ROWS, best_of_block, block_pairs, packed, pairs_table, pearson_tiles, top_k
+from countgrid.session import Scratch, shuffle_partitions
 
 SEED = 231
+#: Signatures of one block of the search of all pairs: 8 MB at 1,024 bits.
+BLOCK_SIGNATURES = 65_536
+#: Plane components that a worker keeps or draws at once.
+PLANE_VALUES = 64_000_000
+#: Values of a dense slice of rows during projection.
+SLICE_VALUES = 8_000_000
 
 
 def hyperplanes(features: np.ndarray, bits: int, seed: int) -> np.ndarray:
@@ -26,46 +34,60 @@ def hyperplanes(features: np.ndarray, bits: int, seed: int) -> np.ndarray:
     return np.stack([np.random.Generator(np.random.Philox(key=[seed, int(f)])).standard_normal(bits) for f in features]) if len(features) else np.zeros((0, bits))
 
 
-def plane_signs(features: DataFrame, bits: int, column: str = "gene_id") -> DataFrame:
-    """``feature, bit, sign`` of +-1 planes drawn from MD5, which any SQL engine can repeat."""
-    digit = F.substring(F.md5(F.concat_ws(":", F.col(column).cast("string"), F.col("bit").cast("string"))), 1, 1)
-    planes = features.select(column).distinct().withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
-    return planes.withColumn("sign", F.when(digit < "8", 1).otherwise(-1))
+def md5_planes(features: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    """Components +1 and -1 from MD5 of ``seed:feature:block``, 128 bits a block, which any SQL engine can repeat."""
+    blocks = range(-(-bits // 128))
+    raw = b"".join(hashlib.md5(f"{seed}:{int(f)}:{b}".encode()).digest() for f in features for b in blocks)
+    flags = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(len(features), len(blocks) * 128)[:, :bits]
+    return flags.astype(np.float64) * 2 - 1
 
 
-def signatures(values: DataFrame, n: int, bits: int = 1024, seed: int = SEED, row: str = "cell_id", feature: str = "gene_id", value: str = "count") -> DataFrame:
+@lru_cache(maxsize=2)
+def _plane_matrix(planes: Callable, n: int, bits: int, seed: int) -> np.ndarray:
+    """All planes, once per worker process, in single precision; only for as many values as a worker may keep."""
+    return planes(np.arange(n), bits, seed).astype(np.float32)
+
+
+@lru_cache(maxsize=2)
+def _plane_totals(planes: Callable, n: int, bits: int, seed: int) -> np.ndarray:
+    step = max(1, PLANE_VALUES // 16 // bits)
+    return sum((planes(np.arange(at, min(n, at + step)), bits, seed).astype(np.float32).astype(np.float64).sum(axis=0) for at in range(0, n, step)), np.zeros(bits))
+
+
+def signatures(values: DataFrame, n: int, bits: int = 1024, seed: int = SEED, row: str = "cell_id", feature: str = "gene_id", value: str = "count", planes: Callable = hyperplanes) -> DataFrame:
     """``id, sig``: the signature of every row over ``n`` features.
 
-    Subtracting the row mean is folded into the projection: (x - mean) u = x u - mean * sum(u).
+    ``planes(features, bits, seed)`` gives the planes' components. Subtracting the row mean is folded
+    into the projection: n (x - mean) u = n x u - sum(x) sum(u), which is exact for whole numbers.
+    Rows are projected in slices whose dense form is bounded, whatever the number of features.
     """
 
     def project(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: np.ndarray | None = None
-        known = np.zeros(0, np.int64)
-        total = None
+        total = _plane_totals(planes, n, bits, seed)
+        kept = _plane_matrix(planes, n, bits, seed) if n * bits <= PLANE_VALUES else None
+        words = -(-bits // 64)
         for frame in frames:
-            lists, vals = frame.column(1), frame.column(2)
-            f, v = lists.flatten().to_numpy(), vals.flatten().to_numpy()
-            bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            new = np.setdiff1d(f, known)
-            if len(new):
-                drawn = hyperplanes(new, bits, seed)
-                planes = drawn if planes is None else np.concatenate([planes, drawn])
-                order = np.argsort(np.concatenate([known, new]), kind="stable")
-                known, planes = np.concatenate([known, new])[order], planes[order]
-            if total is None:
-                total = np.zeros(bits)
-                for at in range(0, n, 4096):
-                    total += hyperplanes(np.arange(at, min(n, at + 4096)), bits, seed).sum(axis=0)
-            x = np.zeros((frame.num_rows, len(known)))
-            x[np.repeat(np.arange(frame.num_rows), np.diff(bounds)), np.searchsorted(known, f)] = v
-            side = x @ planes - (x.sum(axis=1) / n)[:, None] * total if len(known) else np.zeros((frame.num_rows, bits))
-            words = -(-bits // 64)
-            flags = np.zeros((frame.num_rows, words * 64), bool)
-            flags[:, :bits] = side > 0
-            packed_bits = np.packbits(flags, axis=1).view(">u8").astype(np.uint64).view(np.int64)
-            sig = pa.ListArray.from_arrays(pa.array(np.arange(frame.num_rows + 1, dtype=np.int32) * words), pa.array(packed_bits.ravel()))
-            yield pa.RecordBatch.from_arrays([frame.column(0), sig], ["id", "sig"])
+            at = 0
+            while at < frame.num_rows:
+                part = frame.slice(at, max(1, min(4096, SLICE_VALUES // max(n, 1))))
+                at += part.num_rows
+                lists = part.column(1)
+                f, v = lists.flatten().to_numpy(), part.column(2).flatten().to_numpy()
+                bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                own, spot = np.unique(f, return_inverse=True)
+                x = np.zeros((part.num_rows, len(own)))
+                x[np.repeat(np.arange(part.num_rows), np.diff(bounds)), spot] = v
+                side = -x.sum(axis=1)[:, None] * total
+                step = max(1, PLANE_VALUES // 16 // bits)
+                for low in range(0, len(own), step):
+                    some = own[low : low + step]
+                    u = kept[some] if kept is not None else planes(some, bits, seed).astype(np.float32)
+                    side += n * (x[:, low : low + step] @ u.astype(np.float64))
+                flags = np.zeros((part.num_rows, words * 64), bool)
+                flags[:, :bits] = side > 0
+                packed_bits = np.packbits(flags, axis=1).view(">u8").astype(np.uint64).view(np.int64)
+                sig = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * words), pa.array(packed_bits.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), sig], ["id", "sig"])
 
     return packed(values, row, feature, value).select("id", "features", "values").mapInArrow(project, "id bigint, sig array<bigint>")
 
@@ -75,6 +97,14 @@ def mismatches(a: str = "sig0", b: str = "sig1") -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def common_prefix(a: str = "sig0", b: str = "sig1") -> Column:
+    """Leading bits that two signatures share, up to the length of their words."""
+    zeros = F.transform(F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)), lambda x: F.when(x == 0, 64).otherwise(64 - F.length(F.bin(x))))
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("open"))
+    step = lambda s, z: F.struct((s["n"] + F.when(s["open"], z).otherwise(0)).alias("n"), (s["open"] & (z == 64)).alias("open"))
+    return F.aggregate(zeros, start, step, lambda s: s["n"])
+
+
 def from_mismatches(m: Column, bits: int) -> Column:
     return F.cos(m * math.pi / bits)
 
@@ -113,7 +143,7 @@ def lsh_pairs_all(sigs: DataFrame, bits: int, k: int = 100, threshold: float = 0
         found = [table[((bits - v) / 2).round().astype(np.int64)] for v in parts[2]]
         return pairs_table((parts[0], parts[1], found))
 
-    return top_k(block_pairs(sigs, ["sig"], kernel, PAIRS), k)
+    return top_k(block_pairs(sigs, ["sig"], kernel, PAIRS, BLOCK_SIGNATURES, k=k), k)
 
 
 def bit_rows(column: pa.Array, bits: int) -> np.ndarray:
@@ -158,7 +188,7 @@ def _classes(sigs: DataFrame, most: int) -> DataFrame:
 
 def _bucket_blocks(own: DataFrame, sizes: DataFrame, sigs: DataFrame, bits: int, k: int) -> DataFrame:
     """``id0, id1, m``: the k best of every row in each pair of blocks of each bucket in ``sizes`` (``slice, value, n``)."""
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    blocks = F.ceil(F.col("n") / TILE_ROWS).cast("int")
     placed = own.join(sizes, ["slice", "value"]).join(sigs, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.select("slice", "value", "id", "sig", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
@@ -223,27 +253,27 @@ def _of_members(sigs: DataFrame, classes: DataFrame, near: DataFrame, k: int, th
     return kept.select(F.col("id").alias("id0"), F.col("e.id").alias("id1"), F.col("e.similarity").alias("similarity"), (F.col("at") + 1).alias("rank"))
 
 
-def lsh_pairs_multi_slice(sigs: DataFrame, bits: int, lengths: list[int], max_check: int = 100, k: int = 100, threshold: float = 0.2, inclusive: bool = False, overflow: int = 0) -> DataFrame:
+def lsh_pairs_multi_slice(sigs: DataFrame, bits: int, lengths: list[int], max_check: int = 100, k: int = 100, threshold: float = 0.2, inclusive: bool = False, log2_buckets: int = 0) -> DataFrame:
     """Slices of several lengths, longest first; each row checks its first ``max_check`` distinct candidates.
 
     Candidates come in the order of (slice length, slice, id), so that only the ``max_check`` + 1
-    smallest ids of a bucket can be among them, however large it is. Kept are those with
-    fewer differing bits than the threshold allows (as many, if ``inclusive``); the best k
-    by differing bits, then id. Buckets of more than ``overflow`` rows give no candidates (0: all do).
+    smallest ids of a bucket can be among them, however large it is; no bucket is skipped. Kept are
+    those with fewer differing bits than the threshold allows (as many, if ``inclusive``); the best k
+    by differing bits, then id. With ``log2_buckets`` slices at least that long are hashed to so many
+    buckets, whose collisions give further candidates.
     """
     ordered = sorted(set(lengths), reverse=True)
     found = None
     for place, length in enumerate(ordered):
         own = slices(sigs, bits, length)
-        if overflow:
-            small = own.groupBy("slice", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= overflow)
-            own = own.join(small.select("slice", "value"), ["slice", "value"], "left_semi")
+        if log2_buckets and length >= log2_buckets:
+            own = own.withColumn("value", F.pmod(F.xxhash64("value"), F.lit(1 << log2_buckets)))
         smallest = F.row_number().over(Window.partitionBy("slice", "value").orderBy("id"))
         other = own.withColumn("r", smallest).filter(F.col("r") <= max_check + 1).select("slice", "value", F.col("id").alias("id1"))
         pairs = own.withColumnRenamed("id", "id0").join(other, ["slice", "value"]).filter("id0 != id1")
-        pairs = pairs.groupBy("id0", "id1").agg(F.min(F.struct(F.lit(place).alias("place"), F.col("slice"))).alias("first"))
+        pairs = pairs.groupBy("id0", "id1").agg(F.min("slice").alias("slice")).withColumn("place", F.lit(place))
         found = pairs if found is None else found.unionByName(pairs)
-    first = found.groupBy("id0", "id1").agg(F.min("first").alias("first"))
+    first = found.groupBy("id0", "id1").agg(F.min(F.struct("place", "slice")).alias("first")) if len(ordered) > 1 else found.select("id0", "id1", F.struct("place", "slice").alias("first"))
     rank = F.row_number().over(Window.partitionBy("id0").orderBy("first.place", "first.slice", "id1"))
     checked = first.withColumn("r", rank).filter(F.col("r") <= max_check).select("id0", "id1")
     limit = most_mismatches(threshold, bits)
@@ -252,42 +282,93 @@ def lsh_pairs_multi_slice(sigs: DataFrame, bits: int, lengths: list[int], max_ch
     return top_k(scored.select("id0", "id1", from_mismatches(F.col("m"), bits).alias("similarity")), k)
 
 
-def lsh_pairs_permuted(sigs: DataFrame, bits: int, permutations: int = 16, search: int = 20, k: int = 100, threshold: float = 0.2, seed: int = SEED, permuted_bits: int = 63) -> DataFrame:
+def random_orders(bits: int, permutations: int, length: int, seed: int) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.permutation(bits)[:length] for _ in range(permutations)])
+
+
+def md5_orders(bits: int, permutations: int, length: int, seed: int) -> np.ndarray:
+    """The bits in the order of MD5 of ``seed:permutation:bit``, which any SQL engine can repeat."""
+    texts = lambda p: sorted(range(bits), key=lambda b: hashlib.md5(f"{seed}:{p}:{b}".encode()).hexdigest())
+    return np.array([texts(p)[:length] for p in range(permutations)])
+
+
+def lsh_pairs_permuted(sigs: DataFrame, bits: int, permutations: int = 16, search: int = 20, k: int = 100, threshold: float = 0.2, seed: int = SEED, permuted_bits: int = 63, orders: Callable = random_orders) -> DataFrame:
     """Sorted neighbourhoods: rows near each other in the order of a permuted prefix are candidates.
 
-    Each permutation of the bits gives a key of its first ``permuted_bits`` bits. Spark
-    range-partitions by (permutation, key); each row takes the ``search`` rows before and
-    after it in that order, and the candidates are verified with the whole signature.
+    Each permutation of the bits gives a key of its first ``permuted_bits`` bits. Rows are ordered
+    by (permutation, key, id); each takes the ``search`` rows before and after it in that
+    order, across the borders of partitions, and the candidates are verified with the whole
+    signature. The result doesn't depend on the partitioning.
     """
-    rng = np.random.default_rng(seed)
-    orders = np.stack([rng.permutation(bits)[: min(permuted_bits, 63, bits)] for _ in range(permutations)])
+    order = orders(bits, permutations, min(permuted_bits, 63, bits), seed)
 
     def keys(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             flags = bit_rows(frame.column(1), bits).astype(np.int64)
-            for p, order in enumerate(orders):
+            for p, places in enumerate(order):
                 key = np.zeros(frame.num_rows, np.int64)
-                for b in order:
+                for b in places:
                     key = (key << 1) | flags[:, b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(frame.num_rows, p, np.int32)), pa.array(key), frame.column(0)], ["p", "key", "id"])
 
-    def near(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, ids = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for frame in frames:
-            fresh = len(p)
-            p = np.concatenate([p, frame.column(0).to_numpy()])
-            ids = np.concatenate([ids, frame.column(2).to_numpy()])
-            for step in range(1, search + 1):
-                later = np.arange(max(step, fresh), len(ids))
-                same = later[p[later] == p[later - step]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[same], ids[same - step]])), pa.array(np.concatenate([ids[same - step], ids[same]]))], ["id0", "id1"])
-            p, ids = p[-search:], ids[-search:]
-
-    ordered = sigs.select("id", "sig").mapInArrow(keys, "p int, key bigint, id bigint").repartitionByRange("p", "key").sortWithinPartitions("p", "key", "id")
-    candidates = ordered.mapInArrow(near, "id0 bigint, id1 bigint").distinct()
+    placed = sigs.select("id", "sig").mapInArrow(keys, "p int, key bigint, id bigint")
+    candidates = neighbours_in_order(placed, search, Scratch(sigs.sparkSession, "permuted")).distinct()
     return top_k(_verified(candidates, sigs, bits).filter(F.col("similarity") > threshold), k)
 
 
+#: Consecutive rows that one group of a windowed scan handles.
+SCAN_ROWS = 8192
+
+
+def neighbours_in_order(placed: DataFrame, search: int, scratch: Scratch) -> DataFrame:
+    """``id0, id1`` of rows at most ``search`` places apart in the order of ``p, key, id`` within one ``p``.
+
+    The rows are range-partitioned and sorted once, and each gets its place from the sizes of
+    the partitions before its own (one number a partition). Groups of ``SCAN_ROWS`` consecutive
+    places then meet, each with the ``search`` rows before it.
+    """
+    tasks = shuffle_partitions(placed.sparkSession)
+
+    def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        for frame in frames:
+            place = np.arange(at, at + frame.num_rows)
+            at += frame.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(frame.num_rows, part, np.int32)), pa.array(place), frame.column(0), frame.column(2)], ["part", "place", "p", "id"])
+
+    ordered = placed.repartitionByRange(tasks, "p", "key", "id").sortWithinPartitions("p", "key", "id")
+    ordered = scratch.keep(ordered.mapInArrow(count, "part int, place bigint, p int, id bigint"))
+    sizes = dict(ordered.groupBy("part").agg(F.max("place").alias("last")).collect())  # one row per task
+    starts, at = {}, 0
+    for part in sorted(sizes):
+        starts[part] = at
+        at += sizes[part] + 1
+    offsets = ordered.sparkSession.createDataFrame(list(starts.items()), "part int, start bigint")
+    rows = ordered.join(F.broadcast(offsets), "part").select((F.col("start") + F.col("place")).alias("place"), "p", "id")
+    group = F.floor(F.col("place") / SCAN_ROWS)
+    near_end = F.col("place") % SCAN_ROWS >= SCAN_ROWS - search
+    groups = F.when(near_end, F.array(group, group + 1)).otherwise(F.array(group))
+    spread = rows.select(F.explode(groups).alias("g"), "place", "p", "id")
+
+    def pairs(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        place, p, ids = table["place"].to_numpy(), table["p"].to_numpy(), table["id"].to_numpy()
+        own = place // SCAN_ROWS == table["g"][0].as_py()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, min(search, len(ids) - 1) + 1):
+            later = np.nonzero(own[step:] & (p[step:] == p[:-step]))[0] + step
+            a += [ids[later], ids[later - step]]
+            b += [ids[later - step], ids[later]]
+        return pa.table({"id0": np.concatenate(a), "id1": np.concatenate(b)})
+
+    if search >= SCAN_ROWS:
+        raise ValueError(f"search must be below {SCAN_ROWS}")
+    return spread.groupBy("g").applyInArrow(pairs, "id0 bigint, id1 bigint")
+
+
 def error_bins(pairs: DataFrame, bits: int | None = None) -> DataFrame:
     """Estimated minus exact similarity in bins of width 0.01 of the exact one: mean, rms about 0, bins of two and more.
 
@@ -296,7 +377,34 @@ def error_bins(pairs: DataFrame, bits: int | None = None) -> DataFrame:
     bin_ = F.least(F.floor((F.col("exact") + 1) / 0.01), F.lit(199)).cast("int")
     d = F.col("similarity") - F.col("exact")
     out = pairs.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("bias"), F.sqrt(F.avg(d * d)).alias("rms")).filter("n >= 2")
-    out = out.withColumn("center", F.col("bin") * 0.01 - 0.995)
+    return _with_theory(out, bits)
+
+
+def error_bins_of_all(values: DataFrame, sigs: DataFrame, n: int, bits: int, row: str = "cell_id", feature: str = "gene_id", value: str = "count") -> DataFrame:
+    """``error_bins`` over all unordered pairs of rows. Each task folds its pairs into 200 bins; no pair leaves it."""
+    table = np.cos(np.arange(bits + 1) * math.pi / bits)
+
+    def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        _, _, exact = pearson_tiles(left, right, n)
+        x, y = (bit_rows(t["sig"].chunk(0), bits).astype(np.float32) * 2 - 1 if t.num_rows else np.zeros((0, bits), np.float32) for t in (left, right))
+        estimate = table[((bits - x @ y.T) / 2).round().astype(np.int64)]
+        use = exact > -2
+        if same:
+            use &= np.triu(np.ones_like(use), 1)
+        s, d = exact[use], (estimate - exact)[use]
+        at = np.minimum(np.floor((s + 1) / 0.01), 199).astype(np.int64)
+        sums = [np.bincount(at, w, 200) for w in (np.ones(len(at)), d, d * d)]
+        hit = np.nonzero(sums[0])[0]
+        return pa.table({"bin": hit.astype(np.int32), "n": sums[0][hit].astype(np.int64), "d": sums[1][hit], "dd": sums[2][hit]})
+
+    rows = packed(values, row, feature, value).join(sigs.select("id", "sig"), "id")
+    parts = block_pairs(rows, ["features", "values", "sig"], kernel, "bin int, n bigint, d double, dd double")
+    sums = parts.groupBy("bin").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("dd").alias("dd")).filter("n >= 2")
+    return _with_theory(sums.select("bin", "n", (F.col("d") / F.col("n")).alias("bias"), F.sqrt(F.col("dd") / F.col("n")).alias("rms")), bits)
+
+
+def _with_theory(bins: DataFrame, bits: int | None) -> DataFrame:
+    out = bins.withColumn("center", F.col("bin") * 0.01 - 0.995)
     if bits:
         theta = F.acos("center")
         p = 1 - theta / math.pi

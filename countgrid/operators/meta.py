@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def upsert(meta: DataFrame, updates: DataFrame, key: str = "cell_id") -> DataFrame:
-    """Replaces or adds (entity, name) values. A replaced value keeps its place, a new one goes last."""
-    new = updates.groupBy(key, "name").agg(F.last("value").alias("new_value"))
+    """Replaces or adds (entity, name) values. A replaced value keeps its place, a new one goes last.
+
+    Of several updates of one value that with the highest ``ord`` holds, if they have one, then the greatest.
+    """
+    order = F.struct(*[F.col(c) for c in ("ord", "value") if c in updates.columns])
+    new = updates.groupBy(key, "name").agg(F.max(order).getField("value").alias("new_value"))
     last = meta.groupBy(key).agg(F.max("ord").alias("last_ord"))
     joined = meta.join(new, [key, "name"], "full_outer").join(last, key, "left")
     place = F.coalesce("ord", F.coalesce("last_ord", F.lit(-1)) + 1)

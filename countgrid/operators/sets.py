@@ -53,9 +53,12 @@ def difference(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def downsample(cells: DataFrame, probability: float, seed: int) -> DataFrame:
-    """Keeps each cell with the given chance, by a hash of its id: the same at every partitioning."""
-    uniform = F.pmod(F.xxhash64("cell_id", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
-    return cells.filter(uniform < probability)
+    """Keeps each cell with the given chance, by MD5 of ``seed:id``: the same at every partitioning and in any engine."""
+    digits = 16
+    bound = min(int(probability * 16**digits), 16**digits)
+    if bound >= 16**digits:
+        return cells
+    return cells.filter(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("cell_id").cast("string"))) < f"{max(bound, 0):0{digits}x}")
 
 
 def downsample_stream(ids: list[int], probability: float, seed: int) -> list[int]:

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from countgrid.session import spread
 
-#: Rows of a block; a task compares two blocks as one matrix product.
-BLOCK_ROWS = 1024
+#: Rows of a tile: two tiles are compared as one matrix product.
+TILE_ROWS = 1024
+#: Rows of a block at most; a group of a pair of blocks holds twice as many packed rows.
+BLOCK_ROWS = 8192
 #: Tasks over which the pairs of blocks are spread, at most.
 MOST_TASKS = 20_000
 
@@ -52,34 +54,57 @@ def packed(values: DataFrame, row: str, feature: str, value: str) -> DataFrame:
     return pairs.select(F.col("id").cast("bigint").alias("id"), F.col("p.f").alias("features"), F.col("p.v").alias("values"))
 
 
-def block_pairs(rows: DataFrame, columns: list[str], kernel, schema: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Runs ``kernel(table of block a, table of block b, same)`` on every unordered pair of row blocks.
+def block_count(n: int, block_rows: int, tasks: int) -> int:
+    """Blocks of at most ``block_rows`` rows; more, down to half a tile, where their pairs would leave tasks idle."""
+    return max(1, -(-n // block_rows), min(-(-2 * n // TILE_ROWS), int(np.ceil(np.sqrt(4 * tasks)))))
 
-    Rows are spread over blocks by a hash of their id; a block joins each pair it
-    is part of, so a group holds two blocks of bounded size. The kernel decides what
-    little comes out. The work is quadratic in the rows, as it is for any exact search.
+
+def block_pairs(rows: DataFrame, columns: list[str], kernel, schema: str, block_rows: int = BLOCK_ROWS, tile_rows: int = TILE_ROWS, k: int | None = None) -> DataFrame:
+    """Runs ``kernel(table of tile a, table of tile b, same)`` on every unordered pair of row tiles.
+
+    Rows are spread over blocks by a hash of their id; a block joins each pair it is part of, so
+    that a row travels as often as there are blocks. A group holds two blocks of bounded size and
+    goes through them tile by tile. The kernel decides what little comes out; with ``k`` only the
+    k best of a row leave a group. The work is quadratic in the rows, as it is for any exact search.
     """
     n = rows.count()
-    blocks = max(1, -(-n // block_rows))
+    blocks = block_count(n, block_rows, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     placed = rows.select("id", *columns, own.alias("block")).select("*", other.alias("other"))
     placed = placed.select("id", *columns, "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
 
+    def tiles(block: pa.Table) -> list[pa.Table]:
+        return [block.slice(at, tile_rows).combine_chunks() for at in range(0, block.num_rows, tile_rows)]
+
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         a, b = group["a"][0].as_py(), group["b"][0].as_py()
         block = group["block"].to_numpy()
         order = np.argsort(group["id"].to_numpy(), kind="stable")
-        left = group.take(pa.array(order[block[order] == a])).combine_chunks()
-        right = left if a == b else group.take(pa.array(order[block[order] == b])).combine_chunks()
-        return kernel(left, right, a == b)
+        left = tiles(group.take(pa.array(order[block[order] == a])))
+        right = left if a == b else tiles(group.take(pa.array(order[block[order] == b])))
+        parts = [kernel(x, y, a == b and i == j) for i, x in enumerate(left) for j, y in enumerate(right) if a != b or i <= j]
+        out = pa.concat_tables(parts) if parts else kernel(group.slice(0, 0).combine_chunks(), group.slice(0, 0).combine_chunks(), False)
+        return out if k is None or len(parts) < 2 else _best_rows(out, k)
 
     tasks = min(blocks * (blocks + 1) // 2, MOST_TASKS)
     return placed.repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(run, schema)
 
 
+def _best_rows(pairs: pa.Table, k: int) -> pa.Table:
+    """The k best pairs of every ``id0``, ties by ``id1``."""
+    id0 = pairs["id0"].to_numpy()
+    order = np.lexsort((pairs["id1"].to_numpy(), -pairs["similarity"].to_numpy(), id0))
+    first = np.ones(len(order), bool)
+    first[1:] = id0[order][1:] != id0[order][:-1]
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return pairs.take(pa.array(order[place < k]))
+
+
 def _dense(table: pa.Table, width: dict[int, int]) -> np.ndarray:
+    if not table.num_rows:
+        return np.zeros((0, len(width)))
     lists, vals = table["features"].chunk(0), table["values"].chunk(0)
     bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     out = np.zeros((table.num_rows, len(width)))
@@ -89,6 +114,24 @@ def _dense(table: pa.Table, width: dict[int, int]) -> np.ndarray:
     return out
 
 
+def pearson_tiles(left: pa.Table, right: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of two tiles of packed rows and their similarities over ``n`` features; -2 where a row is constant."""
+    lists = [t["features"].chunk(0).flatten().to_numpy() for t in (left, right) if t.num_rows]
+    features = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+    width = {int(f): i for i, f in enumerate(features)}
+    standard = []
+    for t in (left, right):
+        x = _dense(t, width)
+        s, ss = x.sum(axis=1), (x * x).sum(axis=1)
+        spread = ss - s * s / n
+        scale = np.where(spread > 1e-12 * np.maximum(ss, 1e-300), 1 / np.sqrt(np.maximum(spread, 1e-300)), 0)
+        standard.append((x, s, scale, t["id"].to_numpy()))
+    (x, sx, cx, idx), (y, sy, cy, idy) = standard
+    # centred product without densifying the zeros outside the tiles' features
+    score = (x @ y.T - np.outer(sx, sy) / n) * cx[:, None] * cy[None, :]
+    return idx, idy, np.round(np.where((cx[:, None] > 0) & (cy[None, :] > 0), score, -2), 9)
+
+
 def best_of_block(ids0: np.ndarray, ids1: np.ndarray, score: np.ndarray, k: int, threshold: float) -> tuple[list, list, list]:
     """Up to k best columns above the threshold for each row of a score matrix, ties by id."""
     good = score > threshold
@@ -119,19 +162,7 @@ def exact_pairs(values: DataFrame, n: int, k: int = 100, threshold: float = 0.2,
     """
 
     def kernel(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
-        features = np.unique(np.concatenate([t["features"].chunk(0).flatten().to_numpy() for t in (left, right)]))
-        width = {int(f): i for i, f in enumerate(features)}
-        standard = []
-        for t in (left, right):
-            x = _dense(t, width)
-            s, ss = x.sum(axis=1), (x * x).sum(axis=1)
-            spread = ss - s * s / n
-            scale = np.where(spread > 1e-12 * np.maximum(ss, 1e-300), 1 / np.sqrt(np.maximum(spread, 1e-300)), 0)
-            standard.append((x, s, scale, t["id"].to_numpy()))
-        (x, sx, cx, idx), (y, sy, cy, idy) = standard
-        # centred product without densifying the zeros outside the blocks' features
-        score = (x @ y.T - np.outer(sx, sy) / n) * cx[:, None] * cy[None, :]
-        score = np.round(np.where((cx[:, None] > 0) & (cy[None, :] > 0), score, -2), 9)
+        idx, idy, score = pearson_tiles(left, right, n)
         if same:
             np.fill_diagonal(score, -2)
         parts = best_of_block(idx, idy, score, k, threshold)
@@ -140,4 +171,4 @@ def exact_pairs(values: DataFrame, n: int, k: int = 100, threshold: float = 0.2,
         return pairs_table(parts)
 
     rows = packed(values, row, feature, value)
-    return top_k(block_pairs(rows, ["features", "values"], kernel, PAIRS), k)
+    return top_k(block_pairs(rows, ["features", "values"], kernel, PAIRS, k=k), k)

@@ -9,6 +9,7 @@ from countgrid.operators import graphs, lsh, matrix, meta, sets, similarity
 from countgrid.session import Scratch, read_table
 
 BITS = 64
+ITERATIONS = 5
 LSH_BITS = 1024
 
 
@@ -172,18 +173,19 @@ def similar_gene_pairs(spark, d, k=10):
 
 
 def _signatures(spark, d, bits=LSH_BITS):
-    return Scratch(spark, "sig").keep(lsh.signatures(counts_of(spark, d), gene_count(spark, d), bits))
+    """Signatures by planes drawn from MD5, which SQL can repeat."""
+    return Scratch(spark, "sig").keep(lsh.signatures(counts_of(spark, d), gene_count(spark, d), bits, planes=lsh.md5_planes))
+
+
+def _pairs(df):
+    return df.select("id0", "id1", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def sign_signatures(spark, d):
-    """Signatures by +-1 planes drawn from MD5, as rows and set bits; SQL can repeat them."""
-    counts, n = counts_of(spark, d), gene_count(spark, d)
-    planes = lsh.plane_signs(genes_of(spark, d), BITS)
-    total = planes.groupBy("bit").agg(F.sum("sign").alias("total"))
-    sums = counts.groupBy("cell_id").agg(F.sum(F.col("count").cast("double")).alias("s"))
-    side = counts.join(planes, "gene_id").groupBy("cell_id", "bit").agg(F.sum(F.col("count").cast("double") * F.col("sign")).alias("p"))
-    on = side.join(sums, "cell_id").join(total, "bit").filter(F.col("p") * n > F.col("s") * F.col("total"))
-    return on.select("cell_id", "bit")
+    """The set bits of every signature."""
+    text = lsh.text_bits(F.col("sig"), BITS)
+    bits = _signatures(spark, d, BITS).select(F.col("id").cast("int").alias("cell_id"), F.posexplode(F.split(text, "")).alias("bit", "on"))
+    return bits.filter("on = 'x'").select("cell_id", "bit")
 
 
 def lsh_signatures(spark, d):
@@ -191,31 +193,49 @@ def lsh_signatures(spark, d):
 
 
 def lsh_pairs_all(spark, d):
-    return lsh.lsh_pairs_all(_signatures(spark, d), LSH_BITS, 20, 0.5)
+    return _pairs(lsh.lsh_pairs_all(_signatures(spark, d), LSH_BITS, 20, 0.5))
 
 
 def lsh_pairs_sliced(spark, d):
-    return lsh.lsh_pairs_sliced(_signatures(spark, d), LSH_BITS, 16, 1000, 20, 0.5)
+    return _pairs(lsh.lsh_pairs_sliced(_signatures(spark, d), LSH_BITS, 16, 1000, 20, 0.5))
 
 
 def lsh_pairs_multi_slice(spark, d):
-    return lsh.lsh_pairs_multi_slice(_signatures(spark, d), LSH_BITS, [24, 16], 200, 20, 0.5)
+    return _pairs(lsh.lsh_pairs_multi_slice(_signatures(spark, d), LSH_BITS, [24, 16], 200, 20, 0.5))
 
 
 def lsh_pairs_permuted(spark, d):
-    return lsh.lsh_pairs_permuted(_signatures(spark, d), LSH_BITS, 16, 20, 20, 0.5)
+    return _pairs(lsh.lsh_pairs_permuted(_signatures(spark, d), LSH_BITS, 16, 20, 20, 0.5, orders=lsh.md5_orders))
+
+
+def lsh_common_prefix(spark, d):
+    """Bits in which the signatures of cells with consecutive ids agree at first, and bits in which they differ."""
+    sigs = _signatures(spark, d)
+    after = sigs.select((F.col("id") - 1).alias("id"), F.col("sig").alias("sig1"))
+    return sigs.withColumnRenamed("sig", "sig0").join(after, "id").select("id", lsh.common_prefix().alias("prefix"), lsh.mismatches().alias("differing"))
 
 
 def lsh_error_bins(spark, d):
-    pairs = lsh_pairs_all(spark, d)
-    exact = similarity.pair_similarity(counts_of(spark, d), pairs.select("id0", "id1", "similarity"), gene_count(spark, d))
-    return lsh.error_bins(exact, LSH_BITS)
+    """Errors over all pairs of cells."""
+    out = lsh.error_bins_of_all(counts_of(spark, d), _signatures(spark, d), gene_count(spark, d), LSH_BITS)
+    return out.select("bin", "n", *[r6(c) for c in ("bias", "rms", "center", "expected")])
+
+
+def stored_pair_errors(spark, d):
+    """Errors of a stored pair set against the exact similarity."""
+    pairs = latest_pairs(spark, d, "Lsh1024AllGenes")
+    exact = similarity.pair_similarity(counts_of(spark, d), pairs, gene_count(spark, d)).withColumn("exact", F.round("exact", 9))
+    return lsh.error_bins(exact.filter("exact IS NOT NULL")).select("bin", "n", r6("bias"), r6("rms"), r6("center"))
 
 
 def lsh_bit_counts(spark, d):
     return lsh.bit_counts(_signatures(spark, d), LSH_BITS)
 
 
+def signature_counts(spark, d):
+    return lsh.signature_counts(_signatures(spark, d, 16)).select(lsh.text_bits(F.col("sig"), 16).alias("signature"), "n", "first_id")
+
+
 def signature_size_histogram(spark, d):
     return lsh.signature_size_histogram(_signatures(spark, d, 16))
 
@@ -224,6 +244,13 @@ def signature_graph_edges(spark, d):
     return graphs.signature_graph(_signatures(spark, d, 16), 16, 2)[1]
 
 
+def signature_graph_categories(spark, d):
+    """The shares of tissues in each vertex of the signature graph."""
+    sigs = _signatures(spark, d, 16)
+    groups = _tissues(spark, d).select(F.col("cell_id").cast("bigint").alias("id"), F.col("group_id").alias("value"))
+    return graphs.signature_categories(sigs, graphs.signature_graph(sigs, 16, 2)[0], groups).select("id", "value", r6("fraction"))
+
+
 def latest_pairs(spark, d, name):
     rows = read_table(spark, d, "similar_pairs").filter(F.col("similar_pairs_name") == name)
     rows = rows.groupBy("cell_id0", "cell_id1").agg(F.max(F.struct("computed_at", "similarity")).alias("p"))
@@ -256,23 +283,82 @@ def gene_graph_edges(spark, d):
 
 def _cell_graph(spark, d):
     scratch = Scratch(spark, "graph")
-    pairs = scratch.keep(lsh_pairs_all(spark, d).select("id0", "id1", "similarity"))
-    return tuple(scratch.keep(x) for x in graphs.knn_graph(pairs, _members(spark, d), 0.6, 10))
+    return tuple(scratch.keep(x) for x in graphs.knn_graph(latest_pairs(spark, d, "ExactAllGenes"), _members(spark, d), 0.5, 20))
+
+
+def knn_graph_connectivity(spark, d):
+    """Number of neighbours of every vertex, the nearest and the farthest of them."""
+    near = graphs.connectivity(_cell_graph(spark, d)[1])
+    return near.select("id", F.size("neighbours").alias("n"), F.element_at("neighbours", 1)["similarity"].alias("highest"), F.element_at("neighbours", -1)["similarity"].alias("lowest"))
 
 
 def label_propagation(spark, d):
-    return graphs.label_propagation(*_cell_graph(spark, d))
+    """Labels after a fixed number of iterations, as cluster numbers by size."""
+    return graphs.label_propagation(*_cell_graph(spark, d), stable_iterations=ITERATIONS + 1, max_iterations=ITERATIONS)
 
 
-def cluster_graph(spark, d):
+def connected_components(spark, d):
+    return graphs.components(*_cell_graph(spark, d))
+
+
+def graph_similarity_changes(spark, d):
+    a = graphs.knn_graph(latest_pairs(spark, d, "ExactAllGenes"), _members(spark, d), 0.5, 20)
+    b = graphs.knn_graph(latest_pairs(spark, d, "Lsh1024AllGenes"), _members(spark, d), 0.5, 20)
+    return graphs.similarity_changes(a[1], b[1]).select(F.round("change", 2).alias("change"), "n")
+
+
+def _tissue_clusters(spark, d):
+    """The cluster graph over the vertices of the cell graph with the tissues as clusters, named by their smallest cell."""
+    scratch = Scratch(spark, "tissues")
     vertices, edges = _cell_graph(spark, d)
-    return graphs.cluster_graph(vertices, edges, counts_of(spark, d), gene_count(spark, d), min_cluster_size=5)["members"]
+    own = _tissues(spark, d).select(F.col("cell_id").alias("id"), "group_id").join(vertices, "id", "left_semi")
+    names = own.groupBy("group_id").agg(F.min("id").cast("bigint").alias("cluster_id"))
+    labels = scratch.keep(own.join(names, "group_id").select("id", "cluster_id"))
+    return graphs.cluster_graph(vertices, edges, counts_of(spark, d), gene_count(spark, d), labels=labels, min_cluster_size=20, merge_similarity=0.94, threshold=0.8, k=2)
+
+
+def cluster_graph(spark, d):
+    """The clusters' cells; those of dissolved clusters have none."""
+    made = _tissue_clusters(spark, d)
+    return made["members"].unionByName(made["unclustered"].withColumn("cluster_id", F.lit(None).cast("bigint")))
+
+
+def cluster_graph_edges(spark, d):
+    return _tissue_clusters(spark, d)["edges"].select("c0", "c1", r6("similarity"))
+
+
+def cluster_graph_profiles(spark, d):
+    return _tissue_clusters(spark, d)["profiles"].select("cluster_id", "gene_id", r6("average"))
+
+
+def vertex_tissue_frequencies(spark, d):
+    groups = _tissues(spark, d).select(F.col("cell_id").alias("id"), F.col("group_id").alias("value"))
+    return graphs.group_frequencies(_cell_graph(spark, d)[0], groups)
+
+
+def vertex_category_colors(spark, d):
+    groups = _tissues(spark, d).select(F.col("cell_id").alias("id"), F.col("group_id").alias("value"))
+    return graphs.category_colors(_cell_graph(spark, d)[0], groups)
+
+
+def vertex_expression_colors(spark, d):
+    """The vertices coloured by the normalised count of one gene."""
+    values = matrix.normalised(counts_of(spark, d), "L2").filter("gene_id = 26").select(F.col("cell_id").alias("id"), F.round("value", 6).alias("value"))
+    return graphs.scale_colors(_cell_graph(spark, d)[0], values).select("id", "value", "color")
+
+
+def vertex_similarity_colors(spark, d):
+    """The vertices coloured by their similarity to one cell."""
+    pairs = _cell_graph(spark, d)[0].select(F.lit(0).alias("id0"), F.col("id").alias("id1"))
+    values = similarity.pair_similarity(counts_of(spark, d), pairs, gene_count(spark, d)).select(F.col("id1").alias("id"), F.round("exact", 6).alias("value"))
+    return graphs.scale_colors(_cell_graph(spark, d)[0], values, 0.0, 1.0).select("id", "value", "color")
 
 
 def cluster_profile_similarity(spark, d):
     profiles = Scratch(spark, "profiles").keep(matrix.average_profiles(counts_of(spark, d), _tissues(spark, d), "L2"))
-    names = profiles.select("group_id").distinct()
-    pairs = names.select(F.col("group_id").alias("id0")).join(names.select(F.col("group_id").alias("id1")), F.col("id0") < F.col("id1"))
+    # Profiles are non-negative: groups without a common gene have no similarity above 0, and no row here or in SQL.
+    side = lambda k: profiles.select(F.col("group_id").alias(f"id{k}"), "gene_id")
+    pairs = side(0).join(side(1), "gene_id").filter("id0 < id1").select("id0", "id1").distinct()
     return similarity.pair_similarity(profiles, pairs, gene_count(spark, d), "group_id", "gene_id", "average").select("id0", "id1", r6("exact"))
 
 
@@ -289,8 +375,11 @@ QUERIES = {
         cellset_meta_eq, cellset_meta_regex, cellset_meta_numeric, cellset_union, cellset_intersection, cellset_difference, cellset_downsample,
         geneset_regex, geneset_difference, well_expressed_genes, high_information_genes, meta_histogram, contingency_table, rand_index, meta_upsert,
         meta_remove, cell_table, average_expression_l2, topk_similar_cells, similar_gene_pairs, sign_signatures, lsh_signatures, lsh_pairs_all,
-        lsh_pairs_sliced, lsh_pairs_multi_slice, lsh_pairs_permuted, lsh_error_bins, lsh_bit_counts, signature_size_histogram, signature_graph_edges,
-        knn_graph_edges, compare_graphs, compare_pair_sets, gene_graph_edges, label_propagation, cluster_graph, cluster_profile_similarity, gene_report,
+        lsh_pairs_sliced, lsh_pairs_multi_slice, lsh_pairs_permuted, lsh_common_prefix, lsh_error_bins, stored_pair_errors, lsh_bit_counts,
+        signature_counts, signature_size_histogram, signature_graph_edges, signature_graph_categories,
+        knn_graph_edges, knn_graph_connectivity, compare_graphs, graph_similarity_changes, compare_pair_sets, gene_graph_edges, label_propagation,
+        connected_components, cluster_graph, cluster_graph_edges, cluster_graph_profiles, cluster_profile_similarity, gene_report,
+        vertex_tissue_frequencies, vertex_category_colors, vertex_expression_colors, vertex_similarity_colors,
     )
 } | {f"gene_information_content_{m.lower()}": _information(m) for m in ("none", "L1", "L2")}
 
@@ -346,6 +435,82 @@ means AS (SELECT t.v AS g, v.gene_id, sum(x) / any_value(n) AS a FROM v JOIN t O
 norms AS (SELECT g, sqrt(sum(a * a)) AS norm FROM means GROUP BY g),
 prof AS (SELECT means.g, gene_id, a / norm AS a FROM means JOIN norms ON means.g = norms.g)"""
 
+
+
+def _sig_sql(bits: int) -> str:
+    """Signatures by MD5 planes: the hex digits of MD5 of seed:gene:block, four bits each."""
+    return f"""bits AS (SELECT unnest(generate_series(0, {bits - 1})) AS bit),
+planes AS (SELECT gene_id, bit, 2 * (((strpos('0123456789abcdef', substr(md5('231:' || gene_id || ':' || (bit // 128)), CAST(1 + (bit % 128) // 4 AS INTEGER), 1)) - 1) >> CAST(3 - bit % 4 AS INTEGER)) & 1) - 1 AS sign FROM genes CROSS JOIN bits),
+plane_sums AS (SELECT bit, sum(sign) AS total FROM planes GROUP BY bit), row_sums AS (SELECT cell_id, sum(c) AS s FROM e GROUP BY cell_id),
+side AS (SELECT cell_id, bit, sum(c * sign) AS p FROM e JOIN planes ON e.gene_id = planes.gene_id GROUP BY cell_id, bit),
+flags AS (SELECT side.cell_id, side.bit, CASE WHEN p * 1500 > s * total THEN '1' ELSE '0' END AS flag FROM side JOIN row_sums ON side.cell_id = row_sums.cell_id JOIN plane_sums ON side.bit = plane_sums.bit),
+sig AS (SELECT CAST(cell_id AS BIGINT) AS id, string_agg(flag, '' ORDER BY bit) AS t FROM flags GROUP BY cell_id)"""
+
+
+def _slices_sql(length: int) -> str:
+    return f"s{length} AS (SELECT id, k, substr(t, CAST(1 + {length} * k AS INTEGER), {length}) AS v FROM sig CROSS JOIN (SELECT unnest(generate_series(0, {LSH_BITS // length - 1})) AS k))"
+
+
+#: The 20 best candidates of every row by signature.
+_BEST_SIG = f"""scored AS (SELECT cand.id0, cand.id1, bit_count(xor(CAST(a.t AS BIT), CAST(b.t AS BIT))) AS m FROM cand JOIN sig a ON a.id = cand.id0 JOIN sig b ON b.id = cand.id1),
+est AS (SELECT id0, id1, m, cos(m * pi() / {LSH_BITS}) AS similarity FROM scored)
+SELECT id0, id1, round(similarity, 9) AS similarity, rank FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id0 ORDER BY m, id1) AS rank FROM est WHERE similarity > 0.5) WHERE rank <= 20"""
+
+#: The similarity of all unordered pairs of cells with counts.
+_EXACT_ALL = """s AS (SELECT cell_id, sum(c) AS s1, sum(c * c) AS s2 FROM e GROUP BY cell_id),
+xy AS (SELECT a.cell_id AS id0, b.cell_id AS id1, sum(a.c * b.c) AS xy FROM e a JOIN e b ON a.gene_id = b.gene_id AND a.cell_id < b.cell_id GROUP BY a.cell_id, b.cell_id),
+x AS (SELECT a.cell_id AS id0, b.cell_id AS id1, round((1500 * coalesce(xy, 0) - a.s1 * b.s1) / sqrt((1500 * a.s2 - a.s1 * a.s1) * (1500 * b.s2 - b.s1 * b.s1)), 9) AS exact
+  FROM s a JOIN s b ON a.cell_id < b.cell_id LEFT JOIN xy ON xy.id0 = a.cell_id AND xy.id1 = b.cell_id)"""
+
+
+def _labels_sql(iterations: int) -> str:
+    """Label propagation, one group of subqueries an iteration."""
+    steps = ""
+    for i in range(iterations):
+        steps += f""",
+w{i} AS (SELECT b.id, l.label, round(sum(b.similarity), 9) AS w FROM b JOIN l{i} l ON l.id = b.other GROUP BY b.id, l.label),
+r{i} AS (SELECT w.id, w.label, ROW_NUMBER() OVER (PARTITION BY w.id ORDER BY w.w DESC, w.label = l.label DESC, w.label) AS r FROM w{i} w JOIN l{i} l ON l.id = w.id),
+l{i + 1} AS (SELECT l.id, CASE WHEN substr(md5(l.id || ':231:{i}'), 1, 1) < '8' THEN coalesce(r.label, l.label) ELSE l.label END AS label FROM l{i} l LEFT JOIN r{i} r ON r.id = l.id AND r.r = 1)"""
+    return f"""WITH {_C}, x AS {_edges_sql('ExactAllGenes')}, b AS MATERIALIZED (SELECT src AS id, dst AS other, similarity FROM x UNION ALL SELECT dst, src, similarity FROM x),
+l0 AS (SELECT DISTINCT id, id AS label FROM b){steps.replace("AS (SELECT l.id", "AS MATERIALIZED (SELECT l.id")},
+sizes AS (SELECT label, ROW_NUMBER() OVER (ORDER BY count(*) DESC, min(id)) - 1 AS number FROM l{iterations} GROUP BY label)
+SELECT id, number AS cluster_id FROM l{iterations} l JOIN sizes ON sizes.label = l.label"""
+
+
+_PROFILE_SIMILARITY = "(1500 * coalesce(xy, 0) - x0.s1 * y0.s1) / sqrt((1500 * x0.s2 - x0.s1 * x0.s1) * (1500 * y0.s2 - y0.s1 * y0.s1))"
+
+
+def _profiles_sql(groups: str, n: str) -> str:
+    """L2 profiles of the groups of a table (id, g), and their sums."""
+    return f"""means{n} AS (SELECT k.g, u.gene_id, sum(u.x) / any_value(z.n) AS a FROM unit u JOIN {groups} k ON k.id = u.cell_id JOIN (SELECT g, count(*) AS n FROM {groups} GROUP BY g) z ON z.g = k.g GROUP BY k.g, u.gene_id),
+prof{n} AS (SELECT m.g, gene_id, a / norm AS a FROM means{n} m JOIN (SELECT g, sqrt(sum(a * a)) AS norm FROM means{n} GROUP BY g) q ON q.g = m.g),
+ps{n} AS (SELECT g, sum(a) AS s1, sum(a * a) AS s2 FROM prof{n} GROUP BY g)"""
+
+
+#: The cluster graph of the tissues: merged at 0.94, from 20 cells, numbered by size.
+_CLUSTERS = f"""WITH RECURSIVE {_E}, {_S}, {_M}, {_C}, {_TISSUE}, x AS MATERIALIZED {_edges_sql('ExactAllGenes')},
+unit AS (SELECT e.cell_id, e.gene_id, e.c / s.n2 AS x FROM e JOIN s ON e.cell_id = s.cell_id),
+vert AS (SELECT src AS id FROM x UNION SELECT dst FROM x),
+own AS (SELECT vert.id, min(vert.id) OVER (PARTITION BY t.v) AS g FROM vert JOIN t ON t.cell_id = vert.id),
+{_profiles_sql('own', '1')},
+links AS (SELECT DISTINCT least(a.g, b.g) AS c0, greatest(a.g, b.g) AS c1 FROM x JOIN own a ON a.id = x.src JOIN own b ON b.id = x.dst WHERE a.g <> b.g),
+close AS (SELECT l.c0, l.c1 FROM links l JOIN ps1 x0 ON x0.g = l.c0 JOIN ps1 y0 ON y0.g = l.c1
+  LEFT JOIN (SELECT a.g AS g0, b.g AS g1, sum(a.a * b.a) AS xy FROM prof1 a JOIN prof1 b ON a.gene_id = b.gene_id GROUP BY a.g, b.g) xy ON xy.g0 = l.c0 AND xy.g1 = l.c1
+  WHERE {_PROFILE_SIMILARITY} > 0.94),
+ways0 AS (SELECT c0 AS a, c1 AS b FROM close UNION SELECT c1, c0 FROM close),
+merge AS (SELECT DISTINCT g AS a, g AS b FROM own UNION SELECT merge.a, ways0.b FROM merge JOIN ways0 ON merge.b = ways0.a),
+final AS (SELECT own.id, m.cl FROM own JOIN (SELECT a, min(b) AS cl FROM merge GROUP BY a) m ON m.a = own.g),
+nums AS (SELECT cl, ROW_NUMBER() OVER (ORDER BY count(*) DESC, min(id)) - 1 AS num FROM final GROUP BY cl HAVING count(*) >= 20),
+numbered AS (SELECT final.id, nums.num AS g FROM final JOIN nums ON nums.cl = final.cl),
+{_profiles_sql('numbered', '2')}"""
+
+
+def _scale_sql(low: str, high: str) -> str:
+    """Colours from red over yellow to green between two values; black without a value."""
+    return f"""frac AS (SELECT vert.id, val.value, CASE WHEN {high} > {low} THEN (val.value - {low}) / ({high} - {low}) ELSE 0.0 END AS f FROM vert LEFT JOIN val ON val.id = vert.id)
+SELECT id, value, CASE WHEN value IS NULL THEN '#000000' ELSE printf('#%02x%02x00', CAST(round(greatest(least(1.0, 2 - 2 * f), 0.0) * 255) AS INTEGER), CAST(round(greatest(least(1.0, 2 * f), 0.0) * 255) AS INTEGER)) END AS color FROM frac"""
+
+
 SQL = {
     "cell_norms": f"WITH {_E}, {_S} SELECT cell_id, s1 AS sum1, s2 AS sum2, round(n2, 6) AS norm2, round(1 / s1, 9) AS norm1_inverse, round(1 / n2, 9) AS norm2_inverse FROM s",
     "expression_triples": f"WITH {_E} SELECT cell_id, gene_id, c AS count FROM e",
@@ -363,6 +528,7 @@ FROM c LEFT JOIN (SELECT cell_id, count(*) AS n, sum(c) AS total FROM e GROUP BY
     "cellset_union": f"WITH {_M}, {_VIABLE} SELECT cell_id FROM viable UNION SELECT cell_id FROM m WHERE name = 'Tissue' AND value = 'stem'",
     "cellset_intersection": f"WITH {_M}, {_VIABLE} SELECT cell_id FROM viable INTERSECT SELECT cell_id FROM m WHERE name = 'Tissue' AND regexp_full_match(value, '[a-m].*e')",
     "cellset_difference": f"WITH {_M}, {_VIABLE}, {_C} SELECT cell_id FROM c EXCEPT SELECT cell_id FROM viable",
+    "cellset_downsample": f"WITH {_C} SELECT cell_id FROM c WHERE md5('231:' || cell_id) < '1999999999999a00'",
     "geneset_regex": "SELECT gene_id FROM genes WHERE regexp_full_match(gene_name, '[A-M].*2')",
     "geneset_difference": "SELECT gene_id FROM genes EXCEPT SELECT gene_id FROM genes WHERE regexp_full_match(gene_name, '[A-M].*2')",
     "well_expressed_genes": f"WITH {_E}, {_M}, {_VIABLE} SELECT gene_id FROM e WHERE cell_id IN (SELECT cell_id FROM viable) AND gene_id IN (SELECT gene_id FROM genes) GROUP BY gene_id HAVING count(*) >= 5",
@@ -392,11 +558,71 @@ SELECT id0, id1, round((1500 * xy - x.s1 * y.s1) / sqrt((1500 * x.s2 - x.s1 * x.
     "similar_gene_pairs": f"WITH {_E}, {_C}, n AS (SELECT cell_id, sqrt(sum(c * c)) AS n2 FROM e GROUP BY cell_id), w AS (SELECT gene_id AS a, e.cell_id AS f, c / n2 AS x FROM e JOIN n ON e.cell_id = n.cell_id), {_topk_sql('w', '(SELECT count(*) FROM c)', 10, 0.2)} SELECT id0, id1, round(similarity, 6) AS similarity, rank FROM top",
     "gene_graph_edges": f"""WITH {_E}, {_C}, n AS (SELECT cell_id, sqrt(sum(c * c)) AS n2 FROM e GROUP BY cell_id), w AS (SELECT gene_id AS a, e.cell_id AS f, c / n2 AS x FROM e JOIN n ON e.cell_id = n.cell_id), {_topk_sql('w', '(SELECT count(*) FROM c)', 20, 0.3)}
 SELECT least(id0, id1) AS src, greatest(id0, id1) AS dst, round(max(similarity), 6) AS similarity FROM top WHERE similarity >= 0.5 GROUP BY 1, 2""",
-    "sign_signatures": f"""WITH {_E}, bits AS (SELECT unnest(generate_series(0, 63)) AS bit),
-planes AS (SELECT gene_id, bit, CASE WHEN substr(md5(CAST(gene_id AS VARCHAR) || ':' || CAST(bit AS VARCHAR)), 1, 1) < '8' THEN 1 ELSE -1 END AS sign FROM genes CROSS JOIN bits),
-total AS (SELECT bit, sum(sign) AS total FROM planes GROUP BY bit), s AS (SELECT cell_id, sum(c) AS s FROM e GROUP BY cell_id),
-side AS (SELECT cell_id, bit, sum(c * sign) AS p FROM e JOIN planes ON e.gene_id = planes.gene_id GROUP BY cell_id, bit)
-SELECT side.cell_id, CAST(side.bit AS INTEGER) AS bit FROM side JOIN s ON side.cell_id = s.cell_id JOIN total ON side.bit = total.bit WHERE p * 1500 > s * total""",
+    "sign_signatures": f"""WITH {_E}, {_sig_sql(BITS)}
+SELECT cell_id, CAST(bit AS INTEGER) AS bit FROM flags WHERE flag = '1'""",
+    "lsh_signatures": f"WITH {_E}, {_sig_sql(LSH_BITS)} SELECT id, translate(t, '01', '_x') AS signature FROM sig",
+    "lsh_pairs_all": f"WITH {_E}, {_sig_sql(LSH_BITS)}, cand AS (SELECT a.id AS id0, b.id AS id1 FROM sig a JOIN sig b ON a.id <> b.id), {_BEST_SIG}",
+    "lsh_pairs_sliced": f"""WITH {_E}, {_sig_sql(LSH_BITS)}, {_slices_sql(16)},
+cand AS (SELECT DISTINCT a.id AS id0, b.id AS id1 FROM s16 a JOIN s16 b ON a.k = b.k AND a.v = b.v AND a.id <> b.id), {_BEST_SIG}""",
+    "lsh_pairs_multi_slice": f"""WITH {_E}, {_sig_sql(LSH_BITS)}, {_slices_sql(24)}, {_slices_sql(16)},
+shared AS (SELECT 0 AS place, a.k, a.id AS id0, b.id AS id1 FROM s24 a JOIN s24 b ON a.k = b.k AND a.v = b.v AND a.id <> b.id
+  UNION ALL SELECT 1, a.k, a.id, b.id FROM s16 a JOIN s16 b ON a.k = b.k AND a.v = b.v AND a.id <> b.id),
+firsts AS (SELECT id0, id1, min(place * 1000 + k) AS spot FROM shared GROUP BY id0, id1),
+cand AS (SELECT id0, id1 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY id0 ORDER BY spot, id1) AS r FROM firsts) WHERE r <= 200), {_BEST_SIG.replace("similarity > 0.5", "m < 341")}""",
+    "lsh_pairs_permuted": f"""WITH {_E}, {_sig_sql(LSH_BITS)},
+orders AS (SELECT p, bit, ROW_NUMBER() OVER (PARTITION BY p ORDER BY md5('231:' || p || ':' || bit)) AS r FROM (SELECT unnest(generate_series(0, 15)) AS p) CROSS JOIN bits),
+keys AS (SELECT p, id, string_agg(substr(t, CAST(bit + 1 AS INTEGER), 1), '' ORDER BY r) AS key FROM sig CROSS JOIN orders WHERE r <= 63 GROUP BY p, id),
+placed AS (SELECT p, id, ROW_NUMBER() OVER (PARTITION BY p ORDER BY key, id) AS r FROM keys),
+cand AS (SELECT DISTINCT a.id AS id0, b.id AS id1 FROM placed a JOIN placed b ON a.p = b.p AND b.r BETWEEN a.r - 20 AND a.r + 20 AND a.id <> b.id), {_BEST_SIG}""",
+    "lsh_common_prefix": f"""WITH {_E}, {_sig_sql(LSH_BITS)},
+x AS (SELECT a.id, CAST(xor(CAST(a.t AS BIT), CAST(b.t AS BIT)) AS VARCHAR) AS d FROM sig a JOIN sig b ON b.id = a.id + 1)
+SELECT id, CAST(CASE WHEN contains(d, '1') THEN strpos(d, '1') - 1 ELSE {LSH_BITS} END AS INTEGER) AS prefix, CAST(length(replace(d, '0', '')) AS INTEGER) AS differing FROM x""",
+    "lsh_error_bins": f"""WITH {_E}, {_sig_sql(LSH_BITS)}, {_EXACT_ALL},
+j AS (SELECT x.exact, cos(bit_count(xor(CAST(a.t AS BIT), CAST(b.t AS BIT))) * pi() / {LSH_BITS}) AS est FROM x JOIN sig a ON a.id = x.id0 JOIN sig b ON b.id = x.id1),
+d AS (SELECT CAST(least(floor((exact + 1) / 0.01), 199) AS INTEGER) AS bin, est - exact AS d FROM j),
+g AS (SELECT bin, count(*) AS n, avg(d) AS bias, sqrt(avg(d * d)) AS rms, CAST(bin AS DOUBLE) * 0.01 - 0.995 AS center FROM d GROUP BY bin HAVING count(*) >= 2)
+SELECT bin, n, round(bias, 6) AS bias, round(rms, 6) AS rms, round(center, 6) AS center,
+  round(pi() * sin(acos(center)) * sqrt((1 - acos(center) / pi()) * (acos(center) / pi()) / {LSH_BITS}), 6) AS expected FROM g""",
+    "stored_pair_errors": f"""WITH {_E}, st AS {_pairs_sql('Lsh1024AllGenes')},
+s AS (SELECT cell_id, sum(c) AS s1, sum(c * c) AS s2 FROM e GROUP BY cell_id),
+xy AS (SELECT st.id0, st.id1, sum(a.c * b.c) AS xy FROM st JOIN e a ON a.cell_id = st.id0 JOIN e b ON b.cell_id = st.id1 AND a.gene_id = b.gene_id GROUP BY st.id0, st.id1),
+j AS (SELECT st.similarity, round((1500 * coalesce(xy, 0) - a.s1 * b.s1) / sqrt((1500 * a.s2 - a.s1 * a.s1) * (1500 * b.s2 - b.s1 * b.s1)), 9) AS exact
+  FROM st JOIN s a ON a.cell_id = st.id0 JOIN s b ON b.cell_id = st.id1 LEFT JOIN xy ON xy.id0 = st.id0 AND xy.id1 = st.id1),
+d AS (SELECT CAST(least(floor((exact + 1) / 0.01), 199) AS INTEGER) AS bin, similarity - exact AS d FROM j)
+SELECT bin, count(*) AS n, round(avg(d), 6) AS bias, round(sqrt(avg(d * d)), 6) AS rms, round(CAST(bin AS DOUBLE) * 0.01 - 0.995, 6) AS center FROM d GROUP BY bin HAVING count(*) >= 2""",
+    "lsh_bit_counts": f"WITH {_E}, {_sig_sql(LSH_BITS)} SELECT CAST(bit AS INTEGER) AS bit, CAST(sum(CAST(flag AS BIGINT)) AS BIGINT) AS set, CAST(sum(1 - CAST(flag AS BIGINT)) AS BIGINT) AS unset FROM flags GROUP BY bit",
+    "signature_counts": f"WITH {_E}, {_sig_sql(16)} SELECT translate(t, '01', '_x') AS signature, count(*) AS n, min(id) AS first_id FROM sig GROUP BY t",
+    "signature_size_histogram": f"""WITH {_E}, {_sig_sql(16)}, g AS (SELECT t, count(*) AS size FROM sig GROUP BY t), h AS (SELECT size, count(*) AS signatures, size * count(*) AS rows FROM g GROUP BY size)
+SELECT size, signatures, rows, CAST(sum(rows) OVER (ORDER BY size) AS BIGINT) AS running FROM h""",
+    "signature_graph_edges": f"""WITH {_E}, {_sig_sql(16)}, v AS (SELECT CAST(t AS BIT) AS t, min(id) AS id FROM sig GROUP BY t HAVING count(*) >= 2)
+SELECT a.id AS src, b.id AS dst FROM v a JOIN v b ON a.id < b.id WHERE bit_count(xor(a.t, b.t)) = 1""",
+    "signature_graph_categories": f"""WITH {_E}, {_M}, {_C}, {_TISSUE}, {_sig_sql(16)}, g AS (SELECT t, min(id) AS id, count(*) AS n FROM sig GROUP BY t HAVING count(*) >= 2)
+SELECT g.id, coalesce(t.v, '') AS value, round(count(*) / any_value(g.n), 6) AS fraction FROM sig JOIN g ON g.t = sig.t LEFT JOIN t ON t.cell_id = sig.id GROUP BY g.id, coalesce(t.v, '')""",
+    "knn_graph_connectivity": f"WITH {_C}, x AS {_edges_sql('ExactAllGenes')}, b AS (SELECT src AS id, similarity FROM x UNION ALL SELECT dst, similarity FROM x) SELECT CAST(id AS INTEGER) AS id, CAST(count(*) AS INTEGER) AS n, max(similarity) AS highest, min(similarity) AS lowest FROM b GROUP BY id",
+    "graph_similarity_changes": f"""WITH {_C}, x AS {_edges_sql('ExactAllGenes')}, y AS {_edges_sql('Lsh1024AllGenes')}
+SELECT round(round((y.similarity - x.similarity) / 0.01) * 0.01, 2) AS change, count(*) AS n FROM x JOIN y ON x.src = y.src AND x.dst = y.dst GROUP BY 1""",
+    "label_propagation": _labels_sql(ITERATIONS),
+    "connected_components": f"""WITH RECURSIVE {_C}, x AS {_edges_sql('ExactAllGenes')}, b AS (SELECT src AS id, dst AS other FROM x UNION SELECT dst, src FROM x),
+reach AS (SELECT DISTINCT id, id AS other FROM b UNION SELECT reach.id, b.other FROM reach JOIN b ON reach.other = b.id)
+SELECT id, min(other) AS component FROM reach GROUP BY id""",
+    "cluster_graph": f"{_CLUSTERS} SELECT final.id, CAST(nums.num AS BIGINT) AS cluster_id FROM final LEFT JOIN nums ON nums.cl = final.cl",
+    "cluster_graph_edges": f"""{_CLUSTERS},
+links2 AS (SELECT DISTINCT least(a.num, b.num) AS c0, greatest(a.num, b.num) AS c1 FROM x JOIN final fa ON fa.id = x.src JOIN final fb ON fb.id = x.dst JOIN nums a ON a.cl = fa.cl JOIN nums b ON b.cl = fb.cl WHERE a.num <> b.num),
+strong AS (SELECT c0, c1, sim FROM (SELECT l.c0, l.c1, {_PROFILE_SIMILARITY} AS sim FROM links2 l JOIN ps2 x0 ON x0.g = l.c0 JOIN ps2 y0 ON y0.g = l.c1
+  LEFT JOIN (SELECT a.g AS g0, b.g AS g1, sum(a.a * b.a) AS xy FROM prof2 a JOIN prof2 b ON a.gene_id = b.gene_id GROUP BY a.g, b.g) xy ON xy.g0 = l.c0 AND xy.g1 = l.c1) WHERE sim >= 0.8),
+ways AS (SELECT c0 AS v, c1 AS w, sim, c0, c1 FROM strong UNION ALL SELECT c1, c0, sim, c0, c1 FROM strong)
+SELECT DISTINCT CAST(c0 AS BIGINT) AS c0, CAST(c1 AS BIGINT) AS c1, round(sim, 6) AS similarity FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY v ORDER BY sim DESC, w) AS r FROM ways) WHERE r <= 2""",
+    "cluster_graph_profiles": f"{_CLUSTERS} SELECT CAST(g AS BIGINT) AS cluster_id, gene_id, round(a, 6) AS average FROM prof2",
+    "vertex_tissue_frequencies": f"WITH {_M}, {_C}, {_TISSUE}, x AS {_edges_sql('ExactAllGenes')}, vert AS (SELECT src AS id FROM x UNION SELECT dst FROM x) SELECT t.v AS value, count(*) AS n FROM vert JOIN t ON t.cell_id = vert.id GROUP BY t.v",
+    "vertex_category_colors": f"""WITH {_M}, {_C}, {_TISSUE}, x AS {_edges_sql('ExactAllGenes')}, vert AS (SELECT src AS id FROM x UNION SELECT dst FROM x),
+f AS (SELECT t.v, ROW_NUMBER() OVER (ORDER BY count(*) DESC, t.v DESC) AS r FROM vert JOIN t ON t.cell_id = vert.id WHERE t.v <> '' GROUP BY t.v)
+SELECT vert.id, t.v AS value, CASE WHEN f.r <= 12 THEN [{", ".join(f"'{c}'" for c in graphs.CATEGORY_COLORS)}][f.r] ELSE '#000000' END AS color FROM vert JOIN t ON t.cell_id = vert.id LEFT JOIN f ON f.v = t.v""",
+    "vertex_expression_colors": f"""WITH {_E}, {_S}, {_C}, x AS {_edges_sql('ExactAllGenes')}, vert AS (SELECT src AS id FROM x UNION SELECT dst FROM x),
+val AS (SELECT e.cell_id AS id, round(c / n2, 6) AS value FROM e JOIN s ON e.cell_id = s.cell_id WHERE gene_id = 26), {_scale_sql("(SELECT min(value) FROM val)", "(SELECT max(value) FROM val)")}""",
+    "vertex_similarity_colors": f"""WITH {_E}, {_S}, {_C}, x AS {_edges_sql('ExactAllGenes')}, vert AS (SELECT src AS id FROM x UNION SELECT dst FROM x),
+dot AS (SELECT b.cell_id AS id, sum(a.c * b.c) AS xy FROM e a JOIN e b ON a.gene_id = b.gene_id WHERE a.cell_id = 0 GROUP BY b.cell_id),
+val AS (SELECT vert.id, round((1500 * coalesce(xy, 0) - a.s1 * b.s1) / sqrt((1500 * a.s2 - a.s1 * a.s1) * (1500 * b.s2 - b.s1 * b.s1)), 6) AS value
+  FROM vert JOIN s b ON b.cell_id = vert.id JOIN s a ON a.cell_id = 0 LEFT JOIN dot ON dot.id = vert.id), {_scale_sql("0.0", "1.0")}""",
     "knn_graph_edges": f"WITH {_C}, x AS {_edges_sql('ExactAllGenes')} SELECT src, dst, similarity FROM x",
     "compare_graphs": f"""WITH {_C}, x AS {_edges_sql('ExactAllGenes')}, y AS {_edges_sql('Lsh1024AllGenes')},
 vx AS (SELECT src AS id FROM x UNION SELECT dst FROM x), vy AS (SELECT src AS id FROM y UNION SELECT dst FROM y),

@@ -34,12 +34,14 @@ def local_session(app: str = "countgrid", cores: int | str = "*", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and removed at exit.
+    Only in a local session that names none (tests on one machine) a temporary
+    folder is made and removed at exit; on a cluster that would be each executor's own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     global _LOCAL_DIR
     if _LOCAL_DIR is None:
         _LOCAL_DIR = tempfile.mkdtemp(prefix="countgrid-")
@@ -95,13 +97,17 @@ class Scratch:
             df._countgrid_path = None
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partitioned by the keys over as many tasks as the session's shuffles have.
 
     Adaptive execution merges small partitions by their bytes, which leaves few tasks to
     stages whose cost is computing; a number given by hand is kept.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

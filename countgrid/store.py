@@ -513,9 +513,9 @@ class MatrixStore:
         self._put_pairs(name, lsh.lsh_pairs_permuted(sigs, lsh_count, permutation_count, search_count, k, threshold, seed, permuted_bit_count), gene_set, cell_set, "lsh_permuted", k=k, threshold=threshold, lsh_count=lsh_count, seed=seed)
 
     def find_similar_pairs7(self, name: str, slice_lengths: list[int], gene_set: str = ALL_GENES, cell_set: str = ALL_CELLS, k: int = 100, threshold: float = 0.2, lsh_count: int = 1024, max_check: int = 100, log2_bucket_count: int = 0, seed: int = lsh.SEED) -> None:
-        """``log2_bucket_count`` is taken for compatibility: slices are grouped by value, without collisions."""
+        """With ``log2_bucket_count`` above 0 slices at least that long are hashed to so many buckets."""
         sigs = self._signatures(gene_set, cell_set, lsh_count, seed)
-        self._put_pairs(name, lsh.lsh_pairs_multi_slice(sigs, lsh_count, slice_lengths, max_check, k, threshold), gene_set, cell_set, "lsh_multi_slice", k=k, threshold=threshold, lsh_count=lsh_count, seed=seed)
+        self._put_pairs(name, lsh.lsh_pairs_multi_slice(sigs, lsh_count, slice_lengths, max_check, k, threshold, log2_buckets=log2_bucket_count), gene_set, cell_set, "lsh_multi_slice", k=k, threshold=threshold, lsh_count=lsh_count, seed=seed)
 
     def find_similar_gene_pairs0(self, name: str, gene_set: str = ALL_GENES, cell_set: str = ALL_CELLS, normalization: str = "L2", k: int = 100, threshold: float = 0.2) -> None:
         counts, _ = self._subset(gene_set, cell_set)
@@ -551,8 +551,7 @@ class MatrixStore:
         bits = int(params["lsh_count"])
         sigs = self.table("signatures").filter(F.col("name") == name).select("id", "sig")
         genes = self.gene_set(params["gene_set"])
-        every = lsh.lsh_pairs_all(sigs, bits, sigs.count(), -1.0, True).filter("id0 < id1").select("id0", "id1", "similarity")
-        return lsh.error_bins(similarity.pair_similarity(matrix.restrict(self.table("counts"), genes), every, genes.count()), bits)
+        return lsh.error_bins_of_all(matrix.restrict(self.table("counts"), genes), sigs, genes.count(), bits)
 
     def remove_similar_pairs(self, name: str) -> None:
         self._drop("similar_pairs", name, "similar_pairs")

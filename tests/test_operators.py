@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from countgrid.operators import graphs, lsh, matrix, meta, sets, similarity
+from countgrid.session import Scratch
 
 N = 40
 
@@ -25,10 +26,10 @@ def pearson(x):
         return np.corrcoef(x)
 
 
-@pytest.mark.parametrize("block", [7, 2048])
+@pytest.mark.parametrize("block", [(7, 3), (25, 1024), (8192, 10)])
 def test_exact_pairs(data, block, monkeypatch):
     x, df = data
-    monkeypatch.setattr(similarity.block_pairs, "__defaults__", (block,))
+    monkeypatch.setattr(similarity.block_pairs, "__defaults__", (*block, None))
     got = {}
     for r in similarity.exact_pairs(df, N, 4, 0.1).collect():
         got.setdefault(r["id0"], []).append((r["rank"], r["id1"], r["similarity"]))
@@ -104,6 +105,59 @@ def test_signatures_do_not_depend_on_the_partitioning(data):
     assert a == b
 
 
+def test_searches_do_not_depend_on_the_partitioning(spark, data):
+    _, df = data
+    sigs = lsh.signatures(df, N, 128, planes=lsh.md5_planes).cache()
+    found = []
+    for n in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            found.append({(r["id0"], r["rank"], r["id1"]) for r in lsh.lsh_pairs_permuted(sigs, 128, 6, 3, 5, 0.1).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and found[0]
+
+
+def test_neighbours_in_order_reach_across_groups(spark, monkeypatch):
+    monkeypatch.setattr(lsh, "SCAN_ROWS", 8)
+    rows = [(i % 2, i // 3, 1000 - i) for i in range(90)]  # ties of the key are ordered by id
+    placed = spark.createDataFrame(rows, "p int, key bigint, id bigint")
+    got = {tuple(r) for r in lsh.neighbours_in_order(placed, 3, Scratch(spark, "test")).collect()}
+    want = set()
+    for p in (0, 1):
+        ids = [i for _, _, i in sorted(r for r in rows if r[0] == p)]
+        want |= {(a, b) for x, a in enumerate(ids) for y, b in enumerate(ids) if 0 < abs(x - y) <= 3}
+    assert got == want
+
+
+def test_error_bins_of_all_pairs(spark, data):
+    x, df = data
+    bits = 256
+    sigs = lsh.signatures(df, N, bits).cache()
+    estimate = {(r["id0"], r["id1"]): r["similarity"] for r in lsh.lsh_pairs_all(sigs, bits, 100, -1.0, True).collect()}
+    bins = {}
+    s = pearson(x).round(9)
+    for i in range(59):
+        for j in range(i + 1, 59):
+            bins.setdefault(min(199, math.floor((s[i, j] + 1) / 0.01)), []).append(estimate[i, j] - s[i, j])
+    got = {r["bin"]: r for r in lsh.error_bins_of_all(df, sigs, N, bits).collect()}
+    assert {b: len(d) for b, d in bins.items() if len(d) > 1} == {b: r["n"] for b, r in got.items()}
+    assert all(abs(r["bias"] - np.mean(bins[b])) < 1e-9 and abs(r["rms"] - np.sqrt(np.mean(np.square(bins[b])))) < 1e-9 for b, r in got.items())
+
+
+def test_common_prefix(spark):
+    rows = [([1, 2], [1, 2], 128), ([1, 2], [1, 3], 127), ([-1, 0], [1, 0], 0), ([4, 0], [6, 0], 62), ([0, -1], [0, 1], 64)]
+    got = spark.createDataFrame(rows, "sig0 array<bigint>, sig1 array<bigint>, want int").select(lsh.common_prefix().alias("n"), "want").collect()
+    assert all(r["n"] == r["want"] for r in got)
+
+
+def test_hashed_buckets_only_add_candidates(spark, data):
+    _, df = data
+    sigs = lsh.signatures(df, N, 128).cache()
+    plain, few = ({(r["id0"], r["id1"]) for r in lsh.lsh_pairs_multi_slice(sigs, 128, [16, 8], 1000, 100, 0.3, log2_buckets=b).collect()} for b in (0, 3))
+    assert plain < few
+
+
 def test_threshold_in_bits():
     for t in (0.2, 0.5, 1.0, -0.5):
         m = lsh.most_mismatches(t, 64)
@@ -118,7 +172,8 @@ def test_signature_graph(spark):
     sigs = spark.createDataFrame(rows, "id bigint, sig array<bigint>")
     vertices, edges = graphs.signature_graph(sigs, 64, 3)
     got = sorted(map(tuple, edges.collect()))
-    assert got == sorted(map(tuple, graphs.signature_distance_edges(vertices).collect())) and got
+    own = {r["id"]: r["sig"][0] & (2**64 - 1) for r in vertices.collect()}
+    assert got == sorted((a, b) for a in own for b in own if a < b and (own[a] ^ own[b]).bit_count() == 1) and got
 
 
 def test_knn_graph(spark):
