@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countgrid.functions.values import SPARK_TYPES, field_key, typed
-from countgrid.session import Scratch
+from countgrid.session import Scratch, shuffle_partitions
 
-#: Attributes pivoted in one aggregation.
+#: Attributes pivoted in one aggregation, on average.
 BLOCK_COLUMNS = 100
 
 
@@ -48,11 +48,11 @@ def pivot_wide(
 ) -> tuple[DataFrame, dict[str, str]]:
     """The wide table (``entity_id`` and one typed column per field) and the fields' types.
 
-    The fields are cut into blocks of ``block_columns``. Each block's rows are
-    moved once, to the same hash partitioning of the entity, and pivoted there;
-    the blocks then join on that partitioning without another shuffle. Every row
-    is shuffled once per step however many blocks there are, and no aggregation
-    is wider than a block.
+    The fields are dealt by hash to blocks of about ``block_columns``. The current values are
+    written once, in one folder a block. Each block's rows are then moved once, to the same hash
+    partitioning of the entity, and pivoted there; the blocks join to the entities on that
+    partitioning without another shuffle. Every row is read and shuffled once per step however
+    many blocks there are, and no aggregation is wider than a block.
 
     Only the list of distinct field names comes to the driver, as it is the
     schema of the result. ``types`` maps fields, in lower case and without blanks
@@ -66,23 +66,23 @@ def pivot_wide(
     more than 38 digits are null; columns of ``rows`` not named are ignored.
     """
     spark, scratch = rows.sparkSession, Scratch(rows.sparkSession, "pivot")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    latest = latest_values(rows, entity, name, value, list(order))
-    latest = scratch.keep(latest)
-    fields = sorted(r[0] for r in latest.select("field").distinct().collect())
+    n = partitions or shuffle_partitions(spark)
+    key = field_key(F.col(f"`{name}`"))
+    fields = sorted(r[0] for r in rows.filter(F.col(f"`{entity}`").isNotNull() & key.isNotNull()).select(key).distinct().collect())
     kinds = {f: types.get(f, "string") for f in fields}
-    if not fields:
-        return latest.select("entity_id").distinct(), kinds
-    blocks = [fields[i : i + block_columns] for i in range(0, len(fields), block_columns)]
-
-    def pivoted(block: list[str]) -> DataFrame:
-        own = latest if len(blocks) == 1 else latest.filter(F.col("field").isin(*block))
-        own = own.repartition(n, "entity_id")
-        cells = [F.max(F.when(F.col("field") == f, typed(F.col("value"), kinds[f]))).cast(SPARK_TYPES[kinds[f]]).alias(wide_name(f)) for f in block]
+    count = max(1, -(-len(fields) // block_columns))
+    block = F.pmod(F.xxhash64("field"), F.lit(count)).cast("int").alias("block")
+    latest = scratch.keep(latest_values(rows, entity, name, value, list(order)).select("entity_id", "field", "value", block), "block")
+    blocks: dict[int, list[str]] = {}
+    for field, number in spark.createDataFrame([(f,) for f in fields], "field string").select("field", block).collect():
+        blocks.setdefault(number, []).append(field)
+
+    def pivoted(number: int) -> DataFrame:
+        own = latest.filter(F.col("block") == number).repartition(n, "entity_id")
+        cells = [F.max(F.when(F.col("field") == f, typed(F.col("value"), kinds[f]))).cast(SPARK_TYPES[kinds[f]]).alias(wide_name(f)) for f in blocks[number]]
         return own.groupBy("entity_id").agg(*cells)
 
-    if len(blocks) == 1:
-        return pivoted(blocks[0]), kinds
     # Left joins keep the partitioning of the left side; a full outer join would lose it.
     ids = latest.select("entity_id").repartition(n, "entity_id").distinct()
-    return reduce(lambda a, b: a.join(b, "entity_id", "left"), map(pivoted, blocks), ids), kinds
+    wide = reduce(lambda a, b: a.join(b, "entity_id", "left"), map(pivoted, sorted(blocks)), ids)
+    return wide.select("entity_id", *[F.col(quoted(wide_name(f))) for f in fields]), kinds

@@ -207,15 +207,6 @@ def parse_block(lines: pa.Array, kind: str, separators: str, n_fields: int, type
 # --- both together -----------------------------------------------------------
 
 
-class _Out:
-    def __init__(self) -> None:
-        self.rows: list[tuple] = []
-
-    def batch(self) -> pa.RecordBatch:
-        schema = pa.schema([("line_id", pa.int64()), ("file_id", pa.int32()), ("line_no", pa.int32()), ("file_kind", pa.string()), ("reason", pa.string()), ("name", pa.string()), ("counts", pa.list_(pa.float64())), ("fields", pa.list_(pa.string())), ("field_names", pa.list_(pa.string())), ("field_types", pa.list_(pa.string()))])
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.rows) if self.rows else [[]] * len(schema), schema)], schema=schema)
-
-
 def _solve(lines: pa.Array, low: int, high: int, info: tuple, good, strict) -> None:
     kind, separators, n_fields, types = info
     part = lines.slice(low, high - low)
@@ -231,40 +222,56 @@ def _solve(lines: pa.Array, low: int, high: int, info: tuple, good, strict) -> N
         _solve(lines, middle, high, info, good, strict)
 
 
-def _parse_run(table: pa.Table) -> pa.RecordBatch:
-    """Parses consecutive lines of one file."""
-    head = {c: table[c][0].as_py() for c in ("file_id", "file_kind", "separator_chars", "n_fields", "field_names", "field_types")}
-    ids, numbers = table["line_id"].to_pylist(), table["line_no"].to_pylist()
-    out = _Out()
-    fixed = (head["file_kind"],)
-    if head["file_kind"] is None or not head["separator_chars"] or head["n_fields"] is None:
-        out.rows = [(i, head["file_id"], n, head["file_kind"], "unknown_file", None, None, None, None, None) for i, n in zip(ids, numbers)]
-        return out.batch()
-    lines = pc.replace_substring_regex(pc.fill_null(table["raw_line"].combine_chunks(), ""), r"\r\z", "")
-    is_matrix = head["file_kind"] == "ExpressionMatrix"
-    names, types = head["field_names"] or [], head["field_types"] or []
+_PASSED = ("line_id", "file_id", "line_no", "file_kind", "field_names", "field_types")
+_SCHEMA = pa.schema([("line_id", pa.int64()), ("file_id", pa.int32()), ("line_no", pa.int32()), ("file_kind", pa.string()), ("reason", pa.string()), ("name", pa.string()), ("counts", pa.list_(pa.float64())), ("fields", pa.list_(pa.string())), ("field_names", pa.list_(pa.string())), ("field_types", pa.list_(pa.string()))])
+
+
+def _rows(table: pa.Table, **made: pa.Array) -> pa.Table:
+    """Rows of the result: columns passed on from ``table``, those ``made``, and nulls."""
+    n = table.num_rows
+    columns = {c: table[c] for c in _PASSED} | made
+    return pa.table([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)
 
-    def keep(at: int, name: str, texts: list[str] | None, counts) -> None:
-        values = (counts, None, names, None) if is_matrix else (None, texts, names, types)
-        out.rows.append((ids[at], head["file_id"], numbers[at], *fixed, None, name, *values))
+
+def _lists(values: pa.Array, rows: int, width: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), values)
+
+
+def _parse_run(table: pa.Table) -> pa.Table:
+    """Parses consecutive lines of one file. Good blocks stay columns all the way; only diagnosed lines become Python values."""
+    kind, separators, n_fields, types = (table[c][0].as_py() for c in ("file_kind", "separator_chars", "n_fields", "field_types"))
+    if kind is None or not separators or n_fields is None:
+        return _rows(table, reason=pa.array(["unknown_file"] * table.num_rows), field_names=pa.nulls(table.num_rows), field_types=pa.nulls(table.num_rows))
+    lines = pc.replace_substring_regex(pc.fill_null(table["raw_line"].combine_chunks(), ""), r"\r\z", "")
+    is_matrix = kind == "ExpressionMatrix"
+    # Count lines have no types.
+    table = table.set_column(table.schema.get_field_index("field_types"), "field_types", pa.nulls(table.num_rows, pa.list_(pa.string()))) if is_matrix else table
+    parts, odd = [], []
 
     def good(low: int, columns: list[pa.Array], matrix: np.ndarray | None) -> None:
-        first = columns[0].to_pylist()
+        n, width = len(columns[0]), len(columns) - 1
         if is_matrix:
-            for k, name in enumerate(first):
-                keep(low + k, name, None, matrix[k])
+            made = {"counts": _lists(pa.array(np.ascontiguousarray(matrix).ravel()), n, width)}
         else:
-            for k, texts in enumerate(zip(*[c.to_pylist() for c in columns[1:]]) if len(columns) > 1 else [()] * len(first)):
-                keep(low + k, first[k], list(texts), None)
+            by_column = pa.concat_arrays([pa.array([], columns[0].type), *columns[1:]])
+            by_row = np.arange(n * width).reshape(width, n).T.ravel() if width else np.zeros(0, np.int64)
+            made = {"fields": _lists(by_column.take(pa.array(by_row)), n, width)}
+        parts.append(_rows(table.slice(low, n), name=columns[0], **made))
 
     def strict(at: int, reason: str | None, fields: list[str]) -> None:
-        if reason is None:  # a good line beside bad ones, or one that holds the mark of the columnar path
-            keep(at, fields[0], None if is_matrix else fields[1:], [float(x) for x in fields[1:]] if is_matrix else None)
-        else:
-            out.rows.append((ids[at], head["file_id"], numbers[at], *fixed, reason, None, None, None, None, None))
+        odd.append((at, reason, fields))
 
-    _solve(lines, 0, len(lines), (head["file_kind"], head["separator_chars"], head["n_fields"], types), good, strict)
-    return out.batch()
+    _solve(lines, 0, len(lines), (kind, separators, n_fields, types or []), good, strict)
+    if odd:
+        at, reasons, fields = zip(*odd)
+        fine = [r is None for r in reasons]  # a good line beside bad ones, or one that holds the mark of the columnar path
+        names = pa.array([f[0] if ok else None for ok, f in zip(fine, fields)], pa.string())
+        rest = [f[1:] if ok else None for ok, f in zip(fine, fields)]
+        made = {"counts": pa.array([None if f is None else [float(x) for x in f] for f in rest], pa.list_(pa.float64()))} if is_matrix else {"fields": pa.array(rest, pa.list_(pa.string()))}
+        own = table.take(pa.array(at))
+        shown = {c: pc.if_else(pa.array(fine), own[c].combine_chunks(), pa.scalar(None, own[c].type)) for c in ("field_names", "field_types")}
+        parts.append(_rows(own, reason=pa.array(reasons, pa.string()), name=names, **made, **shown))
+    return pa.concat_tables(parts)
 
 
 def _parse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +281,7 @@ def _parse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borders = [0, *(np.nonzero(file_id[1:] != file_id[:-1])[0] + 1).tolist(), len(file_id)] if len(file_id) else [0]
         for low, high in zip(borders[:-1], borders[1:]):
             for at in range(low, high, BLOCK_LINES):
-                yield _parse_run(table.slice(at, min(BLOCK_LINES, high - at)))
+                yield from _parse_run(table.slice(at, min(BLOCK_LINES, high - at))).combine_chunks().to_batches()
 
 
 def file_layouts(lines: DataFrame, files: DataFrame, types: dict[str, str]) -> DataFrame:

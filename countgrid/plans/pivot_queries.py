@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countgrid.functions.values import canonical
+from countgrid.functions.values import canonical, field_key
 from countgrid.operators.pivot import pivot_wide, quoted, wide_name
 from countgrid.session import read_table
 
@@ -34,7 +34,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.unionByName(genes)
 
 
-QUERIES = {"p5_found": p5_found}
+def p5_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by the fields of each plate: hundreds of columns. The number of cells is that of non-null values per column."""
+    plates = read_table(spark, sf_dir, "cells").groupBy("cell_id").agg(F.max(F.struct("loaded_at", "cell_name", "plate_name")).getField("plate_name").alias("plate"))
+    rows = read_table(spark, sf_dir, "cell_meta_data").join(plates, "cell_id")
+    rows = rows.withColumn("meta_name", F.concat(F.coalesce("plate", F.lit("")), F.lit("/"), field_key(F.col("meta_name"))))
+    wide, kinds = pivot_wide(rows, {})
+    return long_form(wide, kinds, "cell").groupBy("field").agg(F.count(F.lit(1)).alias("cells"), F.min("typed_value").alias("least"), F.max("typed_value").alias("greatest"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_plates": p5_plates}
 
 _ENTITY = """
 SELECT '{e}' AS entity, {e}_id AS entity_id, lower(trim(meta_name, ' \t')) AS field, trim(meta_value, ' \t') AS v,
@@ -42,6 +51,11 @@ SELECT '{e}' AS entity, {e}_id AS entity_id, lower(trim(meta_name, ' \t')) AS fi
 FROM {e}_meta_data"""
 
 SQL = {
+    "p5_plates": f"""
+WITH plates AS (SELECT cell_id, coalesce(plate_name, '') AS plate FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cell_id ORDER BY loaded_at DESC, cell_name DESC, plate_name DESC NULLS LAST) AS r FROM cells) WHERE r = 1),
+rows AS ({_ENTITY.format(e="cell")}),
+held AS (SELECT lower(plate || '/' || field) AS field, v FROM rows JOIN plates ON plates.cell_id = rows.entity_id WHERE r = 1 AND v IS NOT NULL AND v <> '' AND lower(v) NOT IN ('na', 'n/a', 'null', '-', '?'))
+SELECT field, count(*) AS cells, min(v) AS least, max(v) AS greatest FROM held GROUP BY field""",
     "p5_found": f"""
 WITH rows AS ({_ENTITY.format(e="cell")} UNION ALL {_ENTITY.format(e="gene")}),
 kinds AS (SELECT DISTINCT entity, lower(trim(field_name, ' \t')) AS field, value_type FROM meta_fields),

@@ -27,8 +27,7 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_meta": p4_meta, "p4_counts": p4_counts}
 _NUMBER = "[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?"
-SQL = {
-    "p4_found": f"""
+_JUDGED = f"""
 WITH once AS (
   SELECT line_id, any_value(file_id) AS file_id, any_value(line_no) AS line_no, any_value(raw_line) AS raw_line
   FROM raw_lines WHERE line_id IS NOT NULL AND file_id IS NOT NULL GROUP BY line_id),
@@ -69,6 +68,25 @@ judged AS (
 bad AS (SELECT line_id, bool_or(bad) AS bad FROM judged GROUP BY line_id),
 reasons AS (
   SELECT s.line_id, CASE WHEN NOT s.sound THEN 'quoting' WHEN len(s.parts) <> s.n_fields THEN 'column_count' WHEN bad.bad THEN 'value' END AS reason
-  FROM split s LEFT JOIN bad ON s.line_id = bad.line_id WHERE s.line_no IS NULL OR s.line_no <> 1)
-SELECT line_id, reason FROM reasons WHERE reason IS NOT NULL""",
+  FROM split s LEFT JOIN bad ON s.line_id = bad.line_id WHERE s.line_no IS NULL OR s.line_no <> 1)"""
+_VALID = """,
+headed AS (SELECT file_id, CASE WHEN n = n_fields THEN i ELSE i + 1 END AS i, v AS label FROM clean WHERE line_no = 1),
+valid AS (SELECT c.line_id, c.file_id, c.file_kind, c.i, c.v, f.v AS first, h.label FROM clean c JOIN reasons r ON r.line_id = c.line_id AND r.reason IS NULL
+  JOIN clean f ON f.line_id = c.line_id AND f.i = 1 LEFT JOIN headed h ON h.file_id = c.file_id AND h.i = c.i WHERE c.i > 1)"""
+
+SQL = {
+    "p4_found": _JUDGED + "\nSELECT line_id, reason FROM reasons WHERE reason IS NOT NULL",
+    "p4_meta": f"""{_JUDGED}{_VALID},
+held AS (SELECT v.file_id, v.line_id, v.first AS cell_name, lower(trim(v.label, ' \t')) AS field, coalesce(t.kind, 'string') AS value_type,
+    CASE WHEN v.v <> '' AND lower(v.v) NOT IN ('na', 'n/a', 'null', '-', '?') THEN v.v END AS x
+  FROM valid v LEFT JOIN typed t ON t.file_id = v.file_id AND t.i = v.i WHERE v.file_kind = 'MetaData')
+SELECT file_id, line_id, cell_name, field, value_type,
+  CASE WHEN value_type = 'string' THEN x END AS string_value,
+  CASE WHEN value_type = 'integer' THEN TRY_CAST(x AS DECIMAL(38,0)) END AS integer_value,
+  CASE WHEN value_type = 'decimal' THEN TRY_CAST(x AS DOUBLE) END AS decimal_value,
+  CASE WHEN value_type = 'boolean' THEN lower(x) IN ('true', 'yes', '1') END AS boolean_value,
+  CASE WHEN value_type = 'date' THEN TRY_CAST(x AS DATE) END AS date_value
+FROM held""",
+    "p4_counts": f"""{_JUDGED}{_VALID}
+SELECT file_id, line_id, first AS gene_name, label AS cell_name, TRY_CAST(v AS DOUBLE) AS count FROM valid WHERE file_kind = 'ExpressionMatrix' AND TRY_CAST(v AS DOUBLE) > 0""",
 }

@@ -82,10 +82,11 @@ class Scratch:
         self._n = 0
         _ROOTS.append((spark, self.root))
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, *folders: str) -> DataFrame:
+        """With columns named in ``folders``, which come last, their values get a folder each."""
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._countgrid_path = path
         return back

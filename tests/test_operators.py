@@ -89,11 +89,11 @@ def test_sliced_searches_keep_buckets_of_every_size(spark):
     multi = {(r["id0"], r["id1"]) for r in lsh.lsh_pairs_multi_slice(sigs, bits, [16], 30, k, 0.5).collect()}
     want = set()
     for i in range(len(flags)):
-        seen = []
+        seen = {}
         for part in range(4):
             same = (flags.reshape(-1, 4, 16)[:, part] == flags[i].reshape(4, 16)[part]).all(axis=1)
-            seen += [int(j) for j in np.nonzero(same)[0] if j != i and j not in seen]
-        good = [(m[i, j], j) for j in seen[:30] if m[i, j] < lsh.most_mismatches(0.5, bits)]
+            seen |= dict.fromkeys(int(j) for j in np.nonzero(same)[0] if j != i and j not in seen)
+        good = [(m[i, j], j) for j in list(seen)[:30] if m[i, j] < lsh.most_mismatches(0.5, bits)]
         want |= {(i, j) for _, j in sorted(good)[:k]}
     assert multi == want
 
