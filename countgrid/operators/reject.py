@@ -1,9 +1,11 @@
 """Loading delimited lines: valid ones as typed rows, the others with a reason.
 
 Lines of one file are parsed in blocks on a columnar path (Arrow kernels over the
-whole block). A block on which that path fails is halved, again and again, until
-the bad lines stand in blocks of a few; only those are read by the strict parser,
-which names the reasons. Good lines beside bad ones stay on the columnar path.
+whole block). A block on which a check of that path fails is halved, again and again,
+until its bad lines stand alone; whether a half fails too is read off the running count
+of the lines that the check flagged, so that no half is parsed for it. Only the isolated
+lines are read by the strict parser, which names the reasons; the others rejoin, and
+go on along the columnar path.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from countgrid.functions.values import DATE_PATTERN, DECIMAL_PATTERN, FALSE_WORD
 from countgrid.session import spread
 
 BLOCK_LINES = 2048
-#: A failing block of at most so many lines goes to the strict parser, which then costs less than halving on.
+#: Bytes of lines held to parse lines of one layout together.
+HELD_BYTES = 32_000_000
+#: Where a check can't flag lines, a failing block of at most so many goes to the strict parser.
 LEAF_LINES = 32
 _MARK = "\x1f"
 
@@ -34,7 +38,17 @@ PARSED = (
 
 
 class Failed(Exception):
-    """The columnar path can't vouch for every line of a block."""
+    """The columnar path can't vouch for every line of a block: not for those of ``flags``, or it can't tell which."""
+
+    def __init__(self, flags: np.ndarray | None = None):
+        self.flags = flags
+
+
+def _require(good: pa.Array | np.ndarray) -> None:
+    """Failed with the lines for which ``good`` is false or null."""
+    bad = ~(good if isinstance(good, np.ndarray) else pc.fill_null(good, False).to_numpy(zero_copy_only=False))
+    if bad.any():
+        raise Failed(bad)
 
 
 # --- the strict parser -------------------------------------------------------
@@ -135,12 +149,10 @@ def _patterns(separators: str) -> tuple[str, str]:
 def split_block(lines: pa.Array, separators: str, n_fields: int) -> list[pa.Array]:
     """One array per column, or Failed if any line isn't sound."""
     sound, one = _patterns(separators)
-    if pc.any(pc.match_substring(lines, _MARK)).as_py():
-        raise Failed
+    _require(pc.invert(pc.match_substring(lines, _MARK)))
     special = pc.any(pc.match_substring_regex(lines, r'["\\]')).as_py()
     if special:
-        if not pc.all(pc.match_substring_regex(lines, sound)).as_py():
-            raise Failed
+        _require(pc.match_substring_regex(lines, sound))
         closed = pc.binary_join_element_wise(lines, separators[0], "")
         parts = pc.split_pattern(pc.replace_substring_regex(closed, one, rf"\1\2{_MARK}"), _MARK)
         extra = 1
@@ -148,8 +160,7 @@ def split_block(lines: pa.Array, separators: str, n_fields: int) -> list[pa.Arra
         parts, extra = pc.split_pattern(lines, separators), 0
     else:
         parts, extra = pc.split_pattern_regex(lines, "[" + "".join("\\" + c if not c.isalnum() and c not in "\t " else c for c in separators) + "]"), 0
-    if not pc.all(pc.equal(pc.list_value_length(parts), n_fields + extra)).as_py():
-        raise Failed
+    _require(pc.equal(pc.list_value_length(parts), n_fields + extra))
     flat = pc.utf8_trim(pc.list_flatten(parts), " \t")
     if special:
         flat = pc.replace_substring_regex(flat, r'\\(["\\])', r"\1")
@@ -158,68 +169,97 @@ def split_block(lines: pa.Array, separators: str, n_fields: int) -> list[pa.Arra
     return [flat.take(pa.array(at + k)) for k in range(n_fields)]
 
 
-def _every(mask: pa.Array) -> None:
-    if not pc.all(mask, min_count=0).as_py():
-        raise Failed
-
-
-def check_column(column: pa.Array, value_type: str) -> None:
-    """Failed unless every value is missing or readable."""
-    low = pc.utf8_lower(column)
-    missing = pc.or_(pc.equal(low, ""), pc.is_in(low, pa.array(MISSING)))
-    if value_type in ("integer", "decimal"):
-        pattern = INTEGER_PATTERN if value_type == "integer" else DECIMAL_PATTERN
-        _every(pc.or_(missing, pc.match_substring_regex(column, rf"\A(?:{pattern})\z")))
-    elif value_type == "boolean":
-        _every(pc.or_(missing, pc.is_in(low, pa.array(TRUE_WORDS + FALSE_WORDS))))
-    elif value_type == "date":
-        days = column.filter(pc.invert(missing))
-        _every(pc.match_substring_regex(days, rf"\A{DATE_PATTERN}\z"))
-        if pc.any(pc.starts_with(days, "0000")).as_py():
-            raise Failed
-        try:
-            days.cast(pa.date32())
-        except pa.ArrowInvalid:
-            raise Failed from None
-
-
-def parse_block(lines: pa.Array, kind: str, separators: str, n_fields: int, types: list[str]) -> tuple[list[pa.Array], np.ndarray | None]:
-    """Columns of text and, for count files, the matrix of numbers; Failed if any line is bad."""
+def readable_values(values: pa.Array, value_type: str) -> np.ndarray:
+    """Which values are missing or readable as the type."""
+    if value_type not in ("integer", "decimal", "boolean", "date") or not len(values):
+        return np.ones(len(values), bool)
+    low = pc.utf8_lower(values)
+    good = pc.is_in(low, pa.array(("", *MISSING)))
+    if value_type == "boolean":
+        good = pc.or_(good, pc.is_in(low, pa.array(TRUE_WORDS + FALSE_WORDS)))
+    else:
+        pattern = {"integer": INTEGER_PATTERN, "decimal": DECIMAL_PATTERN, "date": DATE_PATTERN}[value_type]
+        shaped = pc.match_substring_regex(values, rf"\A(?:{pattern})\z")
+        if value_type == "date":
+            shaped = pc.and_(shaped, pc.invert(pc.starts_with(values, "0000")))
+            try:
+                values.filter(shaped).cast(pa.date32())
+            except pa.ArrowInvalid:  # some day doesn't exist
+                days = [readable(t, "date") for t in values.filter(shaped).to_pylist()]
+                flags = shaped.to_numpy(zero_copy_only=False).copy()
+                flags[flags] = days
+                shaped = pa.array(flags)
+        good = pc.or_(good, shaped)
+    return good.to_numpy(zero_copy_only=False)
+
+
+def parse_block(lines: pa.Array, kind: str, separators: str, n_fields: int, types: list[str] | np.ndarray) -> tuple[list[pa.Array], np.ndarray | None]:
+    """Columns of text and, for count files, the matrix of numbers; Failed if any line is bad.
+
+    ``types`` are those of the fields after the first: of all lines, or a row for each line.
+    """
     columns = split_block(lines, separators, n_fields)
-    _every(pc.not_equal(columns[0], ""))
+    good = pc.not_equal(columns[0], "").to_numpy(zero_copy_only=False)
+    if n_fields == 1:
+        _require(good)
+        return columns, np.zeros((len(lines), 0)) if kind == "ExpressionMatrix" else None
+    texts = pa.concat_arrays(columns[1:])
     if kind == "ExpressionMatrix":
-        if n_fields == 1:
-            return columns, np.zeros((len(lines), 0))
-        texts = pa.concat_arrays(columns[1:])
-        _every(pc.match_substring_regex(texts, rf"\A(?:{DECIMAL_PATTERN})\z"))
+        shaped = pc.match_substring_regex(texts, rf"\A(?:{DECIMAL_PATTERN})\z").to_numpy(zero_copy_only=False)
+        _require(good & shaped.reshape(n_fields - 1, -1).all(axis=0))
         try:
-            numbers = pc.replace_substring_regex(texts, r"^\+", "").cast(pa.float64()).to_numpy()
+            numbers = pc.replace_substring_regex(texts, r"^\+", "").cast(pa.float64()).to_numpy().reshape(n_fields - 1, -1)
         except pa.ArrowInvalid:
             raise Failed from None
-        if (numbers < 0).any():
-            raise Failed
-        return columns, numbers.reshape(n_fields - 1, len(lines)).T
-    for k, column in enumerate(columns[1:]):
-        check_column(column, types[k] if k < len(types) else "string")
+        _require((numbers >= 0).all(axis=0))
+        return columns, numbers.T
+    if isinstance(types, list):
+        types = np.broadcast_to(np.array((types + ["string"] * n_fields)[: n_fields - 1], object), (len(lines), n_fields - 1))
+    kinds, fine = types.T.ravel(), np.ones(len(texts), bool)
+    for value_type in ("integer", "decimal", "boolean", "date"):
+        own = np.nonzero(kinds == value_type)[0]
+        if len(own):
+            fine[own] = readable_values(texts.take(pa.array(own)), value_type)
+    _require(good & fine.reshape(n_fields - 1, -1).all(axis=0))
     return columns, None
 
 
 # --- both together -----------------------------------------------------------
 
 
-def _solve(lines: pa.Array, low: int, high: int, info: tuple, good, strict) -> None:
+def _isolated(running: np.ndarray, low: int, high: int) -> Iterator[int]:
+    """The flagged lines of a block, by halving the parts that hold any. ``running`` counts the flags before each line."""
+    if running[high] == running[low]:
+        return
+    if high - low == 1:
+        yield low
+        return
+    middle = (low + high) // 2
+    yield from _isolated(running, low, middle)
+    yield from _isolated(running, middle, high)
+
+
+def _solve(lines: pa.Array, at: np.ndarray, info: tuple, good, strict) -> None:
+    """Hands the lines ``at`` to ``good`` in bulk, but those that a check flags to ``strict``."""
     kind, separators, n_fields, types = info
-    part = lines.slice(low, high - low)
+    part = lines.take(pa.array(at))
     try:
-        good(low, *parse_block(part, kind, separators, n_fields, types))
-    except Failed:
-        if high - low <= LEAF_LINES:
-            for k, line in enumerate(part.to_pylist()):
-                strict(low + k, *diagnose(line, kind, separators, n_fields, types))
+        good(at, *parse_block(part, kind, separators, n_fields, types[at]))
+    except Failed as failed:
+        if failed.flags is not None:
+            running = np.concatenate([[0], np.cumsum(failed.flags)])
+            bad = np.fromiter(_isolated(running, 0, len(at)), np.int64)
+            others = np.delete(at, bad)
+        elif len(at) <= LEAF_LINES:
+            bad, others = np.arange(len(at)), at[:0]
+        else:
+            for half in np.array_split(at, 2):
+                _solve(lines, half, info, good, strict)
             return
-        middle = (low + high) // 2
-        _solve(lines, low, middle, info, good, strict)
-        _solve(lines, middle, high, info, good, strict)
+        for k, line in zip(bad.tolist(), part.take(pa.array(bad)).to_pylist()):
+            strict(int(at[k]), *diagnose(line, kind, separators, n_fields, types[at[k]].tolist()))
+        if len(others):
+            _solve(lines, others, info, good, strict)
 
 
 _PASSED = ("line_id", "file_id", "line_no", "file_kind", "field_names", "field_types")
@@ -238,17 +278,18 @@ def _lists(values: pa.Array, rows: int, width: int) -> pa.ListArray:
 
 
 def _parse_run(table: pa.Table) -> pa.Table:
-    """Parses consecutive lines of one file. Good blocks stay columns all the way; only diagnosed lines become Python values."""
-    kind, separators, n_fields, types = (table[c][0].as_py() for c in ("file_kind", "separator_chars", "n_fields", "field_types"))
+    """Parses lines of one layout. Good blocks stay columns all the way; only diagnosed lines become Python values."""
+    kind, separators, n_fields = (table[c][0].as_py() for c in ("file_kind", "separator_chars", "n_fields"))
     if kind is None or not separators or n_fields is None:
         return _rows(table, reason=pa.array(["unknown_file"] * table.num_rows), field_names=pa.nulls(table.num_rows), field_types=pa.nulls(table.num_rows))
     lines = pc.replace_substring_regex(pc.fill_null(table["raw_line"].combine_chunks(), ""), r"\r\z", "")
     is_matrix = kind == "ExpressionMatrix"
     # Count lines have no types.
+    types = _line_types(table, 0 if is_matrix else n_fields - 1)
     table = table.set_column(table.schema.get_field_index("field_types"), "field_types", pa.nulls(table.num_rows, pa.list_(pa.string()))) if is_matrix else table
     parts, odd = [], []
 
-    def good(low: int, columns: list[pa.Array], matrix: np.ndarray | None) -> None:
+    def good(at: np.ndarray, columns: list[pa.Array], matrix: np.ndarray | None) -> None:
         n, width = len(columns[0]), len(columns) - 1
         if is_matrix:
             made = {"counts": _lists(pa.array(np.ascontiguousarray(matrix).ravel()), n, width)}
@@ -256,12 +297,16 @@ def _parse_run(table: pa.Table) -> pa.Table:
             by_column = pa.concat_arrays([pa.array([], columns[0].type), *columns[1:]])
             by_row = np.arange(n * width).reshape(width, n).T.ravel() if width else np.zeros(0, np.int64)
             made = {"fields": _lists(by_column.take(pa.array(by_row)), n, width)}
-        parts.append(_rows(table.slice(low, n), name=columns[0], **made))
+        parts.append(_rows(table.take(pa.array(at)), name=columns[0], **made))
 
     def strict(at: int, reason: str | None, fields: list[str]) -> None:
         odd.append((at, reason, fields))
 
-    _solve(lines, 0, len(lines), (kind, separators, n_fields, types or []), good, strict)
+    # Lines with quotes or backslashes need the costlier split.
+    special = pc.match_substring_regex(lines, r'["\\]').to_numpy(zero_copy_only=False)
+    for at in (np.nonzero(~special)[0], np.nonzero(special)[0]):
+        if len(at):
+            _solve(lines, at, (kind, separators, n_fields, types), good, strict)
     if odd:
         at, reasons, fields = zip(*odd)
         fine = [r is None for r in reasons]  # a good line beside bad ones, or one that holds the mark of the columnar path
@@ -274,14 +319,41 @@ def _parse_run(table: pa.Table) -> pa.Table:
     return pa.concat_tables(parts)
 
 
+def _line_types(table: pa.Table, width: int) -> np.ndarray:
+    """The value types of each line's fields after the first, ``string`` where the file names none."""
+    files, first, back = np.unique(table["file_id"].to_numpy(), return_index=True, return_inverse=True)
+    known = [(table["field_types"][int(i)].as_py() or []) if width else [] for i in first]
+    return np.array([(t + ["string"] * width)[:width] for t in known], object).reshape(len(files), width)[back]
+
+
+_LAYOUT = ("file_kind", "separator_chars", "n_fields")
+
+
 def _parse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for frame in frames:
-        table = pa.Table.from_batches([frame]).combine_chunks()
-        file_id = table["file_id"].to_numpy(zero_copy_only=False)
-        borders = [0, *(np.nonzero(file_id[1:] != file_id[:-1])[0] + 1).tolist(), len(file_id)] if len(file_id) else [0]
-        for low, high in zip(borders[:-1], borders[1:]):
+    """Lines of files of one layout are parsed together; of those, as many as a few batches bring are held."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        codes = np.zeros(table.num_rows, np.int64)
+        for c in _LAYOUT:
+            column = table[c].combine_chunks().dictionary_encode()
+            codes = codes * (len(column.dictionary) + 1) + pc.fill_null(column.indices, len(column.dictionary)).to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        borders = np.concatenate([[0], np.nonzero(np.diff(codes[order]))[0] + 1, [len(order)]])
+        for low, high in zip(borders[:-1].tolist(), borders[1:].tolist()):
             for at in range(low, high, BLOCK_LINES):
-                yield from _parse_run(table.slice(at, min(BLOCK_LINES, high - at))).combine_chunks().to_batches()
+                yield from _parse_run(table.take(pa.array(order[at : min(at + BLOCK_LINES, high)])).combine_chunks()).combine_chunks().to_batches()
+
+    for frame in frames:
+        held.append(frame)
+        size += frame.nbytes
+        if size > HELD_BYTES:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
 
 
 def file_layouts(lines: DataFrame, files: DataFrame, types: dict[str, str]) -> DataFrame:
