@@ -14,6 +14,7 @@ SCHEMAS = {
     "vertices": "name string, id bigint, cluster_id bigint",
     "edges": "name string, src bigint, dst bigint, similarity double",
     "profiles": "name string, cluster_id bigint, gene_id int, average double",
+    "positions": "name string, id bigint, x double, y double",
     "catalog": "kind string, name string, params map<string,string>",
 }
 NORMALISATIONS = ("none", "L1", "L2")

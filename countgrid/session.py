@@ -98,6 +98,11 @@ class Scratch:
             df._countgrid_path = None
 
 
+    def clear(self) -> None:
+        """Deletes all tables, once no result reads them any more."""
+        _delete(self.spark, self.root)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -37,7 +37,21 @@ def dot_lines(vertices: DataFrame, edges: DataFrame, name: str = "G", label: str
 
 
 def write_dot(vertices: DataFrame, edges: DataFrame, path: str, **options) -> None:
-    dot_lines(vertices, edges, **options).coalesce(1).sortWithinPartitions("part", "line").select("line").write.mode("overwrite").text(path)
+    """Files whose contents in the order of their names are the graph; a small graph is one file."""
+    dot_lines(vertices, edges, **options).select("line").write.mode("overwrite").text(path)
+
+
+def write_svg(vertices: DataFrame, edges: DataFrame, path: str, size: int = 1000) -> None:
+    """A drawing of ``vertices`` (``id, x, y, color``) and ``edges``, as files that follow each other by name."""
+    span = vertices.agg(*[f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))])
+    scale = F.greatest(F.col("highx") - F.col("lowx"), F.col("highy") - F.col("lowy"), F.lit(1e-9)) / (0.94 * size)
+    placed = vertices.join(F.broadcast(span)).select("id", "color", *[((F.col(c) - F.col(f"low{c}")) / scale + 0.03 * size).alias(c) for c in "xy"])
+    side = lambda k, c: placed.select(F.col("id").alias(c), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    lines = edges.join(side(0, "src"), "src").join(side(1, "dst"), "dst")
+    lines = lines.select(F.lit(1).alias("part"), F.format_string('<line x1="%.2f" y1="%.2f" x2="%.2f" y2="%.2f" stroke="#999999"/>', "x0", "y0", "x1", "y1").alias("line"))
+    dots = placed.select(F.lit(2).alias("part"), F.format_string('<circle cx="%.2f" cy="%.2f" r="4" fill="%s"><title>%d</title></circle>', "x", "y", "color", "id").alias("line"))
+    frame = vertices.sparkSession.createDataFrame([(0, f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}">'), (3, "</svg>")], "part int, line string")
+    frame.unionByName(lines).unionByName(dots).orderBy("part", "line").select("line").write.mode("overwrite").text(path)
 
 
 def spring_layout(ids: list[int], edges: list[tuple[int, int]], rounds: int = 60, seed: int = 1) -> dict[int, tuple[float, float]]:

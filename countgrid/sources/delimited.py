@@ -7,11 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Fields that a task splits at once.
+FIELDS_AT_ONCE = 2_000_000
+
+
 def tokenize(line: str, separators: str = ",", trim: bool = True) -> list[str]:
     """Fields of a line. A backslash takes the next of ``n``, a quote, a separator or a backslash literally."""
     out, field, quoted, at = [], [], False, 0
@@ -66,27 +72,74 @@ def header_of(lines: DataFrame, separators: str) -> list[str]:
     raise ValueError("the header doesn't fit the second line")
 
 
-def long_rows(lines: DataFrame, separators: str, width: int) -> DataFrame:
-    """``line_no, name, position, text`` of every field after the first; a line of another width fails."""
+def _fields(lines: pa.Array, separators: str) -> tuple[np.ndarray, pa.Array]:
+    """Bounds of the fields of each line, and all fields. Lines without quotes and escapes are split as columns."""
+    odd = np.nonzero(pc.match_substring_regex(lines, r'["\\]').to_numpy(zero_copy_only=False))[0]
+    any_of = "[" + "".join("\\" + c if not c.isalnum() and not c.isspace() else c for c in separators) + "]"
+    plain = pc.split_pattern(lines, separators) if len(separators) == 1 else pc.split_pattern_regex(lines, any_of)
+    if not len(odd):
+        return plain.offsets.to_numpy() - plain.offsets[0].as_py(), pc.utf8_trim_whitespace(plain.flatten())
+    read = [tokenize(line, separators) for line in lines.take(pa.array(odd)).to_pylist()]
+    widths = pc.list_value_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(widths)])
+    widths[odd] = [len(f) for f in read]
+    bounds = np.concatenate([[0], np.cumsum(widths)])
+    # tokenized fields stand after all split ones
+    flat = pa.concat_arrays([pc.utf8_trim_whitespace(plain.flatten()), pa.array([x for f in read for x in f], lines.type)])
+    start = base[:-1].copy()
+    start[odd] = base[-1] + np.concatenate([[0], np.cumsum([len(f) for f in read])[:-1]])
+    place = np.repeat(start - bounds[:-1], widths) + np.arange(bounds[-1])
+    return bounds, flat.take(pa.array(place))
+
+
+def long_rows(lines: DataFrame, separators: str, width: int, without: tuple[str, ...] = ()) -> DataFrame:
+    """``line_no, name, position, text`` of every field after the first but those ``without``; a line of another width fails."""
 
     def parse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            out: dict[str, list] = {"line_no": [], "name": [], "position": [], "text": []}
-            for number, line in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist()):
-                fields = tokenize(line, separators)
-                if len(fields) != width + 1 or line == "":
-                    raise ValueError(f"line {number} has {len(fields)} fields instead of {width + 1}")
-                out["line_no"] += [number] * width
-                out["name"] += [fields[0]] * width
-                out["position"] += range(width)
-                out["text"] += fields[1:]
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("line_no", pa.int64()), ("name", pa.string()), ("position", pa.int32()), ("text", pa.string())]))
+            step = max(1, FIELDS_AT_ONCE // (width + 1))
+            for at in range(0, frame.num_rows, step):
+                part = frame.slice(at, step)
+                numbers, texts = part.column(0).to_numpy(), part.column(1)
+                bounds, fields = _fields(texts, separators)
+                bad = np.nonzero((np.diff(bounds) != width + 1) | pc.equal(texts, "").to_numpy(zero_copy_only=False))[0]
+                if len(bad):
+                    raise ValueError(f"line {numbers[bad[0]]} has {bounds[bad[0] + 1] - bounds[bad[0]]} fields instead of {width + 1}")
+                index = np.arange(len(fields))
+                rest = index % (width + 1) > 0
+                if without:
+                    rest &= ~pc.is_in(fields, pa.array(without, fields.type)).to_numpy(zero_copy_only=False)
+                rest = index[rest]
+                row = rest // (width + 1)
+                names = fields.take(pa.array(row * (width + 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[row]), names.cast(pa.string()), pa.array((rest % (width + 1) - 1).astype(np.int32)), fields.take(pa.array(rest)).cast(pa.string())], ["line_no", "name", "position", "text"])
 
     return lines.filter("line_no > 1").mapInArrow(parse, "line_no bigint, name string, position int, text string")
 
 
+def row_names(lines: DataFrame, separators: str) -> DataFrame:
+    """``line_no, name``: the first field of every line after the header."""
+
+    def parse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            names = [tokenize(line, separators)[0] if '"' in line or "\\" in line else _first(line, separators) for line in frame.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(names, pa.string())], ["line_no", "name"])
+
+    return lines.filter("line_no > 1").mapInArrow(parse, "line_no bigint, name string")
+
+
+def _first(line: str, separators: str) -> str:
+    ends = [at for c in separators if (at := line.find(c)) >= 0]
+    return line[: min(ends, default=len(line))].strip()
+
+
+def open_table(spark: SparkSession, path: str, separators: str = ",") -> tuple[DataFrame, list[str]]:
+    """The numbered lines of a table file, and its column names."""
+    lines = numbered_lines(spark, path)
+    return lines, header_of(lines, separators)
+
+
 def read_long(spark: SparkSession, path: str, separators: str = ",") -> tuple[DataFrame, list[str]]:
     """The cells of a table file in long form, and its column names."""
-    lines = numbered_lines(spark, path)
-    names = header_of(lines, separators)
+    lines, names = open_table(spark, path, separators)
     return long_rows(lines, separators, len(names)), names

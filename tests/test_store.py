@@ -1,6 +1,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 
 from countgrid.sources.delimited import tokenize
@@ -154,5 +155,113 @@ def test_other_loaders(spark, tmp_path):
         with pytest.raises(Exception):
             store.add_cells_without_meta(str(tmp_path / f"{name}.csv"))
     assert store.cell_count() == 6
-    with pytest.raises(RuntimeError):
-        store.add_cells_from_hdf5("none.h5")
+
+
+def arrays():
+    """A stand-in for an HDF5 file, one group of arrays in an .npz file; made here so that workers get it by value."""
+
+    class Arrays:
+        def __init__(self, path):
+            self.group = dict(np.load(path))
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *error):
+            return False
+
+        def keys(self):
+            return ["matrix"]
+
+        def __getitem__(self, name):
+            return self.group
+
+    return Arrays
+
+
+def matrix_file(path, barcodes, genes, rows):
+    indptr = np.cumsum([0, *map(len, rows)])
+    flat = [p for r in rows for p in r]
+    np.savez(path, barcodes=np.array(barcodes, "S"), genes=np.array(genes, "S"), indptr=indptr, indices=np.array([g for g, _ in flat], np.int64), data=np.array([c for _, c in flat], np.int64))
+    return str(path)
+
+
+def test_matrices_of_plates(spark, tmp_path):
+    """Cells without counts are kept, in the order of the barcodes, and a threshold leaves cells out."""
+    one = matrix_file(tmp_path / "one.npz", ["Z", "E", "A"], ["g0", "g1", "g2"], [[(1, 5)], [], [(0, 1), (2, 3)]])
+    two = matrix_file(tmp_path / "two.npz", ["Z", "B"], ["g2", "g9"], [[(0, 2)], [(1, 8)]])
+    store = MatrixStore(spark, str(tmp_path / "s"))
+    store.add_cells_from_hdf5(one, "p", opener=arrays())
+    assert [r["cell_name"] for r in store.table("cells").orderBy("cell_id").collect()] == ["p-Z", "p-E", "p-A"]
+    assert sorted(map(tuple, store.table("counts").collect())) == [(0, 1, 5.0), (2, 0, 1.0), (2, 2, 3.0)]
+    (tmp_path / "plates.csv").write_text(f"PlateName,aws-s3-hdf5,Donor\nq1,{one},d1\nq2,{two},d2\n")
+    store.add_cells_of_plates(str(tmp_path / "plates.csv"), min_total=3, opener=arrays())
+    assert [r["cell_name"] for r in store.table("cells").orderBy("cell_id").collect()][3:] == ["q1-Z", "q1-A", "q2-B"]
+    assert store.get_cell_meta_data_value(5, "Donor") == "d2" and store.get_cell_expression_count(5, "g9") == 8 and store.gene_count() == 4
+    with pytest.raises(Exception):
+        store.add_cells_from_hdf5(matrix_file(tmp_path / "bad.npz", ["a"], ["g", "g"], [[]]), opener=arrays())
+
+
+def size_of(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_adding_writes_only_new_rows_and_a_failed_change_leaves_the_store(spark, tmp_path, monkeypatch):
+    store = MatrixStore(spark, str(tmp_path / "s"))
+    rng = np.random.default_rng(1)
+    large = [({"CellName": f"a{i}"}, {f"g{int(g)}": float(rng.integers(1, 10**6)) for g in rng.choice(400, 40, False)}) for i in range(200)]
+    store.add_cell_batch(large)
+    before = size_of(tmp_path / "s")
+    files = set((tmp_path / "s").rglob("*.parquet"))
+    store.add_cell_batch([({"CellName": "b"}, {"g1": 1.0, "new": 2.0})])
+    assert size_of(tmp_path / "s") - before < before / 3 and files < set((tmp_path / "s").rglob("*.parquet"))
+    assert store.cell_count() == 201 and store.cell_id_from_string("b") == 200 and store.gene_id_from_name("new") == store.gene_count() - 1
+    # all is written but the manifest
+    with monkeypatch.context() as broken:
+        broken.setattr(MatrixStore, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.add_cell_batch([({"CellName": "c"}, {"g1": 1.0})])
+    assert store.cell_count() == 201 == MatrixStore(spark, store.path).cell_count()
+    other = MatrixStore(spark, store.path)
+    store.add_cell_batch([({"CellName": "c"}, {"g1": 1.0})])
+    with pytest.raises(RuntimeError):  # a writer that doesn't know the newest version
+        other.add_gene("x")
+    counts = sorted(map(tuple, store.table("counts").collect()))
+    store.compact()
+    assert len(store._parts["counts"]) == 1 and store.vacuum() > 5
+    assert sorted(map(tuple, MatrixStore(spark, store.path).table("counts").collect())) == counts and store.cell_count() == 202
+
+
+def test_graph_colors_layout_and_lists(spark, tmp_path):
+    store = MatrixStore(spark, str(tmp_path / "s"))
+    store.add_cells_from_texts("x,a,b,c\nG0,5,4,0\nG1,1,2,9\nG2,0,1,7\n", ",", "c,Kind,Col\na,k1,#ff0000\nb,k2,blue\nc,k1,?\n", ",")
+    store.find_similar_pairs0("p", threshold=-0.99)
+    store.create_cell_graph("g", "p", threshold=0.1)
+    with pytest.raises(ValueError):
+        store.get_cell_graph_vertices("g")
+    store.compute_cell_graph_layout("g")
+    assert sorted(r["id"] for r in store.get_cell_graph_vertices("g").collect()) == [0, 1]
+    assert {r["id"]: r["color"] for r in store.colored_cell_graph("g", "Col", as_color=True).collect()} == {0: "#ff0000", 1: "blue"}
+    assert {r["id"]: r["color"] for r in store.cell_graph_colored_by_gene("g", "G0", "none").collect()} == {0: "#00ff00", 1: "#ff0000"}
+    assert store.cell_graph_colored_by_similarity("g", 0).filter("id = 1").first()["value"] > 0.8
+    store.write_svg("g", str(tmp_path / "svg"), "Kind")
+    text = "\n".join(r[0] for r in spark.read.text(str(tmp_path / "svg")).collect())
+    assert text.startswith("<svg") and text.count("<circle") == 2 and text.count("<line") == 1 and text.endswith("</svg>")
+    store.store_cluster_id("g", "Part", max_iterations=3)
+    assert store.get_cell_meta_data_value(0, "Part") == "0"
+    store.create_cell_set("two", [0, 1])
+    assert {r["set_name"]: r["n"] for r in store.cell_set_sizes().collect()} == {"AllCells": 3, "two": 2}
+    store.create_cluster_graph("g", "cg", min_cluster_size=1, max_iterations=2)
+    assert [r[0] for r in store.get_cluster_graph_genes("cg").collect()] == [0, 1, 2] and store.get_cluster_graph_names() == ["cg"]
+    store.find_similar_gene_pairs0("gp", k=2, threshold=-0.99)
+    store.write_similar_gene_pairs("gp", str(tmp_path / "gp"))
+    rows = [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "gp")).collect()]
+    assert rows and {(b, a, s) for a, b, s in rows} == set(rows)
+    store.compute_lsh_signatures("s", lsh_count=8)
+    store.create_signature_graph("sg", "s", 1)
+    shares = {}
+    for r in store.signature_graph_shares("sg", "Kind").collect():
+        shares[r["id"]] = shares.get(r["id"], 0) + r["fraction"]
+    assert all(close(v, 1) for v in shares.values())
+    assert [tuple(r) for r in store.listing().collect()] == [("cell_graph", "g"), ("cell_set", "two"), ("cluster_graph", "cg"), ("signature_graph", "sg"), ("signatures", "s"), ("similar_gene_pairs", "gp"), ("similar_pairs", "p")]
+    assert 0 <= store.sample_similar_pairs("p", 0.5).count() <= store.similar_pairs("p").count()
