@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["matrix_queries", "pivot_queries", "reject_queries"]
+_MODULES = ["matrix_queries", "pivot_queries", "reject_queries", "store_queries"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
