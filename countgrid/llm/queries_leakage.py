@@ -20,7 +20,13 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "eval_items").select("item_id", "suite").distinct().join(found, "item_id")
 
 
-QUERIES = {"p7_found": p7_found, "p7_items": p7_items}
+def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with copies of items, also edited ones: item-sized windows of a shingle similarity of 0.8 or more."""
+    leaks = find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"), window=None)
+    return leaks.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_items": p7_items, "p7_near": p7_near}
 
 _FOUND = """
 WITH texts AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),

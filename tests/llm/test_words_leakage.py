@@ -6,7 +6,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from countgrid.llm.leakage import BlockIndex, find_leaks, simhash, weighted_similarity
+from countgrid.llm.leakage import BlockIndex, find_leaks, item_window, simhash, weighted_similarity
 from countgrid.llm.words import batches, words_of
 
 WORD = re.compile(r"[^\W_]+")
@@ -89,5 +89,36 @@ def test_leaks_against_brute_force(spark):
         got = find_leaks(d, i, min_similarity=1.0, chunk_passages=chunk).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
     near = {(r["doc_id"], r["item_id"]) for r in find_leaks(d, i, radius=3, min_similarity=0.6).collect()}
+    assert find_leaks(d, i, window=None).count() >= 0
     assert want <= near
     assert find_leaks(d.limit(0), i).count() == 0 == find_leaks(d, i.limit(0)).count()
+
+
+def test_item_window_is_the_largest_of_its_series():
+    sizes = [24, 34, 48, 68, 96, 136, 192]
+    for n in range(200):
+        assert item_window(n) == max((w for w in sizes if w <= n), default=0)
+
+
+def test_edited_copies_of_items_are_found(spark):
+    """Copies with one changed word from 50 words, and with two from 100, inside other text; and what must not be found."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(i, text(rng.randint(50, 95))) for i in range(60)] + [(100 + i, text(rng.randint(100, 130))) for i in range(60)] + [(300, text(20))]
+    docs, want = [], set()
+    for i, words in items[:-1]:
+        copy = list(words)
+        for at in rng.sample(range(len(copy)), 1 if i < 100 else 2):
+            copy[at] = "changed"
+        docs.append((i, " ".join(text(40) + copy + text(rng.randint(0, 60)))))
+        docs.append((1000 + i, " ".join(text(150))))
+        want.add((i, i))
+    docs.append((5000, " ".join(items[3][1])))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    i = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, item_text string")
+    rows = find_leaks(d, i, window=None).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert got <= want | {(5000, 3)} and (5000, 3) in got and len(got & want) >= 0.9 * len(want)
+    assert {r["similarity"] for r in rows if r["doc_id"] == 5000} == {1.0}
+    assert got == {(r["doc_id"], r["item_id"]) for r in find_leaks(d, i, window=None, chunk_passages=40).collect()}
