@@ -39,20 +39,28 @@ def standardised(genes: pa.Array, counts: pa.Array, dims: int, dtype: type = np.
     return dense
 
 
-def hashed(genes: pa.Array, counts: pa.Array, dims: int, buckets: int, seed: int = 7) -> np.ndarray:
-    """Signed feature hashing of the standardised rows into ``buckets`` columns, of length 1."""
+def hashed(genes: pa.Array, counts: pa.Array, dims: int, buckets: int, weights: np.ndarray | None = None, seed: int = 7) -> np.ndarray:
+    """Hashed weighted features of the rows, of mean 0 over all ``dims`` features and length 1.
+
+    Each feature adds its value, times its weight if any are given, to one of ``buckets`` columns under a
+    sign. Where all features fit they get columns of their own and signs don't matter: then inner
+    products are exact; else their standard error is about 1 / sqrt(buckets).
+    """
+    if dims <= buckets and weights is None:
+        return standardised(genes, counts, dims)
     columns, bounds = flat_lists(genes)
     values, _ = flat_lists(counts)
+    values = values.astype(np.float64) * (1.0 if weights is None else weights[columns])
     n = len(bounds) - 1
     rows = np.repeat(np.arange(n), np.diff(bounds))
-    spot, sign = hash_features(columns.astype(np.uint64), buckets, seed)
-    flat = _sums(rows * buckets + spot, values * sign, n * buckets)
-    out = flat.reshape(n, buckets)
-    all_spot, all_sign = hash_features(np.arange(dims, dtype=np.uint64), buckets, seed)
-    ones = _sums(all_spot, all_sign, buckets)
-    out -= _sums(rows, values, n)[:, None] / dims * ones
-    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return np.divide(out, length, out=np.zeros_like(out), where=length > 1e-9).astype(np.float32)
+    spot, sign = hash_features(np.arange(dims, dtype=np.uint64), buckets, seed) if dims > buckets else (np.arange(dims), np.ones(dims))
+    width = min(dims, buckets)
+    out = _sums(rows * width + spot[columns], values * sign[columns], n * width).reshape(n, width)
+    total, squares = _sums(rows, values, n), _sums(rows, values * values, n)
+    out -= (total / dims)[:, None] * _sums(spot, sign, width)
+    spread = squares - total * total / dims
+    scale = np.where(spread > 1e-12 * np.maximum(squares, 1e-300), 1.0 / np.sqrt(np.maximum(spread, 1e-300)), 0.0)
+    return (out * scale[:, None]).astype(np.float32)
 
 
 def hash_features(ids: np.ndarray, buckets: int, seed: int) -> tuple[np.ndarray, np.ndarray]:

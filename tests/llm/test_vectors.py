@@ -2,7 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from countgrid.llm import queries_clusters
+from countgrid.llm import clusters, queries_clusters
 from countgrid.llm.clusters import similarity_clusters
 from countgrid.llm.hilbert import hilbert_key
 from countgrid.llm.neighbours import nearest_rows
@@ -49,8 +49,14 @@ def test_vectors():
     counts = pa.array([r[r > 0].astype(np.float32) for r in x], pa.list_(pa.float32()))
     z = standardised(genes.slice(2), counts.slice(2), DIMS)
     assert np.abs(z @ z.T - np.where(pearson(x)[2:, 2:] == -2, 0, pearson(x)[2:, 2:])).max() < 1e-5
-    h = hashed(genes, counts, DIMS, 4096)
-    assert np.abs(h[:-1] @ h[:-1].T - pearson(x)[:-1, :-1]).max() < 0.15
+    assert (hashed(genes, counts, DIMS, 4096) == standardised(genes, counts, DIMS)).all()
+    wide = np.random.default_rng(2).gamma(0.5, 4, (30, 6000)).astype(np.float32)
+    packed = [pa.array(list(r), pa.list_(t)) for r, t in ((np.tile(np.arange(6000, dtype=np.int32), (30, 1)), pa.int32()), (wide, pa.float32()))]
+    h = hashed(*packed, 6000, 4096)
+    assert np.sqrt(np.mean((h @ h.T - np.corrcoef(wide)) ** 2)) < 2 / np.sqrt(4096)
+    weights = np.linspace(0.1, 2, DIMS)
+    weighted = hashed(genes, counts, DIMS, 4096, weights)[:-1]
+    assert np.abs(weighted @ weighted.T - np.corrcoef(x[:-1] * weights)).max() < 1e-5
 
 
 def test_neighbours_against_brute_force(spark):
@@ -137,6 +143,31 @@ def test_clusters_at_the_stated_bounds(spark):
     assert {r["cell_id"]: r["cluster_id"] for r in members.collect()} == dict(enumerate(first.tolist()))
 
 
+@pytest.mark.parametrize("sizes,inside,across", [((40, 40), 0.431, 0.355), ((40,) * 4, 0.431, 0.359), ((40,) * 4, 0.437, 0.263)])
+def test_groups_of_equal_size_at_the_stated_bounds(spark, sizes, inside, across):
+    x = groups(sizes, inside, across, 0)
+    members, _ = similarity_clusters(frame(spark, x), 400, join_similarity=0.39, min_size=5)
+    assert {r["cell_id"]: r["cluster_id"] for r in members.collect()} == {i: i // 40 * 40 for i in range(len(x))}
+
+
+def test_many_small_groups_beside_one_of_half_the_rows(spark, monkeypatch):
+    """2,000 groups of five beside one of 10,000 rows, which is spread over tasks; fewer rows drawn per round than groups."""
+    monkeypatch.setattr(clusters, "HOT_ROWS", 3_000)
+    rng = np.random.default_rng(9)
+    data, want = [], {}
+    for g in range(2001):
+        genes = np.sort(rng.choice(20_000, 40, False))
+        base = rng.integers(20, 60, 40)
+        first = len(data)
+        for _ in range(5 if g else 10_000):
+            want[len(data)] = first
+            data.append((len(data), genes.tolist(), (base + rng.integers(-3, 4, 40)).astype(float).tolist(), "x"))
+    df = spark.createDataFrame(data, "cell_id int, genes array<int>, counts array<float>, cluster_id string").repartition(8)
+    members, described = similarity_clusters(df, 20_000, join_similarity=0.39, min_size=5, seeds=700)
+    assert {r["cell_id"]: r["cluster_id"] for r in members.collect()} == want
+    assert sorted(r["vertex_count"] for r in described.collect()) == [5] * 2000 + [10_000]
+
+
 def test_no_row_is_left_by_the_rounds(spark):
     """More groups and loners than ten rounds draw rows."""
     x = groups((5,) * 6, 0.8, 0.1, 120)
