@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from countgrid.llm.words import batches, joined, word_hash, words_of
 
-# Common function words of English, German, French and Spanish.
+# The eight words of the published stop-word rule.
+RULE_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
+# Common function words of English, German, French and Spanish, for the share of common words.
 COMMON_WORDS = (
     "the be to of and that have with a in is it for as was on are this by at from or an not but "
     "der die das und ist in den von zu mit sich des auf für nicht ein eine als auch es an "
@@ -53,15 +55,20 @@ SCHEMA = (
 _EXPORT_PREFIX = r"^(?:#> ?|# )"
 _BULLET = r"^(?:[-*+•–—·‣⁃◦▪▫■□●○☐☑☒✓✔→»>]|\(?[0-9]{1,3}[.):]|\(?[A-Za-z][.)]|\(?[ivxIVX]{1,4}[.)]|\[[ xX]\])(?:[ \t]+\[[ xX]\])?[ \t]+\S"
 _CELL = r"[^\s|,;&\t=(){}\[\]'\"<>]*(?: [^\s|,;&\t=(){}\[\]'\"<>]+){0,2}"
+# Table rows by the sign that sets their columns; rows of one table agree in the number of these signs.
 _TABLES = (
-    r"^\|.*\|$",
-    r"^\+[-=+]+\+$",
-    rf"^{_CELL}(?: *& *{_CELL})+ *\\\\$",
-    rf"^{_CELL}(?:\t *{_CELL})+$",
-    rf"^{_CELL}(?:; *{_CELL})+$",
-    rf"^{_CELL}(?:, *{_CELL}){{2,}}$",
-    r"^[^\s=(){}\[\]'\"<>]+(?: {2,}[^\s=(){}\[\]'\"<>]+)+$",
+    ("|", r"^\|.*\|$"),
+    ("+", r"^\+[-=+]+\+$"),
+    ("&", rf"^{_CELL}(?: *& *{_CELL})+ *\\\\$"),
+    ("\t", rf"^{_CELL}(?:\t *{_CELL})+$"),
+    (";", rf"^{_CELL}(?:; *{_CELL})+$"),
+    (",", rf"^{_CELL}(?:, *{_CELL}){{2,}}$"),
 )
+_ALIGNED = r"^[^\s=(){}\[\]'\"<>]+(?: {2,}[^\s=(){}\[\]'\"<>]+)+$"
+#: Columns in which neighbouring aligned rows may differ: values may be missing, and headers lack some.
+_ALIGNED_SLACK = 2
+#: Letters of a lone token in small letters from which it is no word.
+LONG_WORD = 12
 _HEX_DUMP = r"^(?:0x)?[0-9a-fA-F]{4,16}:?(?:\s+[0-9a-fA-F]{2,8}){4,}"
 _ENCODED = r"^\S*[A-Za-z0-9+/=_\\%-]{32,}\S*$"
 _FENCE = r"^`{3}"
@@ -86,8 +93,9 @@ class _Classes:
         self.space = np.isin(code, [9, 10, 11, 12, 13, 32])
         self.symbol = ((code > 32) & (code < 127) & ~self.letter & ~self.digit) | sign
         self.vowel = np.isin(code, [ord(c) for c in "aeiouyAEIOUY"]) | other
-        self.off_home = np.isin(code, [ord(c) for c in "cvbnmxyCVBNMXY"]) | other
-        self.smash = np.isin(code, [ord(c) for c in ";[]'"])
+        self.capital = (code >= 65) & (code <= 90)
+        # lead byte of the Latin-1 signs, of which text read in a wrong encoding is full
+        self.latin_sign = code == 0xC2
 
 
 _CLASS = _Classes()
@@ -154,8 +162,49 @@ class ByteCounts:
         return out
 
 
+def _agrees(lines: Lines, rows: np.ndarray, columns: np.ndarray, slack: int = 0) -> np.ndarray:
+    """Which of the ``rows`` have a row of about as many columns as the line before or after them in their text."""
+    if len(rows) < 2:
+        return np.zeros(len(rows), bool)
+    pair = rows[1:] & rows[:-1] & (lines.owner[1:] == lines.owner[:-1]) & (np.abs(columns[1:] - columns[:-1]) <= slack)
+    return np.concatenate([pair, [False]]) | np.concatenate([[False], pair])
+
+
+def table_rows(lines: Lines) -> np.ndarray:
+    """Lines whose columns, set by a sign or by alignment, agree with those of a line beside them."""
+    text, out = lines.text, np.zeros(len(lines.text), bool)
+    framed = _matches(text, _TABLES[0][1]) | _matches(text, _TABLES[1][1])
+    for sign, pattern in _TABLES[2:]:
+        rows = _matches(text, pattern)
+        if rows.any():
+            out |= _agrees(lines, rows, pc.count_substring(text, sign).to_numpy(zero_copy_only=False), 0 if sign == "," else 1)  # a last value may be missing
+    rows = _matches(text, _ALIGNED)
+    out |= _agrees(lines, rows, pc.count_substring_regex(text, r" {2,}").to_numpy(zero_copy_only=False), _ALIGNED_SLACK)
+    return out | framed
+
+
+def periodic(counts: ByteCounts, longest: int = 8) -> np.ndarray:
+    """Strings that repeat a piece of at most ``longest`` bytes, nearly throughout."""
+    data, spots = counts.data, counts.spots
+    size = np.diff(spots)
+    out = np.zeros(len(size), bool)
+    for step in range(1, longest + 1):
+        same = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(data[step:] == data[:-step], out=same[1 : len(data) - step + 1]) if len(data) > step else None
+        same[max(len(data) - step + 1, 0) :] = same[max(len(data) - step, 0)]
+        pairs = np.maximum(size - step, 0)
+        hits = same[spots[:-1] + pairs] - same[spots[:-1]]
+        out |= (size >= 12) & (pairs >= 2 * step) & (hits >= 0.95 * pairs)
+    return out
+
+
 def classify_lines(lines: Lines) -> np.ndarray:
-    """0 for running text, code and anything else, 1 for list entries, 2 for table rows, 3 for junk."""
+    """0 for running text, code and anything else, 1 for list entries, 2 for table rows, 3 for junk.
+
+    Junk is told by classes of characters: more signs than letters and digits, signs of a wrong encoding,
+    encoded or dumped bytes, letters almost without vowels, few distinct characters or a repeated piece,
+    and lone tokens of letters that are longer than words or broken by quotes and brackets that don't close.
+    """
     text = lines.text
     n = len(text)
     kind = np.zeros(n, np.int8)
@@ -164,25 +213,29 @@ def classify_lines(lines: Lines) -> np.ndarray:
     size = pc.utf8_length(text).to_numpy(zero_copy_only=False)
     counts = ByteCounts(text)
     c = _CLASS
-    letters, digits, symbols, spaces, ascii_letters, vowels, off_home, smash = counts.count(c.letter, c.digit, c.symbol, c.space, c.ascii_letter, c.vowel, c.off_home, c.smash)
+    letters, digits, symbols, spaces, ascii_letters, vowels, capitals, latin = counts.count(c.letter, c.digit, c.symbol, c.space, c.ascii_letter, c.vowel, c.capital, c.latin_sign)
+    times = lambda sign: pc.count_substring(text, sign).to_numpy(zero_copy_only=False)
     is_list = _matches(text, _BULLET) & (size <= 80) & (letters >= 2)
-    table = np.zeros(n, bool)
-    for pattern in _TABLES:
-        table |= _matches(text, pattern)
+    table = table_rows(lines)
     fence = _matches(text, _FENCE)
     body = letters + digits
-    broken = pc.count_substring(text, "�").to_numpy(zero_copy_only=False)
     junk = (symbols > 2 * body) & (symbols >= 5)
-    junk |= broken * 8 >= size
+    junk |= times("�") * 8 >= size
+    junk |= (latin >= 3) & (latin * 6 >= size)
     junk |= _matches(text, _HEX_DUMP)
     junk |= (_matches(text, _ENCODED)) & (symbols <= 0.25 * size) & (size >= 40)
     junk |= (ascii_letters >= 6) & (vowels * 12 <= letters) & (digits <= letters)
-    # one token from the home and top rows of the keyboard only
-    row_only = (off_home == 0) & (spaces == 0) & (digits == 0) & (symbols == smash)
-    junk |= row_only & (letters >= 4) & (smash >= 1)
-    junk |= row_only & (letters >= 8)
+    # lone tokens: letters alone, or with marks that code would close again
+    lone = (spaces == 0) & (digits == 0) & (capitals == 0)
+    brackets, quotes, stops = (times(s) for s in ("[", "'", ";"))
+    closing = times("]")
+    marks = brackets + closing + quotes + stops
+    inner = _matches(text, r"[A-Za-z][;\]][A-Za-z]|[\[\];']{4}")
+    junk |= lone & (letters >= 4) & (symbols == marks) & (marks > 0) & ((brackets != closing) | (quotes % 2 == 1) | inner)
+    junk |= lone & (symbols == 0) & (letters >= LONG_WORD)
     long = np.nonzero(size >= 12)[0]
     junk |= (size >= 12) & (counts.distinct(long) <= 4) & (digits <= 0.5 * size)
+    junk |= periodic(counts) & ~table
     grid = table & (_matches(text, r"^[|+][-=+:| ]+[|+]$"))
     kind[table] = 2
     kind[is_list] = 1
@@ -210,17 +263,17 @@ def text_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ru
     repeated rows each give a row; other columns are ignored.
     """
     rules = RULES | (rules or {})
-    common = np.unique([word_hash(w) for w in COMMON_WORDS])
+    common, ruled = (np.unique([word_hash(w) for w in words]) for words in (COMMON_WORDS, RULE_WORDS))
 
     def measure(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for first, texts in batches(frame.column(1)):
-                yield _measure(frame.column(0).slice(first, len(texts)), texts, common, rules)
+                yield _measure(frame.column(0).slice(first, len(texts)), texts, common, ruled, rules)
 
     return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(measure, SCHEMA)
 
 
-def _measure(ids: pa.Array, texts: pa.Array, common: np.ndarray, rules: dict) -> pa.RecordBatch:
+def _measure(ids: pa.Array, texts: pa.Array, common: np.ndarray, ruled: np.ndarray, rules: dict) -> pa.RecordBatch:
     n = len(texts)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     found = words_of(texts)
@@ -230,6 +283,8 @@ def _measure(ids: pa.Array, texts: pa.Array, common: np.ndarray, rules: dict) ->
     which = np.minimum(np.searchsorted(common, found.hashes), len(common) - 1)
     is_common = common[which] == found.hashes
     distinct_common = np.unique(text_of_word[is_common] * len(common) + which[is_common]) // len(common)
+    is_ruled = np.isin(found.hashes, ruled)
+    distinct_ruled = np.unique(np.stack([text_of_word[is_ruled].astype(np.uint64), found.hashes[is_ruled]], 1), axis=0)[:, 0].astype(np.int64)
     chars = ByteCounts(texts)
     size = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
     (symbols,) = chars.count(_CLASS.symbol)
@@ -267,7 +322,7 @@ def _measure(ids: pa.Array, texts: pa.Array, common: np.ndarray, rules: dict) ->
         ("bullet_lines_max", stats["bullet_line_share"] > rules["bullet_lines_max"]),
         ("ellipsis_lines_max", stats["ellipsis_line_share"] > rules["ellipsis_lines_max"]),
         ("alpha_words_min", stats["alpha_word_share"] < rules["alpha_words_min"]),
-        ("common_words_min", common_words < rules["common_words_min"]),
+        ("common_words_min", np.bincount(distinct_ruled, minlength=n) < rules["common_words_min"]),
         *[(f"layout_{name}", layout == name) for name in ("list", "table", "junk")],
     ]
     names = np.array([name for name, _ in fails], object)

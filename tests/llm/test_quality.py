@@ -40,3 +40,13 @@ def test_empty_table_and_line_ends(spark):
     lines = lines_of(pa.array(["a\r\nb\rc\n\n \n#> d", None]))
     assert lines.text.to_pylist() == ["a", "b", "c", "d"] and lines.owner.tolist() == [0] * 4
     assert classify_lines(lines_of(pa.array(["", None]))).tolist() == []
+
+
+def test_kinds_of_lines():
+    """Columns must agree with a line beside; junk by characters; code and prose of like signs stay."""
+    kinds = lambda text: classify_lines(lines_of(pa.array([text]))).tolist()
+    assert kinds("Hello, dear friend, good day\nThis is text. It goes on.") == [0, 0]
+    assert kinds("a,b,c\n1,2,3\n4,5,6") == [2, 2, 2] and kinds("a;b\nplain text\nc;d") == [0, 0, 0]
+    assert kinds("x   y   z\n1   2   3") == [2, 2] and kinds("x   y   z") == [0]
+    assert kinds("010 010 010 010\n¶¤¼ Ãœ€¼Ÿ¶ ½§µ\nab]cd;ef'g\nqpwoeirutyalskd") == [3] * 4
+    assert kinds("x['key'];\nitems[0];\nsum(values)\nVisualisierung\nimport\ndon't stop\nDas Maß für 20 °C ist «neu»") == [0] * 7
