@@ -172,3 +172,39 @@ def exact_pairs(values: DataFrame, n: int, k: int = 100, threshold: float = 0.2,
 
     rows = packed(values, row, feature, value)
     return top_k(block_pairs(rows, ["features", "values"], kernel, PAIRS, k=k), k)
+
+
+#: Rows of one block of queries, and of one block of the rows they are compared with.
+QUERY_ROWS, AGAINST_ROWS = 4096, 16_384
+
+
+def query_pairs(queries: DataFrame, rows: DataFrame, n: int, k: int, row: str = "cell_id", features: str = "genes", values: str = "counts") -> DataFrame:
+    """``id0, id1, similarity``: the k most similar rows, within each block of ``rows``, of each row of ``queries``.
+
+    Both sides hold packed rows. A query meets each block of rows once, and only k rows leave a block;
+    ``top_k`` gives the best of all. The work is that of a stated set of queries against all rows.
+    """
+
+    def side(df: DataFrame, most: int, name: str) -> tuple[DataFrame, int]:
+        blocks = max(1, -(-df.count() // most))
+        own = F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int").alias(name)
+        return df.select(F.col(row).cast("bigint").alias("id"), F.col(features).alias("features"), F.col(values).cast("array<double>").alias("values"), own), blocks
+
+    (asked, n_asked), (held, n_held) = side(queries, QUERY_ROWS, "a"), side(rows, AGAINST_ROWS, "b")
+    asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_held - 1))).alias("b"), F.lit(True).alias("asked"))
+    held = held.select("id", "features", "values", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("a"), "b", F.lit(False).alias("asked"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        flag = group["asked"].to_numpy(zero_copy_only=False)
+        left, right = (group.take(pa.array(np.nonzero(flag == side)[0])) for side in (True, False))
+        parts = []
+        for i in range(0, left.num_rows, TILE_ROWS):
+            for j in range(0, right.num_rows, TILE_ROWS):
+                ids0, ids1, score = pearson_tiles(left.slice(i, TILE_ROWS).combine_chunks(), right.slice(j, TILE_ROWS).combine_chunks(), n)
+                score[ids0[:, None] == ids1[None, :]] = -2
+                parts.append(pairs_table(best_of_block(ids0, ids1, score, k, -1.5)))
+        return _best_rows(pa.concat_tables(parts), k) if parts else pairs_table(([], [], []))
+
+    tasks = min(n_asked * n_held, MOST_TASKS)
+    return asked.unionByName(held).repartition(tasks, "a", "b").groupBy("a", "b").applyInArrow(run, PAIRS)
