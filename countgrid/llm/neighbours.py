@@ -1,10 +1,11 @@
 """The k most similar rows of every row by shifted space-filling curves.
 
 Standardised rows are projected to a few dimensions, and each of several curves
-lays its own projection, shifted at random, along a Hilbert curve. Spark range-
-partitions and sorts the rows by (curve, key). Rows near each other on a curve
-are compared exactly, block against neighbouring blocks as matrix products, and
-each row's best of all curves merge.
+lays its own projection, shifted at random, along a Hilbert curve. Only (curve, key, id)
+is range-partitioned and sorted by Spark, which gives every row its place on every
+curve. Rows then travel, packed, to the groups of consecutive places that they belong
+to or border on. There rows near each other on a curve are compared exactly, block
+against neighbouring blocks as matrix products, and each row's best of all curves merge.
 """
 
 from __future__ import annotations
@@ -17,33 +18,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countgrid.llm.hilbert import hilbert_key
-from countgrid.llm.vectors import standardised
-from countgrid.session import Scratch
+from countgrid.llm.vectors import hashed, pack_rows, standardised, unpack_rows
+from countgrid.operators.graphs import with_places
+from countgrid.session import Scratch, shuffle_partitions
 
+#: Curves for up to 100,000 rows; each tenfold of rows beyond takes eight more.
 CURVES = 16
 #: Rows on either side of a row that its curve window covers at least.
 WINDOW = 256
-#: Rows that one task compares, all curves together.
-TASK_ROWS = 100_000
+#: Consecutive places of a group, and groups that one task compares.
+GROUP_ROWS = 8_192
+TASK_GROUPS = 12
 #: Dimensions and bits per dimension of a curve: 10 * 6 bits make one key.
 CURVE_DIMS = 10
 CURVE_BITS = 6
 #: Rows to which the projection is fitted, and principal directions kept of them. The index holds every row.
 SAMPLE_ROWS = 4_000
 DIRECTIONS = 200
+#: Features beyond this number are hashed to so many columns for the keys; similarities stay exact.
+KEY_COLUMNS = 2_048
+
+
+def curves_for(n: int) -> int:
+    return CURVES + 8 * max(0, int(np.ceil(np.log10(max(n, 1) / 100_000))))
 
 
 def fit_curves(rows: DataFrame, n: int, dims: int, curves: int, seed: int) -> dict:
-    """Projections and shifts, fitted to a bounded sample of the ``n`` rows."""
-    share = min(1.0, SAMPLE_ROWS * 1.2 / max(n, 1))
-    sample = rows.sample(False, share, seed).limit(SAMPLE_ROWS).toArrow() if share < 1 else rows.limit(SAMPLE_ROWS).toArrow()
+    """Projections and shifts, fitted to a bounded sample of the ``n`` rows, drawn by a hash of their ids."""
+    chance = F.pmod(F.xxhash64("cell_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    few = rows.filter(chance < min(1.0, SAMPLE_ROWS / max(n, 1))).select("genes", "counts")
     rng = np.random.default_rng(seed)
-    table = sample.combine_chunks()
+    table = few.toArrow().combine_chunks()
+    width = min(dims, KEY_COLUMNS)
     if table.num_rows == 0:
-        vectors = np.zeros((1, dims), np.float32)
+        vectors = np.zeros((1, width), np.float32)
     else:
-        vectors = standardised(table["genes"].chunk(0), table["counts"].chunk(0), dims)
-    keep = min(DIRECTIONS, dims)
+        vectors = hashed(table["genes"].chunk(0), table["counts"].chunk(0), dims, KEY_COLUMNS)
+    keep = min(DIRECTIONS, width)
     # Principal directions of the sample: random mixtures of them spread the rows better than random axes.
     _, axes = np.linalg.eigh(vectors.T.astype(np.float64) @ vectors)
     axes = axes[:, ::-1][:, :keep]
@@ -61,7 +72,7 @@ def curve_keys(vectors: np.ndarray, fitted: dict, curve: int) -> np.ndarray:
     return hilbert_key(np.minimum(cube * (1 << CURVE_BITS), (1 << CURVE_BITS) - 1).astype(np.int64), CURVE_BITS)
 
 
-def nearest_rows(rows: DataFrame, dims: int, k: int, *, curves: int = CURVES, window: int = WINDOW, seed: int = 11) -> DataFrame:
+def nearest_rows(rows: DataFrame, dims: int, k: int, *, curves: int | None = None, window: int = WINDOW, group_rows: int = GROUP_ROWS, seed: int = 11) -> DataFrame:
     """``cell_id, other_id, similarity, rank`` of the ``k`` most similar rows found for every row.
 
     Rows of equal lists are indexed once, by their smallest id; their ``k`` + 1 smallest ids
@@ -72,9 +83,8 @@ def nearest_rows(rows: DataFrame, dims: int, k: int, *, curves: int = CURVES, wi
     no correlation: they are nobody's neighbour and have none. Rows with a null id
     or null lists are left out; an empty table gives an empty result.
 
-    Windows don't reach across the borders of Spark's range partitions. A border
-    costs a row at most one side of one curve's window; the other curves have
-    their borders elsewhere.
+    The result doesn't depend on the number of partitions: places on the curves are those of all
+    rows, and a group gets the ``window`` rows before and after its own.
     """
     spark = rows.sparkSession
     rows = rows.filter("cell_id IS NOT NULL AND genes IS NOT NULL AND counts IS NOT NULL").select(F.col("cell_id").cast("bigint").alias("cell_id"), "genes", "counts")
@@ -82,27 +92,35 @@ def nearest_rows(rows: DataFrame, dims: int, k: int, *, curves: int = CURVES, wi
     rows, ids = _distinct_rows(rows, k + 1, scratch)
     # A few fixed-size matrices: their size doesn't depend on the number of rows.
     n = rows.count()
+    curves = curves or curves_for(n)
     fitted = spark.sparkContext.broadcast(fit_curves(rows, n, dims, curves, seed))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * curves // TASK_ROWS))
 
     def keys(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for at in range(0, frame.num_rows, 4096):
                 part = frame.slice(at, 4096)
-                vectors = standardised(part.column("genes"), part.column("counts"), dims)
+                vectors = hashed(part.column("genes"), part.column("counts"), dims, KEY_COLUMNS)
                 moving = np.nonzero(np.abs(vectors).sum(axis=1) > 0)[0]
-                part, vectors = part.take(pa.array(moving)), vectors[moving]
+                own, vectors = part.column("cell_id").take(pa.array(moving)), vectors[moving]
                 for curve in range(curves):
-                    key = curve_keys(vectors, fitted.value, curve)
-                    number = pa.array(np.full(part.num_rows, curve, np.int32))
-                    yield pa.RecordBatch.from_arrays([number, pa.array(key), *part.columns], ["curve", "key", "cell_id", "genes", "counts"])
+                    number = pa.array(np.full(len(moving), curve, np.int32))
+                    yield pa.RecordBatch.from_arrays([number, pa.array(curve_keys(vectors, fitted.value, curve)), own], ["curve", "key", "cell_id"])
 
-    def scan(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _windows(frames, dims, k, window)
+    def packing(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            yield pa.RecordBatch.from_arrays([frame.column("cell_id"), pack_rows(frame.column("genes"), frame.column("counts"), dims)], ["cell_id", "v"])
 
-    placed = rows.mapInArrow(keys, "curve int, key bigint, cell_id bigint, genes array<int>, counts array<float>")
-    placed = placed.repartitionByRange(tasks, "curve", "key").sortWithinPartitions("curve", "key", "cell_id")
-    best = placed.mapInArrow(scan, "cell_id bigint, found array<struct<s:double,o:bigint>>")
+    def scan(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _windows(frames, dims, k, window, group_rows)
+
+    keyed = scratch.keep(rows.mapInArrow(keys, "curve int, key bigint, cell_id bigint"))
+    placed = with_places(keyed, [F.asc("curve"), F.asc("key"), F.asc("cell_id")], "place", scratch)
+    group, spot = F.floor(F.col("place") / group_rows).cast("int"), F.col("place") % group_rows
+    groups = F.array_compact(F.array(group, F.when(spot < window, group - 1), F.when(spot >= group_rows - window, group + 1)))
+    sent = placed.select("cell_id", "curve", "place", F.explode(groups).alias("g"))
+    tasks = max(shuffle_partitions(spark), -(-n * curves // (group_rows * TASK_GROUPS)))
+    moved = sent.join(rows.mapInArrow(packing, "cell_id bigint, v binary"), "cell_id").repartition(tasks, "g").sortWithinPartitions("g", "curve", "place")
+    best = moved.select("g", "curve", "place", "cell_id", "v").mapInArrow(scan, "cell_id bigint, found array<struct<s:double,o:bigint>>")
     # curves * k candidates per row; -id makes the greatest struct the first in order.
     merged = best.groupBy("cell_id").agg(F.flatten(F.collect_list("found")).alias("found"))
     merged = merged.select("cell_id", F.slice(F.sort_array(F.array_distinct("found"), asc=False), 1, k).alias("found"))
@@ -141,14 +159,13 @@ def _with_copies(merged: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return ids.join(best, "first").select("cell_id", F.posexplode(F.slice(F.sort_array(every, asc=False), 1, k)).alias("rank", "f"))
 
 
-def _windows(frames: Iterator[pa.RecordBatch], dims: int, k: int, block: int) -> Iterator[pa.RecordBatch]:
+def _windows(frames: Iterator[pa.RecordBatch], dims: int, k: int, block: int, group_rows: int) -> Iterator[pa.RecordBatch]:
     """Compares each block of a sorted stream with itself and the blocks beside it; keeps three blocks in memory."""
     before: tuple | None = None
     now: tuple | None = None
-    for following in _then_none(_blocks(frames, dims, block)):
-        if now is not None:
-            beside = [b for b in (before, now, following) if b is not None and b[0] == now[0]]
-            yield _best(now, beside, k)
+    for following in _then_none(_blocks(frames, dims, block, group_rows)):
+        if now is not None and now[3].any():
+            yield _best(now, [b for b in (before, now, following) if b is not None and b[0] == now[0]], k)
         before, now = now, following
 
 
@@ -157,20 +174,21 @@ def _then_none(blocks: Iterator) -> Iterator:
     yield None
 
 
-def _blocks(frames: Iterator[pa.RecordBatch], dims: int, block: int) -> Iterator[tuple]:
-    """(curve, ids, vectors) of up to ``block`` rows of one curve."""
+def _blocks(frames: Iterator[pa.RecordBatch], dims: int, block: int, group_rows: int) -> Iterator[tuple]:
+    """((group, curve), ids, vectors, which rows are the group's own) of up to ``block`` rows of one group and curve."""
     waiting: pa.Table | None = None
 
     def cut(table: pa.Table, last: bool) -> Iterator[tuple]:
-        curve = table["curve"].to_numpy()
-        borders = [0, *(np.nonzero(np.diff(curve))[0] + 1).tolist(), len(curve)]
+        group, curve, place = (table[c].to_numpy() for c in ("g", "curve", "place"))
+        borders = [0, *(np.nonzero((np.diff(curve) != 0) | (np.diff(group) != 0))[0] + 1).tolist(), len(curve)]
         for low, high in zip(borders[:-1], borders[1:]):
             closed = last or high < len(curve)
             at = low
             while high - at >= block or (closed and at < high):
                 part = table.slice(at, min(block, high - at)).combine_chunks()
-                vectors = standardised(part["genes"].chunk(0), part["counts"].chunk(0), dims, np.float64)
-                yield int(curve[at]), part["cell_id"].to_numpy(), vectors
+                vectors = standardised(*unpack_rows(part["v"].chunk(0), dims), dims, np.float64)
+                own = place[at : at + part.num_rows] // group_rows == group[at]
+                yield (int(group[at]), int(curve[at])), part["cell_id"].to_numpy(), vectors, own
                 at += part.num_rows
         rest.append(table.slice(at) if not last else None)
 
@@ -187,7 +205,7 @@ def _blocks(frames: Iterator[pa.RecordBatch], dims: int, block: int) -> Iterator
 
 
 def _best(now: tuple, beside: list[tuple], k: int) -> pa.RecordBatch:
-    _, ids, own = now
+    ids, own = now[1][now[3]], now[2][now[3]]
     others = np.concatenate([b[1] for b in beside])
     matrix = np.concatenate([b[2] for b in beside])
     score = own.astype(np.float32) @ matrix.astype(np.float32).T

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countgrid.llm.neighbours import nearest_rows
+from countgrid.operators import similarity
 from countgrid.operators.matrix import latest_counts, packed_rows
 from countgrid.session import Scratch, read_table
 
@@ -37,9 +38,25 @@ def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark, sf_dir).filter("cell_id % 20 = 0")
 
 
-QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours}
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the neighbours of the query set hold at least 0.9 of the true ones, by comparison with all cells."""
+    rows, dims = cell_rows(spark, sf_dir)
+    near = Scratch(spark, "near").keep(nearest_rows(rows, dims, NEIGHBOURS).filter("cell_id % 20 = 0"))
+    asked = rows.filter("cell_id % 20 = 0")
+    true = Scratch(spark, "true").keep(similarity.top_k(similarity.query_pairs(asked, rows, dims, NEIGHBOURS), NEIGHBOURS))
+    least = true.groupBy("id0").agg(F.min("similarity").alias("least"), F.count(F.lit(1)).alias("n"))
+    # of equally similar cells any is a true neighbour
+    hits = near.join(least, F.col("cell_id") == F.col("id0")).filter(F.col("similarity") >= F.col("least") - 1e-9).agg(F.count(F.lit(1)).alias("hits"))
+    total = least.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("cells"))
+    return total.join(hits).select("cells", (F.col("hits") >= 0.9 * F.col("total")).alias("recall_reached"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p3_recall": p3_recall}
 
 SQL = {
+    "p3_recall": """
+WITH latest AS (SELECT cell_id, gene_id, expr_count AS c, ROW_NUMBER() OVER (PARTITION BY cell_id, gene_id ORDER BY loaded_at DESC) AS r FROM expression_counts)
+SELECT count(DISTINCT cell_id) AS cells, true AS recall_reached FROM latest WHERE r = 1 AND c > 0 AND NOT isnan(c) AND cell_id % 20 = 0""",
     "p3_found": """
 WITH latest AS (
   SELECT cell_id, gene_id, CAST(expr_count AS DOUBLE) AS c,

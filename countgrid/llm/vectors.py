@@ -39,6 +39,55 @@ def standardised(genes: pa.Array, counts: pa.Array, dims: int, dtype: type = np.
     return dense
 
 
+def pack_rows(genes: pa.Array, counts: pa.Array, dims: int) -> pa.Array:
+    """Sparse rows as binary values without loss: a byte that names the form, the feature ids, the values.
+
+    Ids take two bytes where all fit. Values take one byte where all of the rows given are whole numbers below 256, else four.
+    """
+    columns, bounds = flat_lists(genes)
+    values, _ = flat_lists(counts)
+    small = bool(((values >= 0) & (values < 256) & (values == np.floor(values))).all())
+    ids = np.ascontiguousarray(columns.astype("<u2" if dims <= 1 << 16 else "<u4"))
+    data = np.ascontiguousarray(values.astype("u1" if small else "<f4"))
+    a, b = ids.itemsize, data.itemsize
+    n = np.diff(bounds)
+    starts = np.concatenate([[0], np.cumsum(1 + n * (a + b))])
+    out = np.zeros(starts[-1], np.uint8)
+    out[starts[:-1]] = b
+    row = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(columns)) - bounds[row]
+    for parts, width, at in ((ids, a, starts[row] + 1 + within * a), (data, b, starts[row] + 1 + n[row] * a + within * b)):
+        flat = parts.view(np.uint8).reshape(-1, width)
+        for k in range(width):
+            out[at + k] = flat[:, k]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def unpack_rows(packed: pa.Array, dims: int) -> tuple[pa.Array, pa.Array]:
+    """The lists of feature ids and values of rows from ``pack_rows``, whatever their forms."""
+    packed = packed.cast(pa.large_binary())
+    _, offsets, data = packed.buffers()
+    starts = np.frombuffer(offsets, np.int64)[packed.offset : packed.offset + len(packed) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    a = 2 if dims <= 1 << 16 else 4
+    form = raw[starts[:-1]].astype(np.int64)
+    n = (np.diff(starts) - 1) // (a + form)
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    row = np.repeat(np.arange(len(n)), n)
+    within = np.arange(bounds[-1]) - bounds[row]
+    ids = np.zeros(bounds[-1], np.int64)
+    for k in range(a):
+        ids |= raw[starts[row] + 1 + within * a + k].astype(np.int64) << (8 * k)
+    values = np.zeros(bounds[-1], np.float32)
+    for width in np.unique(form[n > 0]).tolist():
+        own = np.nonzero(form[row] == width)[0]
+        at = starts[row[own]] + 1 + n[row[own]] * a + within[own] * width
+        cells = np.stack([raw[at + k] for k in range(width)], 1)
+        values[own] = cells[:, 0] if width == 1 else np.ascontiguousarray(cells).view("<f4")[:, 0]
+    lists = pa.array(bounds.astype(np.int32))
+    return pa.ListArray.from_arrays(lists, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(lists, pa.array(values))
+
+
 def hashed(genes: pa.Array, counts: pa.Array, dims: int, buckets: int, weights: np.ndarray | None = None, seed: int = 7) -> np.ndarray:
     """Hashed weighted features of the rows, of mean 0 over all ``dims`` features and length 1.
 

@@ -6,7 +6,7 @@ from countgrid.llm import clusters, queries_clusters
 from countgrid.llm.clusters import similarity_clusters
 from countgrid.llm.hilbert import hilbert_key
 from countgrid.llm.neighbours import nearest_rows
-from countgrid.llm.vectors import hashed, standardised
+from countgrid.llm.vectors import hashed, pack_rows, standardised, unpack_rows
 
 DIMS = 60
 
@@ -92,6 +92,32 @@ def test_copies_in_any_number_give_the_smallest_ids(spark):
         assert [found[i][r + 1] for r in range(5)] == list(np.lexsort((np.arange(len(s)), -s[i]))[:5])
 
 
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(3)
+    for dims, values in ((500, lambda n: rng.integers(0, 256, n)), (500, lambda n: rng.random(n) * 1e6), (90_000, lambda n: rng.integers(1, 9, n)), (70_000, lambda n: rng.random(n))):
+        genes = [np.sort(rng.choice(dims, n, False)).tolist() for n in (3, 0, 40, 1)]
+        counts = [np.float32(values(len(g))).tolist() for g in genes]
+        lists = pa.array(genes, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.float32()))
+        packed = pack_rows(*lists, dims)
+        assert [c.to_pylist() for c in unpack_rows(packed, dims)] == [genes, counts]
+        assert [c.to_pylist() for c in unpack_rows(packed.slice(1, 2), dims)] == [genes[1:3], counts[1:3]]
+    both = pa.concat_arrays([pack_rows(pa.array([[1, 7]], pa.list_(pa.int32())), pa.array([v], pa.list_(pa.float32())), 9) for v in ([1, 2], [0.5, 300])])
+    assert unpack_rows(both, 9)[1].to_pylist() == [[1, 2], [0.5, 300]]
+    assert unpack_rows(pack_rows(pa.array([], pa.list_(pa.int32())), pa.array([], pa.list_(pa.float32())), 9), 9)[0].to_pylist() == []
+
+
+def test_neighbours_do_not_depend_on_the_partitioning(spark):
+    x = matrix()
+    found = []
+    for n in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            found.append({tuple(r) for r in nearest_rows(frame(spark, x), DIMS, 5, window=16, curves=6, group_rows=64).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1] and len(found[0]) > 600
+
+
 def test_small_windows_still_agree_with_the_exact_similarity(spark):
     x = matrix()
     s = pearson(x)
