@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countgrid.llm.hilbert import hilbert_key
-from countgrid.llm.vectors import hashed, pack_rows, standardised, unpack_rows
+from countgrid.llm.vectors import flat_lists, hashed, pack_rows, standardised, unpack_rows
 from countgrid.operators.graphs import with_places
 from countgrid.session import Scratch, shuffle_partitions
 
@@ -159,13 +159,29 @@ def _with_copies(merged: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return ids.join(best, "first").select("cell_id", F.posexplode(F.slice(F.sort_array(every, asc=False), 1, k)).alias("rank", "f"))
 
 
+class _Block:
+    """Rows as standardised vectors in single precision, and what their exact similarities need."""
+
+    def __init__(self, key: tuple[int, int], ids: np.ndarray, own: np.ndarray, packed: pa.Array, dims: int):
+        self.key, self.ids, self.own, self.dims = key, ids, own, dims
+        genes, counts = unpack_rows(packed, dims)
+        self.vectors = standardised(genes, counts, dims)
+        self.gene, bounds = flat_lists(genes)
+        self.value = flat_lists(counts)[0].astype(np.float64)
+        self.row = np.repeat(np.arange(len(ids)), np.diff(bounds))
+        self.counts = np.zeros((len(ids), dims), np.float32)
+        self.counts[self.row, self.gene] = self.value
+        self.total = np.bincount(self.row, self.value, len(ids)).astype(np.float64)
+        self.spread = dims * np.bincount(self.row, self.value * self.value, len(ids)) - self.total * self.total
+
+
 def _windows(frames: Iterator[pa.RecordBatch], dims: int, k: int, block: int, group_rows: int) -> Iterator[pa.RecordBatch]:
     """Compares each block of a sorted stream with itself and the blocks beside it; keeps three blocks in memory."""
-    before: tuple | None = None
-    now: tuple | None = None
+    before: _Block | None = None
+    now: _Block | None = None
     for following in _then_none(_blocks(frames, dims, block, group_rows)):
-        if now is not None and now[3].any():
-            yield _best(now, [b for b in (before, now, following) if b is not None and b[0] == now[0]], k)
+        if now is not None and now.own.any():
+            yield _best(now, [b for b in (before, now, following) if b is not None and b.key == now.key], k)
         before, now = now, following
 
 
@@ -174,11 +190,11 @@ def _then_none(blocks: Iterator) -> Iterator:
     yield None
 
 
-def _blocks(frames: Iterator[pa.RecordBatch], dims: int, block: int, group_rows: int) -> Iterator[tuple]:
-    """((group, curve), ids, vectors, which rows are the group's own) of up to ``block`` rows of one group and curve."""
+def _blocks(frames: Iterator[pa.RecordBatch], dims: int, block: int, group_rows: int) -> Iterator[_Block]:
+    """Up to ``block`` rows of one group and curve each."""
     waiting: pa.Table | None = None
 
-    def cut(table: pa.Table, last: bool) -> Iterator[tuple]:
+    def cut(table: pa.Table, last: bool) -> Iterator[_Block]:
         group, curve, place = (table[c].to_numpy() for c in ("g", "curve", "place"))
         borders = [0, *(np.nonzero((np.diff(curve) != 0) | (np.diff(group) != 0))[0] + 1).tolist(), len(curve)]
         for low, high in zip(borders[:-1], borders[1:]):
@@ -186,9 +202,8 @@ def _blocks(frames: Iterator[pa.RecordBatch], dims: int, block: int, group_rows:
             at = low
             while high - at >= block or (closed and at < high):
                 part = table.slice(at, min(block, high - at)).combine_chunks()
-                vectors = standardised(*unpack_rows(part["v"].chunk(0), dims), dims, np.float64)
                 own = place[at : at + part.num_rows] // group_rows == group[at]
-                yield (int(group[at]), int(curve[at])), part["cell_id"].to_numpy(), vectors, own
+                yield _Block((int(group[at]), int(curve[at])), part["cell_id"].to_numpy(), own, part["v"].chunk(0), dims)
                 at += part.num_rows
         rest.append(table.slice(at) if not last else None)
 
@@ -204,15 +219,29 @@ def _blocks(frames: Iterator[pa.RecordBatch], dims: int, block: int, group_rows:
         yield from cut(waiting, True)
 
 
-def _best(now: tuple, beside: list[tuple], k: int) -> pa.RecordBatch:
-    ids, own = now[1][now[3]], now[2][now[3]]
-    others = np.concatenate([b[1] for b in beside])
-    matrix = np.concatenate([b[2] for b in beside])
-    score = own.astype(np.float32) @ matrix.astype(np.float32).T
+def _best(now: _Block, beside: list[_Block], k: int) -> pa.RecordBatch:
+    own = np.nonzero(now.own)[0]
+    ids, others = now.ids[own], np.concatenate([b.ids for b in beside])
+    score = np.concatenate([now.vectors[own] @ b.vectors.T for b in beside], axis=1)
     score[ids[:, None] == others[None, :]] = -np.inf
     m = min(k + 3, score.shape[1])  # a few more than k, as single precision may swap near ties
     pick = np.argpartition(-score, m - 1, axis=1)[:, :m]
-    exact = np.round(np.stack([matrix[p] @ row for p, row in zip(pick, own)]), 9)
+    # exact similarities of the picked: sums of products of counts over the row's own entries
+    mine = np.isin(now.row, own)
+    at = np.searchsorted(own, now.row[mine])
+    gene, value = now.gene[mine], now.value[mine]
+    total, spread = (np.concatenate([getattr(b, c) for b in beside]) for c in ("total", "spread"))
+    first = np.cumsum([0] + [len(b.ids) for b in beside])
+    exact = np.empty(pick.shape)
+    for c in range(m):
+        other = pick[at, c]
+        theirs = np.empty(len(at))
+        for b, low, high in zip(beside, first[:-1], first[1:]):
+            use = (other >= low) & (other < high)
+            theirs[use] = b.counts[other[use] - low, gene[use]]
+        exact[:, c] = np.bincount(at, value * theirs, len(own))
+    down = np.sqrt(now.spread[own])[:, None] * np.sqrt(spread[pick])
+    exact = np.round((now.dims * exact - now.total[own][:, None] * total[pick]) / down, 9)
     found_ids = others[pick]
     exact[np.take_along_axis(score, pick, axis=1) == -np.inf] = -np.inf
     order = np.lexsort((found_ids, -exact), axis=1)[:, :k]
