@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countgrid.operators import matrix, meta
+from countgrid.operators import meta
 from countgrid.operators.pivot import latest_values
 from countgrid.plans.matrix_queries import _C, _E, _S, cells_of, counts_of, genes_of, r6
-from countgrid.session import Scratch, read_table
+from countgrid.session import Scratch, read_table, shuffle_partitions
 from countgrid.store import MatrixStore
 from countgrid.streaming.ingest import event_counts, read_json_lines, start_ingest
 
+#: Lines of a table file that a task writes at once.
+LINES_AT_ONCE = 32
+
 _STORES: dict[tuple[str, str, str], MatrixStore] = {}
 
 
@@ -30,20 +36,45 @@ def _quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
 
+def _in_order(lines: DataFrame) -> DataFrame:
+    """Rows in the order of their ``place``, over as many tasks as shuffles have."""
+    return lines.repartitionByRange(shuffle_partitions(lines.sparkSession), "place").sortWithinPartitions("place")
+
+
 def _write_lines(lines: DataFrame, path: str) -> str:
-    """``place, line`` as one text file."""
-    lines.coalesce(1).sortWithinPartitions("place").select("line").write.text(path)
+    """``place, line`` as text files, whose names are in the order of the lines."""
+    _in_order(lines).select("line").write.text(path)
     return path
 
 
-def _dense_lines(counts: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """Lines of a table file, zeros included. ``rows``: id, label; ``columns``: id, label; ``counts``: row, column, count."""
-    dense = matrix.dense_rows(counts.select(F.col("row").alias("cell_id"), F.col("column").alias("gene_id"), "count"), columns.select(F.col("id").alias("gene_id")), rows.select(F.col("id").alias("cell_id")))
-    numbers = F.array_join(F.transform("expression", lambda x: F.when(x == 0, "0").otherwise(x.cast("string"))), ",")
-    body = dense.join(rows, dense.cell_id == rows.id).select(F.col("id").cast("bigint").alias("place"), F.concat(_quoted(F.col("label")), F.lit(","), numbers).alias("line"))
-    names = columns.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "label"))), lambda c: c["label"]).alias("names"))
-    head = names.select(F.lit(-1).cast("bigint").alias("place"), F.concat(F.lit("name,"), F.array_join(F.transform("names", _quoted), ",")).alias("line"))
-    return head.unionByName(body)
+def _write_dense(counts: DataFrame, rows: DataFrame, columns: DataFrame, path: str, last: str = "", ends: Column | None = None) -> str:
+    """A table file, zeros included, each line as long as there are columns. ``rows``: id, label; ``columns``: id, label; ``counts``: row, column, count.
+
+    Its header ends with ``last``, its lines with ``ends``. Only the counts travel; the zeros are written by the tasks that write the lines.
+    """
+    names = columns.agg(F.sort_array(F.collect_list(F.struct("id", "label"))).alias("names"))
+    places = names.select(F.posexplode("names").alias("position", "c")).select("position", F.col("c.id").alias("column"))
+    number = F.when(F.col("count") == 0, "0").otherwise(F.col("count").cast("double").cast("string"))
+    own = counts.join(places, "column").groupBy("row").agg(F.collect_list(F.struct("position", number.alias("text"))).alias("own"))
+    none = F.array().cast("array<struct<position:int,text:string>>")
+    body = rows.join(own, rows.id == own.row, "left").select(F.col("id").cast("bigint").alias("place"), _quoted(F.col("label")).alias("start"), F.coalesce("own", none).alias("own"), (F.lit("") if ends is None else ends).alias("end"))
+    titles = F.array_join(F.transform("names", lambda c: _quoted(c["label"])), ",")
+    head = names.select(F.lit(-1).cast("bigint").alias("place"), F.concat(F.lit("name,"), titles).alias("start"), none.alias("own"), F.lit(last).alias("end"))
+    width = columns.count()
+
+    def line(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for at in range(0, frame.num_rows, LINES_AT_ONCE):
+                out = []
+                for place, start, own, end in zip(*(c.to_pylist() for c in frame.slice(at, LINES_AT_ONCE).columns)):
+                    fields = ["0"] * width if place >= 0 else []
+                    for c in own:
+                        fields[c["position"]] = c["text"]
+                    out.append(",".join([start, *fields]) + end)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["line"])
+
+    _in_order(head.unionByName(body)).mapInArrow(line, "line string").write.text(path)
+    return path
 
 
 def _fields_of(spark, d) -> DataFrame:
@@ -63,7 +94,7 @@ def csv_store(spark: SparkSession, d: str) -> MatrixStore:
     def make(store: MatrixStore, root: str) -> None:
         cells, genes = _sides(spark, d)
         counts = counts_of(spark, d).select(F.col("gene_id").alias("row"), F.col("cell_id").alias("column"), "count")
-        table = _write_lines(_dense_lines(counts, genes, cells), f"{root}/counts.csv")
+        table = _write_dense(counts, genes, cells, f"{root}/counts.csv")
         fields = _fields_of(spark, d)
         names = sorted(r[0] for r in fields.select("name").distinct().collect())
         wide = meta.pivot_fields(fields, cells.select(F.col("id").alias("cell_id")), names).join(cells, F.col("cell_id") == F.col("id"))
@@ -116,7 +147,7 @@ def store_rows_by_cell(spark, d):
     def make(store: MatrixStore, root: str) -> None:
         cells, genes = _sides(spark, d)
         counts = counts_of(spark, d).select(F.col("cell_id").alias("row"), F.col("gene_id").alias("column"), "count")
-        table = _write_lines(_dense_lines(counts, cells, genes).withColumn("line", F.concat("line", F.when(F.col("place") < 0, ",last").otherwise(F.concat(F.lit(",z"), "place")))), f"{root}/P7.csv")
+        table = _write_dense(counts, cells, genes, f"{root}/P7.csv", ",last", F.concat(F.lit(",z"), "id"))
         plates = spark.createDataFrame([(0, "plate,Mouse"), (1, "P7,m7"), (2, "P8,m8")], "place int, line string")
         store.add_cells_by_row(table, 0, 1, _write_lines(plates, f"{root}/plates"), "P7")
 
@@ -132,7 +163,7 @@ def store_without_meta(spark, d):
     def make(store: MatrixStore, root: str) -> None:
         cells, genes = _sides(spark, d)
         counts = counts_of(spark, d).select(F.col("gene_id").alias("row"), F.col("cell_id").alias("column"), "count")
-        store.add_cells_without_meta(_write_lines(_dense_lines(counts, genes, cells), f"{root}/counts.csv"), ",", [("Kind", "k")])
+        store.add_cells_without_meta(_write_dense(counts, genes, cells, f"{root}/counts.csv"), ",", [("Kind", "k")])
 
     store = _cached("plain", spark, d, make)
     return store.table("counts").join(store.table("genes"), "gene_id").groupBy("gene_name").agg(F.count(F.lit(1)).alias("cells"))

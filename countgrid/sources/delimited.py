@@ -5,6 +5,7 @@ Unlike the strict loader of ``operators.reject``, quotes and escapes may occur a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,18 @@ from pyspark.sql import functions as F
 FIELDS_AT_ONCE = 2_000_000
 
 
-def tokenize(line: str, separators: str = ",", trim: bool = True) -> list[str]:
-    """Fields of a line. A backslash takes the next of ``n``, a quote, a separator or a backslash literally."""
+def _split(text: str, separators: str) -> list[str]:
+    """The pieces of a text without quotes and escapes."""
+    if len(separators) == 1:
+        return text.split(separators)
+    return re.split("[" + re.escape(separators) + "]", text) if separators else [text]
+
+
+def _head(line: str, separators: str) -> tuple[list[str], str | None]:
+    """The fields up to the last quote or escape of a line, and the plain text after the separator that ends them (None without one)."""
+    last = max(line.rfind('"'), line.rfind("\\"))
     out, field, quoted, at = [], [], False, 0
-    while at < len(line):
+    while at <= last:
         c = line[at]
         if c == "\\":
             at += 1
@@ -36,26 +45,35 @@ def tokenize(line: str, separators: str = ",", trim: bool = True) -> list[str]:
         else:
             field.append(c)
         at += 1
+    end = min((e for c in separators if (e := line.find(c, at)) >= 0), default=-1) if not quoted else -1
+    field.append(line[at:end] if end >= 0 else line[at:])
     out.append("".join(field))
+    return out, line[end + 1 :] if end >= 0 else None
+
+
+def tokenize(line: str, separators: str = ",", trim: bool = True) -> list[str]:
+    """Fields of a line. A backslash takes the next of ``n``, a quote, a separator or a backslash literally."""
+    out, rest = _head(line, separators)
+    if rest is not None:
+        out += _split(rest, separators)
     return [f.strip() for f in out] if trim else out
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no`` (from 1) and ``line`` of text files, in file order, CR at line ends removed.
+    """``line_no`` (from 1) and ``line`` of text files, CR at line ends removed: the files of a folder by name, each in its order.
 
-    Numbers follow Spark's partition order, with one count per partition and no
-    global sort; a file whose lines must be read as one unit isn't needed.
+    Numbers come from one count per input split and no global sort; a file whose lines
+    must be read as one unit isn't needed.
     """
-    text = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"))
-    placed = text.select("line", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
-    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per input split
-    start, offsets = 0, []
-    for part in sorted(sizes):
-        offsets.append((part, start))
-        start += sizes[part]
-    first = F.create_map(*[F.lit(x) for pair in offsets for x in pair]) if offsets else None
-    number = F.lit(0) if first is None else first[F.col("part")] + (F.col("at") - F.shiftleft(F.col("part").cast("bigint"), 33)) + 1
-    return placed.select(number.cast("bigint").alias("line_no"), "line")
+    text = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    placed = text.select("line", "file", "start", F.monotonically_increasing_id().alias("at"))
+    splits = placed.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).collect()  # one row per input split
+    before, offsets = 0, []
+    for split in sorted(splits, key=lambda r: (r["file"], r["start"])):
+        offsets.append((split["file"], split["start"], before + 1 - split["first"]))
+        before += split["n"]
+    shifts = spark.createDataFrame(offsets, "file string, start bigint, shift bigint")
+    return placed.join(F.broadcast(shifts), ["file", "start"]).select((F.col("at") + F.col("shift")).alias("line_no"), "line")
 
 
 def header_of(lines: DataFrame, separators: str) -> list[str]:
@@ -73,27 +91,32 @@ def header_of(lines: DataFrame, separators: str) -> list[str]:
 
 
 def _fields(lines: pa.Array, separators: str) -> tuple[np.ndarray, pa.Array]:
-    """Bounds of the fields of each line, and all fields. Lines without quotes and escapes are split as columns."""
+    """Bounds of the fields of each line, and all fields. What follows the last quote or escape of a line is split as columns."""
     odd = np.nonzero(pc.match_substring_regex(lines, r'["\\]').to_numpy(zero_copy_only=False))[0]
     any_of = "[" + "".join("\\" + c if not c.isalnum() and not c.isspace() else c for c in separators) + "]"
+    heads = [_head(line, separators) for line in lines.take(pa.array(odd)).to_pylist()]
+    if len(odd):
+        is_odd = np.zeros(len(lines), bool)
+        is_odd[odd] = True
+        lines = pc.replace_with_mask(lines, pa.array(is_odd), pa.array([rest for _, rest in heads], lines.type))
     plain = pc.split_pattern(lines, separators) if len(separators) == 1 else pc.split_pattern_regex(lines, any_of)
+    flat = pc.utf8_trim_whitespace(plain.flatten())
     if not len(odd):
-        return plain.offsets.to_numpy() - plain.offsets[0].as_py(), pc.utf8_trim_whitespace(plain.flatten())
-    read = [tokenize(line, separators) for line in lines.take(pa.array(odd)).to_pylist()]
-    widths = pc.list_value_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
-    base = np.concatenate([[0], np.cumsum(widths)])
-    widths[odd] = [len(f) for f in read]
-    bounds = np.concatenate([[0], np.cumsum(widths)])
-    # tokenized fields stand after all split ones
-    flat = pa.concat_arrays([pc.utf8_trim_whitespace(plain.flatten()), pa.array([x for f in read for x in f], lines.type)])
-    start = base[:-1].copy()
-    start[odd] = base[-1] + np.concatenate([[0], np.cumsum([len(f) for f in read])[:-1]])
-    place = np.repeat(start - bounds[:-1], widths) + np.arange(bounds[-1])
+        return plain.offsets.to_numpy() - plain.offsets[0].as_py(), flat
+    after = pc.fill_null(pc.list_value_length(plain), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ahead = np.zeros(len(lines), np.int64)
+    ahead[odd] = [len(fields) for fields, _ in heads]
+    bounds = np.concatenate([[0], np.cumsum(ahead + after)])
+    # fields of heads stand after all split ones
+    place = np.arange(bounds[-1]) - np.repeat(np.cumsum(ahead), ahead + after)
+    of_heads = np.repeat(bounds[:-1] - (np.cumsum(ahead) - ahead), ahead) + np.arange(ahead.sum())
+    place[of_heads] = len(flat) + np.arange(ahead.sum())
+    flat = pa.concat_arrays([flat, pc.utf8_trim_whitespace(pa.array([x for fields, _ in heads for x in fields], flat.type))])
     return bounds, flat.take(pa.array(place))
 
 
-def long_rows(lines: DataFrame, separators: str, width: int, without: tuple[str, ...] = ()) -> DataFrame:
-    """``line_no, name, position, text`` of every field after the first but those ``without``; a line of another width fails."""
+def long_rows(lines: DataFrame, separators: str, width: int, without: tuple[str, ...] = (), within: range | None = None) -> DataFrame:
+    """``line_no, name, position, text`` of every field after the first but those ``without``, at the positions ``within`` if given; a line of another width fails."""
 
     def parse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
@@ -108,7 +131,11 @@ def long_rows(lines: DataFrame, separators: str, width: int, without: tuple[str,
                 index = np.arange(len(fields))
                 rest = index % (width + 1) > 0
                 if without:
-                    rest &= ~pc.is_in(fields, pa.array(without, fields.type)).to_numpy(zero_copy_only=False)
+                    gone = pc.is_in(fields, pa.array(without, fields.type)).to_numpy(zero_copy_only=False)
+                    if within is not None:
+                        position = index % (width + 1) - 1
+                        gone &= (position >= within.start) & (position < within.stop)
+                    rest &= ~gone
                 rest = index[rest]
                 row = rest // (width + 1)
                 names = fields.take(pa.array(row * (width + 1)))
@@ -122,15 +149,30 @@ def row_names(lines: DataFrame, separators: str) -> DataFrame:
 
     def parse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            names = [tokenize(line, separators)[0] if '"' in line or "\\" in line else _first(line, separators) for line in frame.column(1).to_pylist()]
+            names = [_first(line, separators) for line in frame.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(names, pa.string())], ["line_no", "name"])
 
     return lines.filter("line_no > 1").mapInArrow(parse, "line_no bigint, name string")
 
 
 def _first(line: str, separators: str) -> str:
-    ends = [at for c in separators if (at := line.find(c)) >= 0]
-    return line[: min(ends, default=len(line))].strip()
+    """The first field; a separator before any quote or escape ends it, whatever follows."""
+    end = min((at for c in separators if (at := line.find(c)) >= 0), default=len(line))
+    field, quoted, at = [], False, 0
+    if not any(c in line[:end] for c in '"\\'):
+        return line[:end].strip()
+    while at < len(line) and (quoted or line[at] not in separators):
+        if line[at] == "\\":
+            at += 1
+            if at >= len(line):
+                raise ValueError("a line ends within an escape")
+            field.append("\n" if line[at] == "n" else line[at])
+        elif line[at] == '"':
+            quoted = not quoted
+        else:
+            field.append(line[at])
+        at += 1
+    return "".join(field).strip()
 
 
 def open_table(spark: SparkSession, path: str, separators: str = ",") -> tuple[DataFrame, list[str]]:
