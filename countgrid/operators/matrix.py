@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from countgrid.session import spread
 
+#: Values of dense rows that a task holds at once.
+DENSE_VALUES = 2_000_000
+
 
 def latest_counts(rows: DataFrame, cell: str = "cell_id", gene: str = "gene_id", count: str = "expr_count", order: str = "loaded_at") -> DataFrame:
     """``cell_id, gene_id, count`` of the latest row per pair; only counts above zero.
@@ -102,7 +110,24 @@ def compare_cells(counts: DataFrame, cell0: int, cell1: int, genes: DataFrame |
 def dense_rows(counts: DataFrame, genes: DataFrame, cells: DataFrame, method: str = "none") -> DataFrame:
     """One array per cell with a value for every gene, in the order of the gene ids."""
     ids = genes.select("gene_id").distinct().agg(F.sort_array(F.collect_list("gene_id")).alias("ids"))  # as long as the gene dictionary
-    values = normalised(restrict(counts, genes, cells), method)
-    maps = values.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene_id", "value"))).alias("m"))
-    rows = cells.select("cell_id").distinct().join(maps, "cell_id", "left").join(F.broadcast(ids))
-    return rows.select("cell_id", F.transform("ids", lambda g: F.coalesce(F.try_element_at("m", g), F.lit(0.0))).alias("expression"))
+    values = normalised(restrict(counts, genes, cells), method).join(ids.select(F.posexplode("ids").alias("place", "gene_id")), "gene_id")
+    own = values.groupBy("cell_id").agg(F.collect_list(F.struct("place", F.coalesce("value", F.lit(0.0)).alias("value"))).alias("p"))
+    none = F.array().cast("array<struct<place:int,value:double>>")
+    rows = cells.select("cell_id").distinct().join(own, "cell_id", "left").join(F.broadcast(ids.select(F.size("ids").alias("n"))))
+    p = F.coalesce("p", none)
+
+    def fill(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            at = 0
+            while at < frame.num_rows:
+                n = frame.column(3)[0].as_py()
+                part = frame.slice(at, max(1, DENSE_VALUES // max(n, 1)))
+                at += part.num_rows
+                out = np.zeros((part.num_rows, n))
+                lengths = pc.list_value_length(part.column(1)).to_numpy()
+                out[np.repeat(np.arange(part.num_rows), lengths), part.column(1).flatten().to_numpy()] = part.column(2).flatten().to_numpy()
+                bounds = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * n, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(bounds, pa.array(out.ravel()))], ["cell_id", "expression"])
+
+    key = cells.schema["cell_id"].dataType.simpleString()
+    return rows.select("cell_id", p["place"].alias("places"), p["value"].alias("values"), "n").mapInArrow(fill, f"cell_id {key}, expression array<double>")
