@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import json
 import uuid
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -295,12 +296,17 @@ class MatrixStore:
 
     def add_cells_by_row(self, cells_file: str, n_first: int, n_last: int, plates_file: str | None = None, plate: str | None = None, separators: str = ",") -> None:
         """One cell per line: name, ``n_first`` fields, genes, ``n_last`` fields; the plate's fields come from a second file."""
-        rows, names = delimited.read_long(self.spark, cells_file, separators)
+        lines, names = delimited.open_table(self.spark, cells_file, separators)
         middle = range(n_first, len(names) - n_last)
+        twice = [n for n, times in Counter(names[i] for i in middle).items() if times > 1]
+        if twice:
+            raise ValueError(f"a gene repeats within a cell: {twice[0]}")
+        scratch = Scratch(self.spark, "by-row")
+        rows = scratch.keep(delimited.long_rows(lines, separators, len(names), without=("0", "0.0"), within=middle))
         labels = self.spark.createDataFrame(list(enumerate(names)), "position int, label string")
         rows = rows.join(labels, "position")
         in_middle = (F.col("position") >= middle.start) & (F.col("position") < middle.stop)
-        cells = rows.filter("position = 0").select(F.col("name").alias("cell_name"), F.col("line_no").alias("ord"))
+        cells = delimited.row_names(lines, separators).select(F.col("name").alias("cell_name"), F.col("line_no").alias("ord"))
         counts = rows.filter(in_middle).select(F.col("name").alias("cell_name"), F.col("label").alias("gene_name"), F.when(full_match(F.trim("text"), DECIMAL_PATTERN), F.col("text").try_cast("double")).alias("count"))
         own = rows.filter(~in_middle).select(F.col("name").alias("cell_name"), F.col("label").alias("name"), F.col("text").alias("value"), F.col("position").alias("ord"))
         extra = []
@@ -313,6 +319,7 @@ class MatrixStore:
             extra = [("PlateName", key)] + [(f, found[i]) for i, f in enumerate(fields)]
         genes = self.spark.createDataFrame([(names[i], i) for i in middle], "gene_name string, ord int")
         self._add(genes, cells, counts, self._with_constants(own.withColumn("ord", F.col("ord") + len(extra)), cells, extra))
+        scratch.clear()
 
     def add_cells_from_hdf5(self, path: str, prefix: str = "", additional: list[tuple[str, str]] = (), min_total: float = 0.0, opener=None) -> None:
         """Cells in the order of their barcodes, also those without counts if their total of 0 reaches ``min_total``."""
