@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, StructField, StructType
 
 from countgrid.session import spread
 
@@ -26,17 +30,42 @@ def pearson(n: Column | int, sx: str, sy: str, sxx: str, syy: str, sxy: str) ->
 
 
 def pair_similarity(values: DataFrame, pairs: DataFrame, n: int, row: str = "cell_id", feature: str = "gene_id", value: str = "count") -> DataFrame:
-    """Adds ``exact`` to ``pairs`` (``id0, id1, ...``): the similarity over ``n`` features."""
-    x = F.col(value).cast("double")
-    own = values.select(F.col(row).alias("id"), F.col(feature).alias("f"), x.alias("x"))
-    sums = own.groupBy("id").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
-    ids = pairs.select("id0", "id1").distinct()
-    dots = ids.join(own.select(F.col("id").alias("id0"), "f", F.col("x").alias("x0")), "id0").join(own.select(F.col("id").alias("id1"), "f", F.col("x").alias("x1")), ["id1", "f"])
-    dots = dots.groupBy("id0", "id1").agg(F.sum(F.col("x0") * F.col("x1")).alias("sxy"))
-    side = lambda k: sums.select(F.col("id").alias(f"id{k}"), F.col("s").alias(f"s{k}"), F.col("ss").alias(f"ss{k}"))
-    scored = ids.join(dots, ["id0", "id1"], "left").join(side(0), "id0", "left").join(side(1), "id1", "left").na.fill(0.0, ["sxy", "s0", "s1", "ss0", "ss1"])
-    scored = scored.select("id0", "id1", pearson(n, "s0", "s1", "ss0", "ss1", "sxy").alias("exact"))
-    return pairs.join(scored, ["id0", "id1"])
+    """Adds ``exact`` to ``pairs`` (``id0, id1, ...``): the similarity over ``n`` features.
+
+    Every pair meets the packed values of its two rows, so that a pair is one row in each shuffle.
+    The joins are merges: pairs and rows grow with the data and are never sent to the driver.
+    """
+    kind = "float" if values.schema[value].dataType == FloatType() else "double"  # single-precision counts travel as they are
+    rows = packed(values, row, feature, value, kind, ordered=True)
+    side = lambda k: rows.select(F.col("id").alias(f"id{k}"), F.col("features").alias(f"f{k}"), F.col("values").alias(f"v{k}")).hint("merge")
+    kept = ["id0", "id1", *(c for c in pairs.columns if c not in ("id0", "id1"))]
+    known = pairs.filter("id0 IS NOT NULL AND id1 IS NOT NULL").select(*kept)
+    joined = known.join(side(0), "id0", "left").join(side(1), "id1", "left")
+    lists = [F.coalesce(f"{c}{k}", F.array().cast(of)).alias(f"{c}{k}") for k in (0, 1) for c, of in (("f", "array<int>"), ("v", f"array<{kind}>"))]
+    sums = ("_sx", "_sxx", "_sy", "_syy", "_sxy")
+
+    def add(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            m, sides, out = frame.num_rows, [], []
+            for at in (len(kept), len(kept) + 2):
+                own = np.repeat(np.arange(m), pc.list_value_length(frame.column(at)).to_numpy())
+                v = frame.column(at + 1).flatten().to_numpy().astype(np.float64)
+                sides.append((own, frame.column(at).flatten().to_numpy().astype(np.int64), v))
+                out += [np.bincount(own, v, m), np.bincount(own, v * v, m)]
+            (own0, f0, v0), (own1, f1, v1) = sides
+            dots = np.zeros(m)
+            if len(f0) and len(f1):
+                span = max(f0.max(), f1.max()) + 1
+                keys0, keys1 = own0 * span + f0, own1 * span + f1
+                order = np.argsort(keys0, kind="stable")
+                spot = np.minimum(np.searchsorted(keys0, keys1, sorter=order), len(order) - 1)
+                hit = keys0[order[spot]] == keys1
+                dots = np.bincount(own1[hit], v1[hit] * v0[order[spot[hit]]], m)
+            yield pa.RecordBatch.from_arrays([*frame.columns[: len(kept)], *(pa.array(x.astype(np.float64)) for x in (*out, dots))], [*kept, *sums])
+
+    schema = StructType([known.schema[c] for c in kept] + [StructField(c, DoubleType()) for c in sums])
+    summed = joined.select(*kept, *lists).mapInArrow(add, schema)
+    return summed.select(*kept, pearson(n, "_sx", "_sy", "_sxx", "_syy", "_sxy").alias("exact"))
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -48,9 +77,10 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def packed(values: DataFrame, row: str, feature: str, value: str) -> DataFrame:
-    """``id, features, values`` with the features of a row in one pair of arrays."""
-    pairs = spread(values.withColumn("id", F.col(row)), "id").groupBy("id").agg(F.collect_list(F.struct(F.col(feature).cast("int").alias("f"), F.col(value).cast("double").alias("v"))).alias("p"))
+def packed(values: DataFrame, row: str, feature: str, value: str, kind: str = "double", ordered: bool = False) -> DataFrame:
+    """``id, features, values`` with the features of a row in one pair of arrays, the values as ``kind``; ``ordered`` features compress better."""
+    entries = F.collect_list(F.struct(F.col(feature).cast("int").alias("f"), F.col(value).cast(kind).alias("v")))
+    pairs = spread(values.withColumn("id", F.col(row)), "id").groupBy("id").agg((F.sort_array(entries) if ordered else entries).alias("p"))
     return pairs.select(F.col("id").cast("bigint").alias("id"), F.col("p.f").alias("features"), F.col("p.v").alias("values"))
 
 
