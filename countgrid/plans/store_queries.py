@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,30 +51,41 @@ def _write_lines(lines: DataFrame, path: str) -> str:
 def _write_dense(counts: DataFrame, rows: DataFrame, columns: DataFrame, path: str, last: str = "", ends: Column | None = None) -> str:
     """A table file, zeros included, each line as long as there are columns. ``rows``: id, label; ``columns``: id, label; ``counts``: row, column, count.
 
-    Its header ends with ``last``, its lines with ``ends``. Only the counts travel; the zeros are written by the tasks that write the lines.
+    Its header ends with ``last``, its lines with ``ends``. Only the counts travel, each as a row, to the lines' order;
+    the zeros are written by the tasks that write the lines. A row of ``position`` -1 begins each line.
     """
     names = columns.agg(F.sort_array(F.collect_list(F.struct("id", "label"))).alias("names"))
     places = names.select(F.posexplode("names").alias("position", "c")).select("position", F.col("c.id").alias("column"))
     number = F.when(F.col("count") == 0, "0").otherwise(F.col("count").cast("double").cast("string"))
-    own = counts.join(places, "column").groupBy("row").agg(F.collect_list(F.struct("position", number.alias("text"))).alias("own"))
-    none = F.array().cast("array<struct<position:int,text:string>>")
-    body = rows.join(own, rows.id == own.row, "left").select(F.col("id").cast("bigint").alias("place"), _quoted(F.col("label")).alias("start"), F.coalesce("own", none).alias("own"), (F.lit("") if ends is None else ends).alias("end"))
+    own = counts.join(places, "column").select(F.col("row").cast("bigint").alias("place"), "position", number.alias("text"), F.lit("").alias("end"))
+    starts = rows.select(F.col("id").cast("bigint").alias("place"), F.lit(-1).alias("position"), _quoted(F.col("label")).alias("text"), (F.lit("") if ends is None else ends).alias("end"))
     titles = F.array_join(F.transform("names", lambda c: _quoted(c["label"])), ",")
-    head = names.select(F.lit(-1).cast("bigint").alias("place"), F.concat(F.lit("name,"), titles).alias("start"), none.alias("own"), F.lit(last).alias("end"))
+    head = names.select(F.lit(-1).cast("bigint").alias("place"), F.lit(-1).alias("position"), F.concat(F.lit("name,"), titles).alias("text"), F.lit(last).alias("end"))
     width = columns.count()
 
     def line(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, begun, fields, out = None, [], [], []
         for frame in frames:
-            for at in range(0, frame.num_rows, LINES_AT_ONCE):
-                out = []
-                for place, start, own, end in zip(*(c.to_pylist() for c in frame.slice(at, LINES_AT_ONCE).columns)):
-                    fields = ["0"] * width if place >= 0 else []
-                    for c in own:
-                        fields[c["position"]] = c["text"]
-                    out.append(",".join([start, *fields]) + end)
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["line"])
-
-    _in_order(head.unionByName(body)).mapInArrow(line, "line string").write.text(path)
+            of, at = frame.column(0).to_numpy(), frame.column(1).to_numpy()
+            cuts = [0, *(np.nonzero(np.diff(of))[0] + 1).tolist(), len(of)]
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                if low == high:
+                    continue
+                if of[low] != place:
+                    out += [",".join([start, *fields]) + end for start, end in begun]
+                    if len(out) >= LINES_AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["line"])
+                        out = []
+                    place, begun, fields = of[low], [], ["0"] * width if of[low] >= 0 else []
+                first = low + np.count_nonzero(at[low:high] < 0)
+                begun += zip(*(frame.column(c).slice(low, first - low).to_pylist() for c in (2, 3)))
+                for c, text in zip(at[first:high].tolist(), frame.column(2).slice(first, high - first).to_pylist()):
+                    fields[c] = text
+        out += [",".join([start, *fields]) + end for start, end in begun]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["line"])
+
+    every = head.unionByName(starts).unionByName(own).repartitionByRange(shuffle_partitions(counts.sparkSession), "place")
+    every.sortWithinPartitions("place", "position").mapInArrow(line, "line string").write.text(path)
     return path
 
 
