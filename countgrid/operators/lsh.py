@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from countgrid.operators.similarity import PAIRS, TILE_ROWS, best_of_block, block_pairs, packed, pairs_table, pearson_tiles, top_k
+from countgrid.operators.similarity import PAIRS, best_of_block, block_pairs, packed, pairs_table, pearson_tiles, top_k
+from countgrid.operators.sliced import SlicedSearch, against_all
 from countgrid.session import Scratch, shuffle_partitions
 
 SEED = 231
@@ -152,6 +153,12 @@ def bit_rows(column: pa.Array, bits: int) -> np.ndarray:
     return np.unpackbits(words, axis=1)[:, :bits]
 
 
+def _checked_length(length: int, bits: int) -> int:
+    if not 1 <= length <= min(63, bits):
+        raise ValueError("a slice has 1 to 63 bits and no more than the signature")
+    return length
+
+
 def slices(sigs: DataFrame, bits: int, length: int) -> DataFrame:
     """``id, slice, value``: the signature cut into whole slices of ``length`` bits (at most 63)."""
     if not 1 <= length <= min(63, bits):
@@ -186,71 +193,17 @@ def _classes(sigs: DataFrame, most: int) -> DataFrame:
     return few.groupBy("sig").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids"))
 
 
-def _bucket_blocks(own: DataFrame, sizes: DataFrame, sigs: DataFrame, bits: int, k: int) -> DataFrame:
-    """``id0, id1, m``: the k best of every row in each pair of blocks of each bucket in ``sizes`` (``slice, value, n``)."""
-    blocks = F.ceil(F.col("n") / TILE_ROWS).cast("int")
-    placed = own.join(sizes, ["slice", "value"]).join(sigs, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("slice", "value", "id", "sig", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        a, b, block = group["a"][0].as_py(), group["b"][0].as_py(), group["block"].to_numpy()
-        ids, x = group["id"].to_numpy(), bit_rows(group["sig"].chunk(0), bits).astype(np.float32) * 2 - 1
-        left, right = np.nonzero(block == a)[0], np.nonzero(block == b)[0]
-        product = x[left] @ x[right].T
-        if a == b:
-            np.fill_diagonal(product, -bits - 2)
-        parts = best_of_block(ids[left], ids[right], product, k, -bits - 1)
-        if a != b:
-            parts = tuple(p + q for p, q in zip(parts, best_of_block(ids[right], ids[left], product.T, k, -bits - 1)))
-        id0, id1, value = (np.concatenate(p) for p in parts)
-        return pa.table({"id0": id0, "id1": id1, "m": ((bits - value) / 2).round().astype(np.int32)})
-
-    return placed.groupBy("slice", "value", "a", "b").applyInArrow(run, "id0 bigint, id1 bigint, m int")
-
-
 def lsh_pairs_sliced(sigs: DataFrame, bits: int, length: int = 0, overflow: int = 1000, k: int = 100, threshold: float = 0.2) -> DataFrame:
     """Candidates share a slice of ``length`` bits (0: about log2 of the rows); they are verified with the whole signature.
 
-    No bucket is skipped: those of more than ``overflow`` rows (0: none) are compared block by
-    block, and only the k best of a row leave a block. Rows of equal signatures are searched as one.
+    No bucket is skipped, so that ``overflow``, the size above which the reference skips one, changes nothing.
+    Each block of rows keeps its k best while all signatures are streamed past it; rows of equal signatures are compared once in a block.
     """
     if length == 0:
         length = max(1, math.ceil(math.log2(max(2, sigs.count()))))
-    scratch = Scratch(sigs.sparkSession, "sliced")
-    classes = scratch.keep(_classes(sigs, k + 1))
-    firsts = classes.select(F.col("rep").alias("id"), "sig")
-    own = slices(firsts, bits, min(length, 63))
-    large = None
-    if overflow:
-        sizes = scratch.keep(own.groupBy("slice", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > overflow))
-        large = _bucket_blocks(own, sizes, firsts, bits, k)
-        own = own.join(sizes, ["slice", "value"], "left_anti")
-    other = own.withColumnRenamed("id", "id1")
-    candidates = own.withColumnRenamed("id", "id0").join(other, ["slice", "value"]).filter("id0 != id1").select("id0", "id1").distinct()
-    found = _compared(candidates, firsts)
-    if large is not None:
-        found = found.unionByName(large).distinct()
-    found = found.select("id0", "id1", from_mismatches(F.col("m"), bits).alias("similarity")).filter(F.col("similarity") > threshold)
-    return _of_members(sigs, classes, top_k(found, k), k, threshold)
-
-
-def _of_members(sigs: DataFrame, classes: DataFrame, near: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The k best of every row from the k best classes of its class.
-
-    A class that k others precede by (similarity, smallest id) has no row among the k best, since each of those has one before it.
-    """
-    members = near.select("id0", F.col("id1").alias("rep"), "similarity").join(classes.select("rep", "ids"), "rep")
-    others = top_k(members.select("id0", F.explode(F.slice("ids", 1, k)).alias("id1"), "similarity"), k)
-    others = others.groupBy(F.col("id0").alias("rep")).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("id1").alias("id"), "similarity"))).alias("others"))
-    rows = sigs.select("id", "sig").join(classes, "sig").join(others, "rep", "left")
-    pair = "array<struct<id:bigint,similarity:double>>"
-    same = F.transform("ids", lambda i: F.struct(i.alias("id"), F.lit(1.0).alias("similarity"))) if threshold < 1 else F.array()
-    apart = F.transform("others", lambda o: F.struct(o["id"].alias("id"), o["similarity"].alias("similarity")))
-    every = F.concat(same.cast(pair), F.coalesce(apart.cast(pair), F.array().cast(pair)))
-    kept = rows.select("id", F.posexplode(F.slice(F.filter(every, lambda e: e["id"] != F.col("id")), 1, k)).alias("at", "e"))
-    return kept.select(F.col("id").alias("id0"), F.col("e.id").alias("id1"), F.col("e.similarity").alias("similarity"), (F.col("at") + 1).alias("rank"))
+    length = _checked_length(min(length, 63), bits)
+    classes = _classes(sigs, k + 1).select(F.col("rep").alias("id"), "sig", "ids")
+    return against_all(sigs, classes, lambda: SlicedSearch(bits, length, k, threshold))
 
 
 def lsh_pairs_multi_slice(sigs: DataFrame, bits: int, lengths: list[int], max_check: int = 100, k: int = 100, threshold: float = 0.2, inclusive: bool = False, log2_buckets: int = 0) -> DataFrame:
