@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countgrid.operators.similarity import PAIRS, best_of_block, block_pairs, packed, pairs_table, pearson_tiles, top_k
-from countgrid.operators.sliced import SlicedSearch, against_all
+from countgrid.operators.sliced import OWN_ROWS, MultiSearch, SlicedSearch, against_all
 from countgrid.session import Scratch, shuffle_partitions
 
 SEED = 231
@@ -28,6 +28,8 @@ BLOCK_SIGNATURES = 65_536
 PLANE_VALUES = 64_000_000
 #: Values of a dense slice of rows during projection.
 SLICE_VALUES = 8_000_000
+#: Checked candidates that a block of rows holds at once.
+CHECKED_PAIRS = 8_000_000
 
 
 def hyperplanes(features: np.ndarray, bits: int, seed: int) -> np.ndarray:
@@ -159,24 +161,6 @@ def _checked_length(length: int, bits: int) -> int:
     return length
 
 
-def slices(sigs: DataFrame, bits: int, length: int) -> DataFrame:
-    """``id, slice, value``: the signature cut into whole slices of ``length`` bits (at most 63)."""
-    if not 1 <= length <= min(63, bits):
-        raise ValueError("a slice has 1 to 63 bits and no more than the signature")
-    number = bits // length
-    powers = (1 << np.arange(length - 1, -1, -1)).astype(np.int64)
-
-    def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            flags = bit_rows(frame.column(1), bits)[:, : number * length].astype(np.int64)
-            value = flags.reshape(-1, number, length) @ powers
-            ids = np.repeat(frame.column(0).to_numpy(), number)
-            place = np.tile(np.arange(number, dtype=np.int32), frame.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(place), pa.array(value.ravel())], ["id", "slice", "value"])
-
-    return sigs.select("id", "sig").mapInArrow(cut, "id bigint, slice int, value bigint")
-
-
 def _compared(candidates: DataFrame, sigs: DataFrame) -> DataFrame:
     a = sigs.select(F.col("id").alias("id0"), F.col("sig").alias("sig0"))
     b = sigs.select(F.col("id").alias("id1"), F.col("sig").alias("sig1"))
@@ -215,24 +199,10 @@ def lsh_pairs_multi_slice(sigs: DataFrame, bits: int, lengths: list[int], max_ch
     by differing bits, then id. With ``log2_buckets`` slices at least that long are hashed to so many
     buckets, whose collisions give further candidates.
     """
-    ordered = sorted(set(lengths), reverse=True)
-    found = None
-    for place, length in enumerate(ordered):
-        own = slices(sigs, bits, length)
-        if log2_buckets and length >= log2_buckets:
-            own = own.withColumn("value", F.pmod(F.xxhash64("value"), F.lit(1 << log2_buckets)))
-        smallest = F.row_number().over(Window.partitionBy("slice", "value").orderBy("id"))
-        other = own.withColumn("r", smallest).filter(F.col("r") <= max_check + 1).select("slice", "value", F.col("id").alias("id1"))
-        pairs = own.withColumnRenamed("id", "id0").join(other, ["slice", "value"]).filter("id0 != id1")
-        pairs = pairs.groupBy("id0", "id1").agg(F.min("slice").alias("slice")).withColumn("place", F.lit(place))
-        found = pairs if found is None else found.unionByName(pairs)
-    first = found.groupBy("id0", "id1").agg(F.min(F.struct("place", "slice")).alias("first")) if len(ordered) > 1 else found.select("id0", "id1", F.struct("place", "slice").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("id0").orderBy("first.place", "first.slice", "id1"))
-    checked = first.withColumn("r", rank).filter(F.col("r") <= max_check).select("id0", "id1")
-    limit = most_mismatches(threshold, bits)
-    scored = _compared(checked, sigs)
-    scored = scored.filter(F.col("m") <= limit) if inclusive else scored.filter(F.col("m") < limit)
-    return top_k(scored.select("id0", "id1", from_mismatches(F.col("m"), bits).alias("similarity")), k)
+    ordered = [_checked_length(length, bits) for length in sorted(set(lengths), reverse=True)]
+    limit = most_mismatches(threshold, bits) - (not inclusive)
+    own_rows = max(1024, min(OWN_ROWS, CHECKED_PAIRS // max(1, max_check)))
+    return against_all(sigs, sigs.select("id", "sig"), lambda: MultiSearch(bits, ordered, max_check, k, limit, log2_buckets), own_rows)
 
 
 def random_orders(bits: int, permutations: int, length: int, seed: int) -> np.ndarray:

@@ -102,6 +102,17 @@ def slice_values(raw: np.ndarray, at: int, length: int) -> np.ndarray:
     return np.packbits(wide, axis=1).view(np.dtype(kind).newbyteorder(">")).ravel().astype(kind)
 
 
+def hashed(values: np.ndarray, log2_buckets: int) -> np.ndarray:
+    """Spark's ``pmod(xxhash64(value), 2 ** log2_buckets)`` of whole numbers."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    rotated = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    h = np.full(len(values), np.uint64(42) + p5 + np.uint64(8)) ^ (rotated(values.astype(np.uint64) * p2, 31) * p1)
+    h = rotated(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))) & np.uint64((1 << log2_buckets) - 1)
+
+
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Bits in which the rows of two sets of words differ."""
     counts = np.bitwise_count((x ^ y).view(np.uint64))  # of signed words it would count the bits of their absolute value
@@ -236,3 +247,82 @@ class SlicedSearch:
             place = _places(id0)
             first = place < self.k
             yield _found(id0[first], id1[first], d[first], place[first] + 1, self.bits)
+
+
+class MultiSearch:
+    """The k best among the first ``checks`` candidates of every row, in the order of (slice length, slice, id).
+
+    ``most`` is the largest number of differing bits. Of a chunk each row takes its own first candidates; those of several chunks are merged.
+    """
+
+    def __init__(self, bits: int, lengths: list[int], checks: int, k: int, most: int, log2_buckets: int = 0):
+        self.bits, self.checks, self.k, self.most, self.log2_buckets = bits, checks, k, most, log2_buckets
+        self.slices = [(length, s * length) for length in lengths for s in range(bits // length)]
+
+    def _values(self, raw: np.ndarray, p: int) -> np.ndarray:
+        length, at = self.slices[p]
+        values = slice_values(raw, at, length)
+        return hashed(values, self.log2_buckets) if self.log2_buckets and length >= self.log2_buckets else values
+
+    def begin(self, ids: np.ndarray, words: np.ndarray) -> None:
+        self.ids, self.words, self.raw = ids, words, raw_bytes(words)
+        self.last = np.full(len(ids), len(self.slices))
+        none = tuple(np.zeros(0, t) for t in (np.int16, np.int16, np.int64, np.int16))
+        self.held = [none for _ in range(0, len(ids), ROWS_AT_ONCE)]  # row within its few, slice, id, differing bits
+
+    def meet(self, ids: np.ndarray, words: np.ndarray, _) -> None:
+        raw, n = raw_bytes(words), len(self.ids)
+        counts = np.zeros(n, np.int64)
+        seen = [np.zeros(0, np.int64) for _ in range(0, n, ROWS_AT_ONCE)]
+        parts: list[list] = [[] for _ in seen]
+        for p in range(len(self.slices)):
+            if not ((counts < self.checks) & (self.last >= p)).any():
+                break
+            values = self._values(raw, p)
+            order = np.argsort(values, kind="stable")
+            values, own = values[order], self._values(self.raw, p)
+            for block, low in enumerate(range(0, n, ROWS_AT_ONCE)):
+                some = slice(low, low + ROWS_AT_ONCE)
+                rows = low + np.nonzero((counts[some] < self.checks) & (self.last[some] >= p))[0]
+                if not len(rows):
+                    continue
+                by = np.argsort(own[rows], kind="stable")
+                start = np.empty(len(rows), np.int64)
+                many = np.empty(len(rows), np.int64)
+                start[by] = np.searchsorted(values, own[rows][by])
+                many[by] = np.minimum(np.searchsorted(values, own[rows][by], "right") - start[by], self.checks + 1)
+                row, other = np.repeat(rows, many), order[_ramps(start, many)]
+                key = row * len(ids) + other
+                new = self.ids[row] != ids[other]
+                if len(seen[block]):
+                    spot = np.minimum(np.searchsorted(seen[block], key), len(seen[block]) - 1)
+                    new &= seen[block][spot] != key
+                row, other, key = row[new], other[new], key[new]
+                first = counts[row] + _places(row) < self.checks
+                row, other, key = row[first], other[first], key[first]
+                counts[some] += np.bincount(row - low, minlength=len(counts[some]))
+                seen[block] = np.sort(np.concatenate([seen[block], key]), kind="stable")
+                for at in range(0, len(row), PAIRS_AT_ONCE):
+                    i, j = row[at : at + PAIRS_AT_ONCE], other[at : at + PAIRS_AT_ONCE]
+                    parts[block].append(((i - low).astype(np.int16), np.full(len(i), p, np.int16), ids[j], differing(self.words[i], words[j]).astype(np.int16)))
+        for block, low in enumerate(range(0, n, ROWS_AT_ONCE)):
+            fresh, held = not len(self.held[block][0]), tuple(np.concatenate(c) for c in zip(self.held[block], *parts[block]))
+            parts[block], seen[block] = [], None
+            if not fresh:
+                order = np.lexsort((held[2], held[0].astype(np.int64) * len(self.slices) + held[1]))
+                order = order[_places(held[0][order]) < self.checks]
+                held = tuple(c[order] for c in held)
+            self.held[block] = held
+            some = self.last[low : low + ROWS_AT_ONCE]
+            last = np.zeros(len(some), np.int64)
+            np.maximum.at(last, held[0], held[1])
+            some[:] = np.where(np.bincount(held[0], minlength=len(some)) >= self.checks, last, len(self.slices))
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        for block, (rows, _, ids, m) in enumerate(self.held):
+            own, near = self.ids[block * ROWS_AT_ONCE :][:ROWS_AT_ONCE], m <= self.most
+            rows, ids, m = rows[near], ids[near], m[near].astype(np.int64)
+            order = np.lexsort((ids, rows.astype(np.int64) * (self.bits + 1) + m))
+            place = _places(rows[order])
+            order, place = order[place < self.k], place[place < self.k]
+            yield _found(own[rows[order]], ids[order], m[order], place + 1, self.bits)
