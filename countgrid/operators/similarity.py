@@ -330,9 +330,13 @@ def _nearest(left: pa.Table, right: pa.Table, same: bool, n: int, k: int, thresh
     leaders = _leaders(a.space)
     for side in sides:
         side.arrange(leaders)
-    for i in range(0, len(a.rows), tile):
-        x = None
-        for j in range(i if same else 0, len(b.rows), tile):
+    # tiles of the same leaders first: what these leave to find is little, so that most of the others are left out
+    grid = [(i, j) for i in range(0, len(a.rows), tile) for j in range(i if same else 0, len(b.rows), tile)]
+    apart = lambda i, j: abs(i * len(b.rows) - j * len(a.rows)) > tile * max(len(a.rows), len(b.rows))
+    near, far = ([t for t in grid if apart(*t) == side] for side in (False, True))
+    before, x = -1, None
+    for i, j in near + far:
+            x, before = x if i == before else None, i
             bound = a.space[i : i + tile] @ b.space[j : j + tile].T
             hit = bound > a.low[i : i + tile, None]
             hit |= bound > b.low[None, j : j + tile]

@@ -58,6 +58,21 @@ def test_bounded_search_is_exact_and_compares_few_pairs(monkeypatch, k, threshol
     assert similarity._nearest(table, empty, False, n, k, threshold, tile).num_rows == 0
 
 
+def test_tiles_of_near_rows_come_first(monkeypatch):
+    """Two blocks of the same clusters: what the tiles beside the diagonal find keeps most others from being multiplied."""
+    rng = np.random.default_rng(8)
+    n, k, tile = 300, 3, 40
+    centres = rng.poisson(3.0, (20, n)) * (rng.random((20, n)) < 0.3)
+    x = np.maximum(centres[np.repeat(np.arange(20), 80)] + rng.integers(0, 3, (1600, n)), 0)[rng.permutation(1600)]
+    multiplied, offer = [], similarity._Side.offer
+    monkeypatch.setattr(similarity._Side, "offer", lambda self, p, o, score, *rest: multiplied.append(score.size) or offer(self, p, o, score, *rest))
+    left, right = _packed(x[:800]), _packed(x[800:], np.arange(800, 1600))
+    parts = [similarity._nearest(*p, n, k, 0.1, tile) for p in ((left, left, True), (right, right, True), (left, right, False))]
+    every = similarity._best_rows(pa.concat_tables(parts), k)
+    assert set(zip(every["id0"].to_pylist(), every["id1"].to_pylist())) == _brute(x, n, k, 0.1)
+    assert sum(multiplied) < 1_500_000
+
+
 def test_long_rows_are_compared_by_ranges_of_their_features():
     rng = np.random.default_rng(6)
     n, m = 150_000, 60
