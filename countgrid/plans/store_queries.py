@@ -249,7 +249,12 @@ def _pairs(spark, d) -> MatrixStore:
     store = csv_store(spark, d)
     if "near" not in store.get_similar_pairs_names():
         store.find_similar_pairs0("near", k=5, threshold=0.5)
-        store.find_similar_gene_pairs0("near", k=3, threshold=0.5)
+    return store
+
+
+def _graph(spark, d) -> MatrixStore:
+    store = _pairs(spark, d)
+    if "near" not in store.get_cell_graph_names():
         store.create_cell_graph("near", "near", threshold=0.6, k=3)
     return store
 
@@ -263,14 +268,17 @@ def store_pairs_csv(spark, d):
 
 def store_gene_pairs_csv(spark, d):
     path = f"{Scratch(spark, 'pairs').root}/pairs"
-    _pairs(spark, d).write_similar_gene_pairs("near", path)
+    store = csv_store(spark, d)
+    if "near" not in store.get_similar_gene_pairs_names():
+        store.find_similar_gene_pairs0("near", k=3, threshold=0.5)
+    store.write_similar_gene_pairs("near", path)
     return spark.read.option("header", True).csv(path).select("Gene0", "Gene1", F.round(F.col("Similarity").cast("double"), 6).alias("Similarity"))
 
 
 def store_dot(spark, d):
     """The lines of a cell graph in Graphviz syntax."""
     path = f"{Scratch(spark, 'dot').root}/dot"
-    _pairs(spark, d).write_graph("cell_graph", "near", path)
+    _graph(spark, d).write_graph("cell_graph", "near", path)
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
@@ -287,19 +295,21 @@ def store_gene_comparison(spark, d):
 
 def _clusters(spark, d) -> MatrixStore:
     """Clusters by tissue, of whatever size, that stay as they are."""
-    store = _pairs(spark, d)
+    store = _graph(spark, d)
     if "tissues" not in store.get_cluster_graph_names():
         own = store.table("cell_meta").filter("name = 'tissue'").select(F.col("cell_id").cast("bigint").alias("id"), "value")
         own = own.join(store.graph("cell_graph", "near")[0], "id", "left_semi")
         labels = own.join(own.groupBy("value").agg(F.min("id").alias("cluster_id")), "value").select("id", "cluster_id")
         store.create_cluster_graph("near", "tissues", labels=Scratch(spark, "labels").keep(labels), min_cluster_size=1, merge_similarity=2.0)
-        store.create_meta_data_from_cluster_graph("tissues", "Cluster")
     return store
 
 
 def store_cluster_cells(spark, d):
     """The clusters as a field of their cells."""
-    rows = _clusters(spark, d).table("cell_meta").filter("name = 'Cluster'")
+    store = _clusters(spark, d)
+    if store.table("cell_meta").filter("name = 'Cluster'").isEmpty():
+        store.create_meta_data_from_cluster_graph("tissues", "Cluster")
+    rows = store.table("cell_meta").filter("name = 'Cluster'")
     return rows.select("cell_id", F.col("value").cast("bigint").alias("cluster_id"))
 
 
