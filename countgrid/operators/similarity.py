@@ -19,6 +19,8 @@ TILE_ROWS = 1024
 BLOCK_ROWS = 32_768
 #: Dense values of a tile at once: wider tiles are multiplied by ranges of their features.
 TILE_VALUES = 4_000_000
+#: Whole numbers below this are exact in single precision.
+MOST_EXACT = 1 << 24
 #: Features up to which pairs are first bounded in the space of the principal directions, and the number of these.
 BOUND_FEATURES, DIRECTIONS = 8192, 64
 #: Candidates that a pair of blocks collects before those below the bounds of their rows are dropped.
@@ -168,32 +170,42 @@ def _scales(s: np.ndarray, ss: np.ndarray, n: int) -> np.ndarray:
     return np.where(spread > 1e-12 * np.maximum(ss, 1e-300), 1 / np.sqrt(np.maximum(spread, 1e-300)), 0)
 
 
-def pearson_tiles(left: pa.Table, right: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of two tiles of packed rows and their similarities over ``n`` features; -2 where a row is constant.
+def dot_tiles(left: pa.Table, right: pa.Table, n: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Products of two tiles of packed rows, and for each side the sums of its rows and one over their centred lengths.
 
     The dense form of the tiles is made for a range of their features at a time, so that it is bounded for rows of any length.
+    Whole numbers are multiplied in single precision where no product of two rows exceeds what it holds exactly.
     """
     features = _features(left, right)
     step = max(1, TILE_VALUES // max(1, left.num_rows, right.num_rows))
-    sides = []
+    sides, whole, longest = [], True, 1.0
     for t in (left, right):
         bounds, at, v = _entries(t, features)
         own = np.repeat(np.arange(t.num_rows), np.diff(bounds))
         s, ss = np.bincount(own, v, t.num_rows), np.bincount(own, v * v, t.num_rows)
+        whole, longest = whole and bool((v == np.floor(v)).all()), longest * np.sqrt(ss.max(initial=0))
         order = np.argsort(at // step, kind="stable") if len(features) > step else slice(None)
         sides.append((own[order], at[order], v[order], s, _scales(s, ss, n)))
+    # every partial sum of a product is at most the product of the rows' lengths, also of values of both signs
+    kind = np.float32 if whole and longest < MOST_EXACT else np.float64
 
     def dense(side: tuple, m: int, low: int) -> np.ndarray:
         own, at, v = side[:3]
         some = slice(*np.searchsorted(at // step, [low // step, low // step + 1])) if len(features) > step else slice(None)
-        out = np.zeros((m, min(step, len(features) - low)))
+        out = np.zeros((m, min(step, len(features) - low)), kind)
         out[own[some], at[some] - low] = v[some]
         return out
 
-    score = np.zeros((left.num_rows, right.num_rows))
+    score = None
     for low in range(0, len(features), step):
-        score += dense(sides[0], left.num_rows, low) @ dense(sides[1], right.num_rows, low).T
-    (sx, cx), (sy, cy) = (side[3:] for side in sides)
+        part = dense(sides[0], left.num_rows, low) @ dense(sides[1], right.num_rows, low).T
+        score = part if score is None else score + part
+    return np.zeros((left.num_rows, right.num_rows), kind) if score is None else score, sides[0][3:], sides[1][3:]
+
+
+def pearson_tiles(left: pa.Table, right: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of two tiles of packed rows and their similarities over ``n`` features; -2 where a row is constant."""
+    score, (sx, cx), (sy, cy) = dot_tiles(left, right, n)
     # centred product without densifying the zeros outside the tiles' features
     score = (score - np.outer(sx, sy) / n) * cx[:, None] * cy[None, :]
     return left["id"].to_numpy(), right["id"].to_numpy(), np.round(np.where((cx[:, None] > 0) & (cy[None, :] > 0), score, -2), 9)

@@ -87,3 +87,12 @@ def test_long_rows_are_compared_by_ranges_of_their_features():
     tracemalloc.stop()
     assert np.abs(score - want).max() < 2e-9
     assert peak < 110e6  # 2 x 72 MB at once before
+
+
+def test_whole_numbers_are_multiplied_in_single_precision_only_where_it_is_exact():
+    rng = np.random.default_rng(10)
+    x = rng.integers(0, 200, (70, 90)) * (rng.random((70, 90)) < 0.4)
+    for rows, kind in ((x, np.float32), (x + 0.5, np.float64), (x * 1000 + 1, np.float64)):
+        left, right = _packed(rows[:30]), _packed(rows[30:])
+        dots, (sx, _), _ = similarity.dot_tiles(left, right, 90)
+        assert dots.dtype == kind and np.array_equal(dots.astype(np.float64), rows[:30].astype(np.float64) @ rows[30:].T.astype(np.float64)) and np.array_equal(sx, rows[:30].sum(axis=1))
