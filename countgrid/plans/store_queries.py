@@ -189,7 +189,7 @@ def store_expression_of_gene(spark, d):
 
 def store_expression_lists(spark, d):
     store = csv_store(spark, d)
-    rows = store.get_cells_expression_counts(list(range(store.cell_count())), list(range(0, 1500, 3)))
+    rows = store.get_cells_expression_counts(list(range(store.cell_count())), list(range(0, store.gene_count(), 3)))
     return rows.select("cell_id", F.explode("counts").alias("c")).select("cell_id", "c.gene_id", F.col("c.count").cast("double").alias("count"))
 
 
